@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.llm import components, copies, mixture, tokens, topn
+from kinloom.llm import components, copies, mixture, subjects, tokens, topn
 from kinloom.session import materialise
 
 EXACT = ("dob", "city", "postcode")
@@ -66,8 +66,19 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mixture(sized, _read(spark, sf, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subject_areas(_read(spark, sf, "documents"), _read(spark, sf, "doc_labels"), _read(spark, sf, "subjects"))
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """subject, docs, n_chars: the corpus by subject area."""
+    found = p9_found(spark, sf)
+    sizes = _read(spark, sf, "documents").select("doc_id", "n_chars")
+    return found.join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_ranked, p2_found, p2_records, p5_found, p7_ids, p8_found, p8_mixture, p8_report)
+    own = (p1_found, p1_ranked, p2_found, p2_records, p5_found, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_composition)
     return {f.__name__: f for f in own}
 
 
