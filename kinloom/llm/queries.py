@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.llm import components, copies, mixture, subjects, tokens, topn
+from kinloom.llm import components, copies, mixture, subjects, tokens, topn, variants
 from kinloom.session import materialise
 
 EXACT = ("dob", "city", "postcode")
@@ -40,6 +40,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.connected_groups(_links(spark, sf), "left_id", "right_id")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_pairs(_read(spark, sf, "people"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(_read(spark, sf, "documents"))
 
@@ -78,7 +82,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_ranked, p2_found, p2_records, p5_found, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_composition)
+    own = (p1_found, p1_ranked, p2_found, p2_records, p5_found, p6_found, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_composition)
     return {f.__name__: f for f in own}
 
 
