@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.llm import components, copies, mixture, subjects, tokens, topn, variants
+from kinloom.llm import components, copies, linkage, mixture, subjects, tokens, topn, variants
 from kinloom.session import materialise
 
 EXACT = ("dob", "city", "postcode")
@@ -32,6 +32,14 @@ def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     return copies.collapse_copies(_read(spark, sf, "people"), "id", "first_name", "last_name", EXACT)
 
 
+def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(_read(spark, sf, "records_left"), _read(spark, sf, "records_right"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_matches(spark, sf).select("left_id", "right_id")
+
+
 def _links(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "dup_pairs").filter(F.col("match_class").isin("match", "possible"))
 
@@ -82,7 +90,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_ranked, p2_found, p2_records, p5_found, p6_found, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_composition)
+    own = (p1_found, p1_ranked, p2_found, p2_records, p4_found, p4_matches, p5_found, p6_found, p7_ids, p8_found, p8_mixture, p8_report, p9_found, p9_composition)
     return {f.__name__: f for f in own}
 
 
