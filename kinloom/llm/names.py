@@ -26,6 +26,8 @@ SHORT_FORMS: dict[str, tuple[str, ...]] = {
     "pepe": ("jose",), "peppe": ("giuseppe",), "peppino": ("giuseppe",), "nacho": ("ignacio",), "paco": ("francisco",), "pancho": ("francisco",), "kostas": ("konstantinos",), "klaus": ("nikolaus",), "lupe": ("guadalupe",), "lupita": ("guadalupe",),
     "pippa": ("philippa",), "bella": ("isabella",), "izzy": ("isabella",), "linda": ("rosalind",), "ros": ("rosalind",), "etta": ("henrietta",), "hetty": ("henrietta",), "gail": ("abigail",), "abby": ("abigail",), "pat": ("patricia", "patrick"), "trish": ("patricia",), "dima": ("dmitri",), "mo": ("mohammed",),
 }
+#: What is read or heard alike (fixed values).
+CONFUSED = (("rn", "m"), ("cl", "d"), ("0", "o"), ("1", "l"), ("oe", "o"), ("ue", "u"), ("ae", "a"), ("y", "i"), ("k", "c"), ("z", "s"), ("w", "v"))
 _TOKEN = re.compile(r"[^\W_]+")
 _JOINED = re.compile(r"(?<=\w)['’`´\-‐‑](?=\w)")
 GRAM_CODES = 1 << 16
@@ -89,8 +91,8 @@ def edit_similarity(a: str, b: str) -> float:
 
 
 def _skeleton(short: str, long: str) -> bool:
-    """Whether a short form keeps first and last letter and picks the rest from the long one in order, as in hldgs for holdings."""
-    if len(short) < 3 or len(short) >= len(long) or short[0] != long[0] or short[-1] != long[-1]:
+    """Whether a short form keeps the first letter, and the last or no vowels, and picks the rest in order, as in hldgs for holdings."""
+    if len(short) < 3 or len(short) >= len(long) or short[0] != long[0] or (short[-1] != long[-1] and any(c in "aeiou" for c in short)):
         return False
     it = iter(long)
     return all(c in it for c in short)
@@ -107,18 +109,18 @@ def token_similarity(a: str, b: str) -> float:
         return 0.8 if a == b[0] else 0.0
     if b in SHORT_FORMS.get(a, ()) or a in SHORT_FORMS.get(b, ()):
         return 0.95
+    if b.startswith(a) and (len(a) >= 3 or len(b) >= 5):
+        return 0.9
+    # Letters in common bound the edit similarity from above; unrelated tokens end here, without a table.
+    shared = sum(min(a.count(c), b.count(c)) for c in set(a))
+    if shared / len(b) < 0.6:
+        return 0.85 if _skeleton(a, b) else 0.0
     s = edit_similarity(a, b)
-    for looks, like in (("rn", "m"), ("cl", "d"), ("0", "o"), ("1", "l"), ("oe", "o"), ("ue", "u"), ("ae", "a"), ("y", "i"), ("k", "c"), ("z", "s"), ("w", "v")):
-        if looks in a or looks in b:
-            s = max(s, 0.97 * edit_similarity(a.replace(looks, like), b.replace(looks, like)))
-    if len(a) >= 3 and b.startswith(a):
-        s = max(s, 0.9)
-    elif _skeleton(a, b):
-        s = max(s, 0.85)
-    elif len(a) >= 3 and len(b) - len(a) <= 2 and s < 0.75:
-        # a nickname with an error in it, or a shortened word with one
-        s = max(s, 0.0)
-    return s
+    if 0.5 <= s < 0.97:
+        for looks, like in CONFUSED:
+            if looks in a or looks in b:
+                s = max(s, 0.97 * edit_similarity(a.replace(looks, like), b.replace(looks, like)))
+    return max(s, 0.85) if _skeleton(a, b) else s
 
 
 def soft_similarity(a: list[str], b: list[str], weight, least: float = 0.72) -> tuple[float, float, int]:
@@ -156,10 +158,15 @@ def same_name(a: list[str], b: list[str], weight) -> float:
     if not a or not b:
         return 0.0
     weighted, plain, _ = soft_similarity(a, b, weight)
-    score = min(weighted, plain)
-    if score < 0.85:
-        one, two = "".join(sorted(a, key=len, reverse=True)), "".join(sorted(b, key=len, reverse=True))
-        whole = max(edit_similarity("".join(a), "".join(b)), edit_similarity(one, two))
-        if whole >= 0.88:
-            score = max(score, whole)
-    return score
+    return or_as_one_word(a, b, min(weighted, plain))
+
+
+def or_as_one_word(a: list[str], b: list[str], score: float) -> float:
+    if score >= 0.85:
+        return score
+    x, y = "".join(a), "".join(b)
+    if min(len(x), len(y)) < 0.85 * max(len(x), len(y)):
+        return score
+    one, two = "".join(sorted(a, key=len, reverse=True)), "".join(sorted(b, key=len, reverse=True))
+    whole = max(edit_similarity(x, y), edit_similarity(one, two)) if sum(min(x.count(c), y.count(c)) for c in set(x)) >= 0.8 * max(len(x), len(y)) else 0.0
+    return max(score, whole) if whole >= 0.88 else score
