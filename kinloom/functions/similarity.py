@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from kinloom.functions import kernels, phonetic, registry
-from kinloom.functions.tokenizers import matching_tokens, ngram_tokenize, whitespace_tokenize
+from kinloom.functions.tokenizers import let, matching_tokens, ngram_tokenize, whitespace_tokenize
 
 Metric = Callable[[Column, Column], Column]
 _LIMIT = 10_000
@@ -146,66 +146,79 @@ def levenshtein_align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 # --- n-grams and tokens --------------------------------------------------------------------------------------------------
 def _counts(items: Column) -> Column:
     """map of item -> occurrences; items of one pair are few, so the quadratic count stays cheap."""
-    return F.map_from_arrays(F.array_distinct(items), F.transform(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x))))
+    return let(items, lambda all_: let(F.array_distinct(all_), lambda once: F.map_from_arrays(once, F.transform(once, lambda x: F.size(F.filter(all_, lambda y: y == x))))))
 
 
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _with(x: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda s: use(s["x"], s["y"]))
+
+
 def cosine(a: Column, b: Column, n: int = 2) -> Column:
     """Cosine of n-gram counts; 1.0 if neither string has an n-gram, 0.0 if one has none."""
-    x, y = _counts(ngram_tokenize(a, n)), _counts(ngram_tokenize(b, n))
-    dot = _sum(F.transform(F.map_keys(x), lambda k: (F.element_at(x, k) * F.coalesce(F.try_element_at(y, k), F.lit(0))).cast("double")))
-    norm = lambda m: F.sqrt(_sum(F.transform(F.map_values(m), lambda v: (v * v).cast("double"))))
-    value = F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / (norm(x) * norm(y)))
-    return _both(a, b, value)
+
+    def value(x: Column, y: Column) -> Column:
+        dot = _sum(F.transform(F.map_keys(x), lambda k: (F.element_at(x, k) * F.coalesce(F.try_element_at(y, k), F.lit(0))).cast("double")))
+        norm = lambda m: F.sqrt(_sum(F.transform(F.map_values(m), lambda v: (v * v).cast("double"))))
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(dot / (norm(x) * norm(y)))
+
+    return _both(a, b, _with(_counts(ngram_tokenize(a, n)), _counts(ngram_tokenize(b, n)), value))
+
+
+def _jaccard(x: Column, y: Column) -> Column:
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of token sets, case-sensitive; CJK characters are tokens."""
-    x, y = matching_tokens(a), matching_tokens(b)
-    union = F.size(F.array_union(x, y))
-    return _both(a, b, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union))
+    return _both(a, b, _with(matching_tokens(a), matching_tokens(b), _jaccard))
 
 
 def sorensen_dice(a: Column, b: Column) -> Column:
     """Of bigrams with repeats; 1.0 if neither string has a bigram."""
-    g, h = ngram_tokenize(a, 2), ngram_tokenize(b, 2)
-    x, y = _counts(g), _counts(h)
-    shared = _sum(F.transform(F.map_keys(x), lambda k: F.least(F.element_at(x, k), F.coalesce(F.try_element_at(y, k), F.lit(0))).cast("double")))
-    total = F.size(g) + F.size(h)
-    return _both(a, b, F.when(total == 0, 1.0).otherwise(2.0 * shared / total))
+
+    def value(x: Column, y: Column) -> Column:
+        shared = _sum(F.transform(F.map_keys(x), lambda k: F.least(F.element_at(x, k), F.coalesce(F.try_element_at(y, k), F.lit(0))).cast("double")))
+        total = F.greatest(F.length(a) - 1, F.lit(0)) + F.greatest(F.length(b) - 1, F.lit(0))
+        return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+
+    return _both(a, b, _with(_counts(ngram_tokenize(a, 2)), _counts(ngram_tokenize(b, 2)), value))
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 2) -> Column:
     """Jaccard of n-gram sets; 1.0 if neither string has an n-gram."""
-    x, y = ngram_tokenize(a, n), ngram_tokenize(b, n)
-    union = F.size(F.array_union(x, y))
-    return _both(a, b, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union))
+    return _both(a, b, _with(ngram_tokenize(a, n), ngram_tokenize(b, n), _jaccard))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return levenshtein_similarity(F.array_join(F.array_sort(matching_tokens(a)), " "), F.array_join(F.array_sort(matching_tokens(b)), " "))
+    return _with(F.array_join(F.array_sort(matching_tokens(a)), " "), F.array_join(F.array_sort(matching_tokens(b)), " "), levenshtein_similarity)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    x, y = F.array_sort(F.array_distinct(matching_tokens(a))), F.array_sort(F.array_distinct(matching_tokens(b)))
-    both = F.array_intersect(x, y)
-    joined = lambda rest: F.array_join(F.concat(both, rest), " ")
-    shared, one, two = F.array_join(both, " "), joined(F.array_except(x, y)), joined(F.array_except(y, x))
-    best = F.greatest(levenshtein_similarity(shared, one), levenshtein_similarity(shared, two), levenshtein_similarity(one, two))
-    return _both(a, b, F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(best))
+    def value(x: Column, y: Column) -> Column:
+        both = F.array_intersect(x, y)
+        joined = lambda rest: F.array_join(F.concat(both, rest), " ")
+        parts = F.struct(F.array_join(both, " ").alias("i"), joined(F.array_except(x, y)).alias("p"), joined(F.array_except(y, x)).alias("q"))
+        best = let(parts, lambda s: F.greatest(levenshtein_similarity(s["i"], s["p"]), levenshtein_similarity(s["i"], s["q"]), levenshtein_similarity(s["p"], s["q"])))
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(best)
+
+    return _both(a, b, _with(F.array_sort(F.array_distinct(matching_tokens(a))), F.array_sort(F.array_distinct(matching_tokens(b))), value))
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best similarity of the shorter string with a window of its length in the longer one."""
     a_first = F.length(a) <= F.length(b)
-    short, long = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
-    k = F.length(short)
-    starts = F.sequence(F.lit(1), F.length(long) - k + 1)
-    best = F.array_max(F.transform(starts, lambda i: 1.0 - F.levenshtein(short, F.substring(long, i, k)) / k))
-    return _both(a, b, F.when(F.length(long) == 0, 1.0).when(k == 0, 0.0).otherwise(best))
+
+    def value(short: Column, long: Column) -> Column:
+        k = F.length(short)
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.length(long) - k + 1), lambda i: 1.0 - F.levenshtein(short, F.substring(long, i, k)) / k))
+        return F.when(F.length(long) == 0, 1.0).when(k == 0, 0.0).otherwise(best)
+
+    return _both(a, b, _with(F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a), value))
 
 
 _BATCHED = {
@@ -227,8 +240,7 @@ def monge_elkan(a: Column, b: Column, inner_metric: str = "jaro_winkler") -> Col
         if inner_metric not in METRICS or inner_metric in ("ratcliff_obershelp", "weighted_levenshtein", "monge_elkan", "phonetic_hybrid"):
             raise ValueError(f"inner metric {inner_metric!r} cannot be nested; use a metric of the JVM or one of {sorted(_BATCHED)}")
         inner = METRICS[inner_metric]
-        best = F.transform(x, lambda s: F.greatest(F.lit(0.0), F.array_max(F.transform(y, lambda t: inner(s, t)))))
-        value = _sum(best) / F.size(x)
+        value = _with(x, y, lambda p, q: _sum(F.transform(p, lambda s: F.greatest(F.lit(0.0), F.array_max(F.transform(q, lambda t: inner(s, t)))))) / F.size(p))
     return _both(a, b, F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(value))
 
 

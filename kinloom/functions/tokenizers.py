@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Code-point ranges that count as CJK: ideographs, kana, hangul, bopomofo, radicals (fixed values), as a Java class body.
@@ -10,6 +12,11 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{30A0}-\x{30FF}\x{3
 SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a nested expression inside a lambda is otherwise computed per element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def whitespace_tokenize(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
 

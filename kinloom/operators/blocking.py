@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinloom.functions import phonetic, registry, similarity
-from kinloom.functions.tokenizers import ngram_tokenize
+from kinloom.functions.tokenizers import let, ngram_tokenize
 from kinloom.session import materialise
 
 #: A record of a block with more members than this meets them in slices, so that no reducer holds a whole hot block.
@@ -89,20 +89,28 @@ def qgram(left: DataFrame, right: DataFrame | None, field: str, q: int = 3, thre
 def minhash_signature(c: Column, num_hashes: int = 100, shingle: int = 3) -> Column:
     """array<long>: for each of num_hashes seeds the smallest hash over the lower-case character shingles; empty for empty text."""
     low = F.lower(c)
-    s = F.when(F.length(low) < shingle, F.filter(F.array(low), lambda x: x != "")).otherwise(F.array_distinct(ngram_tokenize(low, shingle)))
-    return F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(1), F.lit(num_hashes)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(x, i))))).when(c.isNotNull(), F.array().cast("array<bigint>"))
+    shingles = F.when(F.length(low) < shingle, F.filter(F.array(low), lambda x: x != "")).otherwise(F.array_distinct(ngram_tokenize(low, shingle)))
+    hashed = F.transform(shingles, lambda x: F.xxhash64(x))  # a text is hashed once per shingle, a long once per seed
+    some = let(hashed, lambda s: F.transform(F.sequence(F.lit(1), F.lit(num_hashes)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(x, i)))))
+    return F.when(F.length(low) > 0, some).when(c.isNotNull(), F.array().cast("array<bigint>"))
 
 
 def bands(signature: Column, num_hashes: int, num_bands: int) -> Column:
     """array<long>: one hash per band of the signature; rows that do not divide evenly make one more band."""
     rows = max(1, num_hashes // num_bands)
     count = -(-num_hashes // rows)
-    return F.when(F.size(signature) > 0, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(signature, i * rows + 1, F.lit(rows)))))
+    cut = let(signature, lambda s: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(s, i * rows + 1, F.lit(rows)))))
+    return cut
 
 
 def lsh(left: DataFrame, right: DataFrame | None, field: str, num_hashes: int = 100, num_bands: int = 20, id_col: str = "id") -> DataFrame:
-    """Pairs with any equal band of their MinHash signatures."""
-    return _meet(left, right, id_col, lambda d: bands(minhash_signature(d[field], num_hashes), num_hashes, num_bands), exploded=True)
+    """Pairs with any equal band of their MinHash signatures; empty texts have none."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        full = df.filter(F.length(F.col(field)) > 0)
+        return materialise(full.select(F.col(id_col).alias(id_col), bands(minhash_signature(F.col(field), num_hashes), num_hashes, num_bands).alias("bands")), "bands")
+
+    return _meet(cut(left), None if right is None else cut(right), id_col, lambda d: d["bands"], exploded=True)
 
 
 def ranked(df: DataFrame, order: Sequence[Column]) -> DataFrame:

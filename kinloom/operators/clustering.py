@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "left_id", b: str = "right_id") -> Dat
     the smallest id it sees. Windows by record only see the minimum, so a hub is aggregated on the map side. Null
     ends and self-links are ignored.
     """
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
+    links = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     links = materialise(links, "links")
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

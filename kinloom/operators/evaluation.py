@@ -10,7 +10,8 @@ from kinloom.functions import similarity
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).filter("p is not null and q is not null").distinct()
+    # least and greatest skip nulls, so both ends are checked first
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).distinct()
 
 
 def confusion_matrix(predicted: DataFrame, truth: DataFrame, total_pairs: int | None = None, a: str = "left_id", b: str = "right_id") -> DataFrame:
@@ -54,7 +55,7 @@ def _by_threshold(scored: DataFrame, truth: DataFrame, a: str, b: str, score: st
     A pair scored several times counts at its highest score. Scores are compressed to distinct values before the running
     sum, whose windows are slices of equal leading digits with the totals of the slices above added.
     """
-    best = scored.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.col(score).cast("double").alias("s")).filter("p is not null and q is not null and s is not null and not isnan(s)").groupBy("p", "q").agg(F.max("s").alias("s"))
+    best = scored.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.col(score).cast("double").alias("s")).filter("s is not null and not isnan(s)").groupBy("p", "q").agg(F.max("s").alias("s"))
     true = _pairs(truth, a, b).withColumn("y", F.lit(1))
     cells = best.join(true, ["p", "q"], "left").groupBy("s").agg(F.count("y").alias("t"), F.count(F.lit(1)).alias("n")).withColumn("slice", F.floor(F.col("s") * 256))
     sums = cells.groupBy("slice").agg(F.sum("t").alias("st"), F.sum("n").alias("sn"))

@@ -186,8 +186,9 @@ class MinHashIndex(_Table):
     def query_all(self, queries: DataFrame, threshold: float = 0.5, query: str = "query") -> DataFrame:
         """(query, id, similarity)."""
         q = queries.select(F.col(query).alias("query")).filter("query is not null").distinct().withColumn("qs", blocking.minhash_signature(F.col("query"), self.num_hashes, self.shingle))
+        q, full = q.filter("size(qs) > 0"), self.rows.filter("size(signature) > 0")
         cut = lambda c: F.explode(blocking.bands(c, self.num_hashes, self.num_bands))
-        met = q.select("query", cut(F.col("qs")).alias("band")).join(self.rows.select("id", cut(F.col("signature")).alias("band")), "band").select("query", "id").distinct()
+        met = q.select("query", cut(F.col("qs")).alias("band")).join(full.select("id", cut(F.col("signature")).alias("band")), "band").select("query", "id").distinct()
         equal = F.size(F.filter(F.zip_with("qs", "signature", lambda x, y: x == y), lambda e: e)) / self.num_hashes
         return met.join(q, "query").join(self.rows.select("id", "signature"), "id").withColumn("similarity", equal).filter(F.col("similarity") >= threshold).select("query", "id", "similarity")
 
@@ -210,8 +211,8 @@ class BloomFilter:
         self.words = spark.createDataFrame([], "word long, mask long")
 
     def positions(self, c: Column) -> Column:
-        h1, h2 = F.xxhash64(c), F.xxhash64(F.lit(1), c)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: F.pmod(h1 + i * F.shiftright(h2, 8), F.lit(self.bits)))
+        h1, h2 = (F.pmod(h, F.lit(self.bits)) for h in (F.xxhash64(c), F.xxhash64(F.lit(1), c)))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: (h1 + i * h2) % F.lit(self.bits))
 
     def insert(self, df: DataFrame, value: str) -> None:
         from kinloom.session import materialise

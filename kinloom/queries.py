@@ -2,40 +2,737 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.operators import keyed
+from kinloom.functions import phonetic, similarity as sim, text, tokenizers as tok
+from kinloom.operators import blocking, clustering, evaluation, keyed, matching, search, training
+from kinloom.plans.linkage import Linkage
+from kinloom.session import scratch_dir
+from kinloom.sources import io
+from kinloom.streaming import matching as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed.direct_predecessors(_read(spark, sf, "people"), "last_name", "seen_at", "id", "first_name", 3600)
+def _part(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
 
 
-def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed.value_profile(_read(spark, sf, "people"), "last_name", "first_name", (0.5, 0.9)).withColumnRenamed("key", "last_name")
+def _customer(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_profile)}
+def _supplier(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": """
+# --- scalar functions ------------------------------------------------------------------------------------------------------
+_LEV = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1.0 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END)"
+
+
+def lev_sql(a: str, b: str) -> str:
+    return _LEV.format(a=a, b=b)
+
+
+def _grams(x: str, n: int = 2) -> str:
+    return f"list_transform(range(1, greatest(length({x}) - {n - 1}, 0) + 1), lambda i: substr({x}, i, {n}))"
+
+
+def _toks(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+_AB = "SELECT p_partkey AS id, p_name AS a, lower(p_type) || ' ' || lower(p_brand) || ' ' || p_name AS b FROM part"
+
+
+def _ab(spark: SparkSession, sf: str) -> DataFrame:
+    p = _read(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand"), "p_name").alias("b"))
+
+
+@query(f"""
+SELECT id, levenshtein(a, b) AS lev, {lev_sql('a', 'b')} AS lev_sim, CASE WHEN levenshtein(a, b) <= 18 THEN levenshtein(a, b) END AS lev_18,
+       CASE WHEN length(a) = length(b) THEN 1.0 - hamming(a, b)::DOUBLE / length(a) ELSE 0.0 END AS hamming_sim
+FROM ({_AB})""")
+def fn_edit(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return _ab(spark, sf).select("id", sim.levenshtein(a, b).alias("lev"), sim.levenshtein_similarity(a, b).alias("lev_sim"), sim.levenshtein_threshold(a, b, 18).alias("lev_18"), sim.hamming_similarity(a, b).alias("hamming_sim"))
+
+
+@query(f"""
+WITH g AS (SELECT id, {_grams('a')} AS x, {_grams('b')} AS y, {_grams('a', 3)} AS x3, {_grams('b', 3)} AS y3, {_toks('a')} AS s, {_toks('b')} AS t FROM ({_AB})),
+k AS (SELECT *, list_distinct(list_concat(x, y)) AS u FROM g)
+SELECT id,
+  round(list_sum(list_transform(u, lambda q: len(list_filter(x, lambda z: z = q)) * len(list_filter(y, lambda z: z = q))))
+    / (sqrt(list_sum(list_transform(list_distinct(x), lambda q: len(list_filter(x, lambda z: z = q)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(y), lambda q: len(list_filter(y, lambda z: z = q)) ** 2)))), 9) AS cosine,
+  round(2.0 * list_sum(list_transform(u, lambda q: least(len(list_filter(x, lambda z: z = q)), len(list_filter(y, lambda z: z = q))))) / (len(x) + len(y)), 9) AS dice,
+  round(len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))), 9) AS jaccard,
+  round(len(list_intersect(x3, y3))::DOUBLE / len(list_distinct(list_concat(x3, y3))), 9) AS ngram3
+FROM k""")
+def fn_sets(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return _ab(spark, sf).select("id", *[F.round(f, 9).alias(n) for n, f in (("cosine", sim.cosine(a, b)), ("dice", sim.sorensen_dice(a, b)), ("jaccard", sim.jaccard(a, b)), ("ngram3", sim.ngram_similarity(a, b, 3)))])
+
+
+@query(f"""
+WITH g AS (SELECT id, a, b, {_toks('a')} AS s, {_toks('b')} AS t FROM ({_AB})),
+j AS (SELECT id, a, b, list_aggregate(list_sort(s), 'string_agg', ' ') AS ss, list_aggregate(list_sort(t), 'string_agg', ' ') AS tt,
+  coalesce(list_aggregate(list_sort(list_intersect(s, t)), 'string_agg', ' '), '') AS i,
+  coalesce(list_aggregate(list_sort(list_filter(list_distinct(s), lambda q: NOT list_contains(t, q))), 'string_agg', ' '), '') AS ra,
+  coalesce(list_aggregate(list_sort(list_filter(list_distinct(t), lambda q: NOT list_contains(s, q))), 'string_agg', ' '), '') AS rb FROM g),
+c AS (SELECT *, trim(i || ' ' || ra) AS ca, trim(i || ' ' || rb) AS cb FROM j)
+SELECT id, {lev_sql('ss', 'tt')} AS token_sort, greatest({lev_sql('i', 'ca')}, {lev_sql('i', 'cb')}, {lev_sql('ca', 'cb')}) AS token_set,
+  list_max(list_transform(range(1, length(b) - length(a) + 2), lambda k: 1.0 - levenshtein(a, substr(b, k, length(a)))::DOUBLE / length(a))) AS partial
+FROM c""")
+def fn_tokens(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return _ab(spark, sf).select("id", sim.token_sort_ratio(a, b).alias("token_sort"), sim.token_set_ratio(a, b).alias("token_set"), sim.partial_ratio(a, b).alias("partial"))
+
+
+@query()
+def fn_alignment(spark, sf):
+    """Batched dynamic programs on every pair of part name and description."""
+    a, b = F.col("a"), F.col("b")
+    fs = {"osa": sim.damerau_levenshtein, "osa_sim": sim.damerau_levenshtein_similarity, "jaro": sim.jaro, "jaro_winkler": sim.jaro_winkler, "weighted": sim.weighted_levenshtein_similarity, "lcs": sim.lcs_similarity, "substring": sim.longest_common_substring_similarity, "smith_waterman": sim.smith_waterman_similarity, "needleman_wunsch": sim.needleman_wunsch, "gotoh": sim.gotoh, "ratcliff_obershelp": sim.ratcliff_obershelp, "monge_elkan": sim.monge_elkan, "phonetic_hybrid": sim.phonetic_hybrid}
+    return _ab(spark, sf).select("id", *[f(a, b).alias(n) for n, f in fs.items()])
+
+
+@query("""
+SELECT id, CASE WHEN la = 0 AND lb = 0 THEN 1.0 ELSE 2.0 * n / (la + lb) END AS substring_sim FROM (
+  SELECT id, length(a) AS la, length(b) AS lb,
+    coalesce(list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))), 0) AS n
+  FROM (""" + _AB + "))")
+def fn_substring(spark, sf):
+    return _ab(spark, sf).select("id", sim.longest_common_substring_similarity(F.col("a"), F.col("b")).alias("substring_sim"))
+
+
+@query()
+def fn_align_ops(spark, sf):
+    r = sim.levenshtein_align(F.col("a"), F.col("b"))
+    return _ab(spark, sf).select("id", r.alias("r")).select("id", "r.ops", "r.distance", "r.visual")
+
+
+@query()
+def fn_explain(spark, sf):
+    """All 21 metrics as a map, for every pair of nation names."""
+    n = _read(spark, sf, "nation")
+    pairs = n.select(F.col("n_name").alias("a")).join(n.select(F.col("n_name").alias("b")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", sim.explain(F.col("a"), F.col("b")).alias("scores"))
+
+
+@query()
+def fn_composite(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return _ab(spark, sf).select("id", *[f()(a, b).alias(f.__name__) for f in (sim.name_matching, sim.address_matching, sim.general_purpose)])
+
+
+@query()
+def fn_phonetic(spark, sf):
+    """All codes of every person's names."""
+    p = _read(spark, sf, "people")
+    c = F.concat_ws(" ", "first_name", "last_name")
+    dm = phonetic.double_metaphone(c)
+    return p.select("id", *[phonetic.encode(c, n).alias(n) for n in phonetic.ENCODERS if n not in ("double_metaphone", "match_rating_approach")], dm["primary"].alias("dm1"), dm["alternate"].alias("dm2"), phonetic.detect_language(c).alias("language"))
+
+
+@query(r"""
+WITH w AS (SELECT id, upper(regexp_replace(coalesce(last_name, ''), '[^A-Za-z]', '', 'g')) AS s, last_name FROM people),
+c AS (SELECT id, last_name, s, s[1] AS h, translate(s[1] || regexp_replace(substr(s, 2), '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556') AS k FROM w)
+SELECT id, CASE WHEN last_name IS NULL THEN NULL WHEN s = '' THEN '0000'
+  ELSE rpad(substr(h || coalesce(list_aggregate(list_filter(list_transform(range(2, length(k) + 1), lambda i: CASE WHEN k[i] <> k[i - 1] AND k[i] BETWEEN '1' AND '6' THEN k[i] END), lambda z: z IS NOT NULL), 'string_agg', ''), ''), 1, 4), 4, '0') END AS soundex
+FROM c""")
+def fn_soundex(spark, sf):
+    return _read(spark, sf, "people").select("id", phonetic.soundex(F.col("last_name")).alias("soundex"))
+
+
+@query(r"""
+SELECT id, lower(last_name) AS folded, regexp_replace(last_name, '[!-/:-@\[-`{-~]', '', 'g') AS bare,
+  list_aggregate(list_filter(regexp_split_to_array(last_name, '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda t: t <> ''), 'string_agg', ' ') AS spaced
+FROM people WHERE last_name IS NOT NULL AND trim(last_name) <> ''""")
+def fn_text_basic(spark, sf):
+    c = F.col("last_name")
+    return _read(spark, sf, "people").filter("last_name is not null and trim(last_name) <> ''").select("id", text.fold_case(c).alias("folded"), text.strip_punctuation(c).alias("bare"), text.normalize_whitespace(c).alias("spaced"))
+
+
+@query(r"""
+WITH u AS (SELECT doc_id, trim(url) AS u FROM documents WHERE url IS NOT NULL),
+p AS (SELECT doc_id, u, lower(split_part(u, '://', 1)) AS scheme, regexp_replace(substr(u, instr(u, '://') + 3), '#.*$', '') AS rest FROM u),
+h AS (SELECT *, regexp_extract(rest, CASE WHEN contains(rest, '/') THEN '^[^/]*' ELSE '^[^?]*' END) AS host FROM p),
+q AS (SELECT *, substr(rest, length(host) + 1) AS tail FROM h)
+SELECT doc_id, CASE WHEN NOT contains(u, '://') THEN lower(u) ELSE
+  scheme || '://' || regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(lower(host), ':80$', '') WHEN 'https' THEN regexp_replace(lower(host), ':443$', '') ELSE lower(host) END, '^www\.', '')
+  || regexp_replace(split_part(tail, '?', 1), '/+$', '')
+  || CASE WHEN contains(tail, '?') AND substr(tail, instr(tail, '?') + 1) <> '' THEN '?' || list_aggregate(list_sort(string_split(substr(tail, instr(tail, '?') + 1), '&')), 'string_agg', '&') ELSE '' END END AS url
+FROM q""")
+def fn_normalize_url(spark, sf):
+    return _read(spark, sf, "documents").filter("url is not null").select("doc_id", text.normalize_url(F.col("url")).alias("url"))
+
+
+@query()
+def fn_text_clean(spark, sf):
+    """Every normaliser without parameters on every name."""
+    c = F.concat_ws(" ", "first_name", "last_name")
+    return _read(spark, sf, "people").select("id", *[f(c).alias(n) for n, f in text.OPERATIONS.items()])
+
+
+@query(r"""
+SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS words, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND NOT list_contains(['the', 'a', 'of', 'and', 'to', 'in'], lower(w)))) AS content_words
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g') AS t FROM documents)""")
+def fn_word_count(spark, sf):
+    """White-space tokens of the letters of every text, and those outside a short stop list."""
+    d = _read(spark, sf, "documents").select("doc_id", tok.whitespace_tokenize(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " ")).alias("t"))
+    stop = F.array(*map(F.lit, ["the", "a", "of", "and", "to", "in"]))
+    return d.select("doc_id", F.size("t").alias("words"), F.size(F.filter("t", lambda w: ~F.array_contains(stop, F.lower(w)))).alias("content_words"))
+
+
+@query()
+def fn_tokenizers(spark, sf):
+    """Sizes of all tokenisations of every text."""
+    c = F.col("text")
+    return _read(spark, sf, "documents").select("doc_id", *[F.size(f(c)).alias(n) for n, f in tok.TOKENIZERS.items()])
+
+
+# --- blocking ----------------------------------------------------------------------------------------------------------------
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select("left_id", "right_id")
+
+
+@query("SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey", "block_exact")
+def _(spark, sf):
+    return _pairs(blocking.exact(_part(spark, sf), None, "name"))
+
+
+@query()
+def block_phonetic(spark, sf):
+    return _pairs(blocking.phonetic_code(_supplier(spark, sf), None, "name", "metaphone"))
+
+
+@query("""
+SELECT least(id, nxt) AS left_id, greatest(id, nxt) AS right_id FROM (
+  SELECT p_partkey AS id, unnest([lead(p_partkey, 1) OVER w, lead(p_partkey, 2) OVER w]) AS nxt FROM part WINDOW w AS (ORDER BY lower(p_name), p_partkey)) WHERE nxt IS NOT NULL""")
+def block_sorted_neighborhood(spark, sf):
+    return _pairs(blocking.sorted_neighborhood(_part(spark, sf), None, "name", 3))
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS id, unnest({_grams('lower(s_name)', 3)}) AS g FROM supplier), n AS (SELECT n_nationkey AS id, unnest({_grams('lower(n_name)', 3)}) AS g FROM nation)
+SELECT s.id AS left_id, n.id AS right_id FROM s JOIN n USING (g) GROUP BY ALL HAVING count(*) >= 1""")
+def block_qgram_link(spark, sf):
+    n = _read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return _pairs(blocking.qgram(_supplier(spark, sf), n, "name", 3, 1))
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS id, g, count(*) AS n FROM (SELECT s_suppkey, unnest({_grams('lower(s_name)', 3)}) AS g FROM supplier) GROUP BY ALL)
+SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL HAVING sum(a.n * b.n) >= 60""")
+def block_qgram(spark, sf):
+    return _pairs(blocking.qgram(_supplier(spark, sf), None, "name", 3, 60))
+
+
+@query()
+def block_lsh(spark, sf):
+    """Near-identical pages by MinHash bands of their urls."""
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.normalize_url(F.col("url")).alias("url"))
+    return _pairs(blocking.lsh(d, None, "url", 100, 10))
+
+
+@query()
+def block_canopy(spark, sf):
+    s = _supplier(spark, sf)
+    return _pairs(blocking.canopy(s, None, "name", 0.98, 0.97, "jaro_winkler", coarse="nation"))
+
+
+@query("""
+SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(floor(a.s_acctbal / 50) - floor(b.s_acctbal / 50)) <= 1""")
+def block_numeric(spark, sf):
+    return _pairs(blocking.numeric(_supplier(spark, sf), None, "balance", 50.0))
+
+
+@query("""
+WITH d AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS d, o_custkey AS c FROM orders)
+SELECT a.id AS left_id, b.id AS right_id FROM d a JOIN d b ON a.d = b.d AND a.id < b.id""")
+def block_date(spark, sf):
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    return _pairs(blocking.date(o, None, "date", "day"))
+
+
+@query("""
+WITH p AS (SELECT s_suppkey AS id, substr(s_name, 1, k) AS pre FROM supplier, range(2, 40) t(k) WHERE k <= length(s_name)),
+rare AS (SELECT pre FROM p GROUP BY pre HAVING count(*) <= 20)
+SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM p a JOIN rare USING (pre) JOIN p b ON a.pre = b.pre AND a.id < b.id""")
+def block_trie(spark, sf):
+    return _pairs(blocking.trie(_supplier(spark, sf), None, "name", 2, 20))
+
+
+@query("""
+SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(floor(a.s_acctbal / 500) - floor(b.s_acctbal / 500)) <= 1""")
+def block_intersection(spark, sf):
+    s = _supplier(spark, sf)
+    return _pairs(blocking.intersection([blocking.exact(s, None, "nation"), blocking.numeric(s, None, "balance", 500.0)]))
+
+
+@query("""
+SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND (a.s_nationkey = b.s_nationkey OR abs(floor(a.s_acctbal / 50) - floor(b.s_acctbal / 50)) <= 1)""")
+def block_union(spark, sf):
+    s = _supplier(spark, sf)
+    return _pairs(blocking.union([blocking.exact(s, None, "nation"), blocking.numeric(s, None, "balance", 50.0)]))
+
+
+# --- linkage plans -------------------------------------------------------------------------------------------------------------
+def _flat(df: DataFrame, n: int) -> DataFrame:
+    return df.select("left_id", "right_id", F.round("score", 9).alias("score"), "match_class", *[F.round(F.col("scores")[i], 9).alias(f"s{i}") for i in range(n)])
+
+
+@query(f"""
+SELECT * FROM (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, round({lev_sql('lower(a.p_name)', 'lower(b.p_name)')}, 9) AS score, 'match' AS match_class,
+  round({lev_sql('lower(a.p_name)', 'lower(b.p_name)')}, 9) AS s0 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) WHERE score >= 0.7""")
+def linkage_dedup_part(spark, sf):
+    plan = Linkage().preprocess("name", ["fold_case"]).block_exact("brand").compare_string("name", "levenshtein").classify_threshold(0.7)
+    return _flat(plan.dedup(_part(spark, sf)), 1)
+
+
+_BANDED = f"""
+SELECT left_id, right_id, round((s0 + s1 + s2) / 3, 9) AS score, CASE WHEN (s0 + s1 + s2) / 3 >= 0.8 THEN 'match' ELSE 'possible' END AS match_class, round(s0, 9) AS s0, round(s1, 9) AS s1, round(s2, 9) AS s2 FROM (
+  SELECT a.s_suppkey AS left_id, b.c_custkey AS right_id, {lev_sql('a.s_name', 'b.c_name')} AS s0, greatest(0.0, 1 - abs(a.s_acctbal - b.c_acctbal) / 500) AS s1, CASE WHEN a.s_nationkey = b.c_nationkey THEN 1.0 ELSE 0.0 END AS s2
+  FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey) WHERE (s0 + s1 + s2) / 3 >= 0.7"""
+
+
+@query(_BANDED)
+def linkage_link_banded(spark, sf):
+    plan = Linkage().block_exact("nation").compare_string("name", "levenshtein").compare_numeric("balance", 500.0).compare_exact("nation").classify_threshold_bands(0.8, 0.7)
+    return _flat(plan.link(_supplier(spark, sf), _customer(spark, sf)), 3)
+
+
+@query("""
+SELECT left_id, right_id, round(0.6 * s0 + 0.4 * s1, 9) AS score, 'match' AS match_class, round(s0, 9) AS s0, round(s1, 9) AS s1 FROM (
+  SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id,
+    CASE WHEN a.d = b.d THEN 1.0 ELSE 0.4 * (year(a.o_orderdate) = year(b.o_orderdate))::INT + 0.3 * (month(a.o_orderdate) = month(b.o_orderdate))::INT + 0.3 * (day(a.o_orderdate) = day(b.o_orderdate))::INT END AS s0,
+    greatest(0.0, 1 - abs(a.o_totalprice - b.o_totalprice) / 10000) AS s1
+  FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) a JOIN (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
+WHERE 0.6 * s0 + 0.4 * s1 >= 0.5""")
+def linkage_weighted_orders(spark, sf):
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("price"))
+    return _flat(Linkage().block_exact("customer").compare_date("date").compare_numeric("price", 10000.0).classify_weighted([0.6, 0.4], 0.5).dedup(o), 2)
+
+
+@query("""
+WITH v AS (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS s0, CASE WHEN a.p_brand = b.p_brand THEN 1.0 ELSE 0.0 END AS s1, greatest(0.0, 1 - abs(a.p_size - b.p_size) / 10.0) AS s2
+  FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey),
+w AS (SELECT *, CASE WHEN s0 >= 0.5 THEN ln(0.9 / 0.2) ELSE ln((1 - 0.9) / (1 - 0.2)) END + CASE WHEN s1 >= 0.5 THEN ln(0.8 / 0.1) ELSE ln((1 - 0.8) / (1 - 0.1)) END + CASE WHEN s2 >= 0.5 THEN ln(0.9 / 0.3) ELSE ln((1 - 0.9) / (1 - 0.3)) END AS t FROM v)
+SELECT left_id, right_id, round(t, 9) AS score, CASE WHEN t >= 3 THEN 'match' ELSE 'possible' END AS match_class, s0, s1, round(s2, 9) AS s2 FROM w WHERE t > 0""")
+def linkage_fellegi_sunter(spark, sf):
+    plan = Linkage().block_exact("name").compare_exact("type").compare_exact("brand").compare_numeric("size", 10.0).classify_fellegi_sunter([0.9, 0.8, 0.9], [0.2, 0.1, 0.3], 3.0, 0.0)
+    return _flat(plan.dedup(_part(spark, sf)), 3)
+
+
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "people").select("id", "first_name", "last_name", "dob", "city", F.concat_ws("|", "postcode", "dob").alias("home"))
+
+
+@query()
+def linkage_people_em(spark, sf):
+    """All people: blocked by postcode and date of birth, four comparators, m and u estimated on the candidates."""
+    ops = ["fold_case", "strip_punctuation", "normalize_whitespace"]
+    plan = Linkage().preprocess("first_name", ops).preprocess("last_name", ops).block_exact("home")
+    plan.compare_string("first_name").compare_string("last_name").compare_phonetic("last_name").compare_exact("city").classify_fellegi_sunter_auto()
+    return plan.dedup(_people(spark, sf)).select("left_id", "right_id", "score", "match_class")
+
+
+@query()
+def linkage_people_clusters(spark, sf):
+    ops = ["fold_case", "strip_punctuation", "normalize_whitespace"]
+    plan = Linkage().preprocess("first_name", ops).preprocess("last_name", ops).block_exact("home").compare_string("first_name").compare_string("last_name").classify_threshold(0.9).cluster_connected_components()
+    return plan.dedup_cluster(_people(spark, sf))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """scores and label of the scored pairs that were decided."""
+    return _read(spark, sf, "dup_pairs").filter("scores is not null and match_class in ('match', 'non_match')").select("left_id", "right_id", "scores", "score", (F.col("match_class") == "match").alias("label"))
+
+
+@query("""
+SELECT CAST((scores[1] >= 0.5) AS INT) AS b0, CAST((scores[2] >= 0.5) AS INT) AS b1, CAST((scores[3] >= 0.5) AS INT) AS b2, count(*) AS n FROM match_results WHERE scores IS NOT NULL GROUP BY ALL""")
+def em_patterns(spark, sf):
+    """Agreement patterns, the one aggregation that estimation needs."""
+    m = _read(spark, sf, "match_results").filter("scores is not null")
+    return m.groupBy(*[F.coalesce((F.col("scores")[i] >= 0.5).cast("int"), F.lit(0)).alias(f"b{i}") for i in range(3)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def em_estimate(spark, sf):
+    em = training.estimate_fellegi_sunter(_read(spark, sf, "match_results").filter("scores is not null"), 3)
+    return spark.createDataFrame([(i, m, u, em.p_match) for i, (m, u) in enumerate(zip(em.m_probabilities, em.u_probabilities))], "field int, m double, u double, p_match double")
+
+
+@query()
+def train_logistic(spark, sf):
+    v = _vectors(spark, sf)
+    return training.predict(v.drop("score"), training.train_logistic_regression(v)).select("left_id", "right_id", "score", "match_class")
+
+
+@query()
+def train_tree(spark, sf):
+    v = _vectors(spark, sf)
+    return training.predict(v.drop("score"), training.train_decision_tree(v)).select("left_id", "right_id", "score", "match_class")
+
+
+# --- clustering ------------------------------------------------------------------------------------------------------------------
+_LINKS = "SELECT DISTINCT left_id AS a, right_id AS b FROM dup_pairs WHERE match_class = 'match' AND left_id IS NOT NULL AND right_id IS NOT NULL AND left_id <> right_id"
+_CC = f"""
+WITH RECURSIVE links AS ({_LINKS}), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+best(record_id, component) USING KEY (record_id) AS (
+  SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+  UNION SELECT e.b, min(r.component) FROM best AS r JOIN both_ways AS e ON e.a = r.record_id JOIN recurring.best AS old ON old.record_id = e.b WHERE r.component < old.component GROUP BY e.b)
+"""
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "dup_pairs").filter("match_class = 'match' and left_id is not null and right_id is not null and left_id <> right_id and score is not null and not isnan(score)")
+
+
+@query(_CC + "SELECT record_id, component FROM best")
+def cluster_components(spark, sf):
+    return clustering.components(_read(spark, sf, "dup_pairs").filter("match_class = 'match'"))
+
+
+@query(_CC + "SELECT record_id, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS cluster_id FROM best")
+def cluster_numbered(spark, sf):
+    return clustering.connected_components(_read(spark, sf, "dup_pairs").filter("match_class = 'match'"))
+
+
+def _sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of one nation with the similarity of their balances: a graph of small components."""
+    s = _supplier(spark, sf)
+    pairs = blocking.intersection([blocking.exact(s, None, "nation"), blocking.numeric(s, None, "balance", 100.0)])
+    side = lambda n: s.select(F.col("id").alias(f"{n}_id"), F.col("balance").alias(f"{n}_b"))
+    d = 1.0 - F.abs(F.col("left_b") - F.col("right_b")) / 200.0
+    return pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", F.greatest(F.lit(0.0), d).alias("score"))
+
+
+_SPARSE = "SELECT a.s_suppkey AS x, b.s_suppkey AS y, greatest(0.0, 1 - abs(a.s_acctbal - b.s_acctbal) / 200.0) AS s FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(floor(a.s_acctbal / 100) - floor(b.s_acctbal / 100)) <= 1"
+
+
+@query(name="cluster_hierarchical")
+def _(spark, sf):
+    return clustering.hierarchical(_sparse(spark, sf), "average", 0.4)
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT x, y FROM ({_SPARSE}) WHERE s >= 0.6), b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+core AS (SELECT x FROM b GROUP BY x HAVING count(*) >= 2), cc AS (SELECT b.x, b.y FROM b WHERE x IN (SELECT x FROM core) AND y IN (SELECT x FROM core)),
+reach AS (SELECT x, x AS c FROM core UNION SELECT cc.y, reach.c FROM reach JOIN cc ON cc.x = reach.x), home AS (SELECT x, min(c) AS c FROM reach GROUP BY x),
+placed AS (SELECT x, c FROM home UNION ALL SELECT b.y, min(home.c) FROM b JOIN home ON home.x = b.x WHERE b.y NOT IN (SELECT x FROM core) GROUP BY b.y),
+num AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS label FROM (SELECT DISTINCT c FROM home))
+SELECT s_suppkey AS record_id, coalesce(label, -1) AS label FROM supplier LEFT JOIN placed ON placed.x = s_suppkey LEFT JOIN num USING (c)""")
+def cluster_dbscan(spark, sf):
+    return clustering.dbscan(_supplier(spark, sf), _sparse(spark, sf), 0.6, 2)
+
+
+@query()
+def cluster_optics(spark, sf):
+    return clustering.optics(_supplier(spark, sf), _sparse(spark, sf), 2, 0.6)
+
+
+@query()
+def cluster_incremental(spark, sf):
+    return clustering.incremental(_supplier(spark, sf), "name", "id", "nation", threshold=0.97)
+
+
+_LABELS = "SELECT s_suppkey AS n, s_nationkey AS l FROM supplier"
+_DIST = f"""
+lab AS ({_LABELS}), e AS ({_SPARSE}), allp AS (SELECT p.n AS n, p.l AS pl, q.n AS m, q.l AS ql, coalesce(1 - e.s, 1.0) AS d
+  FROM lab p JOIN lab q ON p.n <> q.n LEFT JOIN e ON e.x = least(p.n, q.n) AND e.y = greatest(p.n, q.n))"""
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _supplier(spark, sf).select(F.col("id").alias("record_id"), F.col("nation").alias("label"))
+
+
+@query(f"""
+WITH {_DIST}, m AS (SELECT n, pl, ql, avg(d) AS d FROM allp GROUP BY ALL), own AS (SELECT n, d AS a FROM m WHERE pl = ql), oth AS (SELECT n, min(d) AS b FROM m WHERE pl <> ql GROUP BY n)
+SELECT round(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 9) AS silhouette FROM own JOIN oth USING (n)""")
+def quality_silhouette(spark, sf):
+    return clustering.silhouette_score(_sparse(spark, sf), _labels(spark, sf)).select(F.round("silhouette", 9).alias("silhouette"))
+
+
+@query(f"""
+WITH {_DIST}, sc AS (SELECT l, coalesce(avg(d), 0.0) AS s FROM (SELECT DISTINCT l FROM lab) LEFT JOIN allp ON pl = l AND ql = l GROUP BY l),
+sep AS (SELECT pl, ql, avg(d) AS d FROM allp WHERE pl <> ql GROUP BY ALL)
+SELECT round(avg(r), 9) AS davies_bouldin FROM (SELECT pl, max(CASE WHEN d > 0 THEN (a.s + b.s) / d ELSE 0 END) AS r FROM sep JOIN sc a ON a.l = pl JOIN sc b ON b.l = ql GROUP BY pl)""")
+def quality_davies_bouldin(spark, sf):
+    return clustering.davies_bouldin_index(_sparse(spark, sf), _labels(spark, sf)).select(F.round("davies_bouldin", 9).alias("davies_bouldin"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------------
+_TRUTH = "truth AS (SELECT DISTINCT least(left_id, right_id) AS p, greatest(left_id, right_id) AS q FROM dup_pairs WHERE match_class = 'match' AND left_id IS NOT NULL AND right_id IS NOT NULL)"
+_PRED = "pred AS (SELECT DISTINCT least(left_id, right_id) AS p, greatest(left_id, right_id) AS q FROM dup_pairs WHERE score >= 0.85 AND NOT isnan(score) AND left_id IS NOT NULL AND right_id IS NOT NULL)"
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "dup_pairs").filter("match_class = 'match'")
+
+
+@query(f"""
+WITH {_TRUTH}, {_PRED}, c AS (SELECT count(*) FILTER (t.p IS NOT NULL AND r.p IS NOT NULL) AS tp, count(*) FILTER (t.p IS NULL) AS fp, count(*) FILTER (r.p IS NULL) AS fn FROM truth t FULL JOIN pred r USING (p, q))
+SELECT tp, fp, fn, CAST(NULL AS BIGINT) AS tn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1 FROM c""")
+def eval_confusion(spark, sf):
+    predicted = _read(spark, sf, "dup_pairs").filter("score >= 0.85 and not isnan(score)")
+    return evaluation.confusion_matrix(predicted, _truth(spark, sf))
+
+
+_ROC = f"""
+WITH {_TRUTH}, best AS (SELECT least(left_id, right_id) AS p, greatest(left_id, right_id) AS q, max(score) AS s FROM dup_pairs WHERE score IS NOT NULL AND NOT isnan(score) AND left_id IS NOT NULL AND right_id IS NOT NULL GROUP BY ALL),
+cells AS (SELECT s, count(t.p) AS t, count(*) AS n FROM best LEFT JOIN truth t USING (p, q) GROUP BY s),
+cum AS (SELECT s AS threshold, sum(t) OVER w AS tp, sum(n) OVER w - sum(t) OVER w AS fp, (SELECT count(*) FROM truth) AS pos FROM cells WINDOW w AS (ORDER BY s DESC)),
+roc AS (SELECT threshold, tp, fp, pos FROM cum UNION ALL SELECT min(threshold) - 1, max(tp), max(fp), max(pos) FROM cum)
+"""
+
+
+@query(_ROC + "SELECT threshold, round(fp / (1000000 - pos), 9) AS fpr, round(tp / pos, 9) AS tpr FROM roc")
+def eval_roc(spark, sf):
+    c = evaluation.roc_curve(_read(spark, sf, "dup_pairs"), _truth(spark, sf), 1_000_000)
+    return c.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query(_ROC + """, pts AS (SELECT fp / (1000000 - pos) AS x, tp / pos AS y FROM roc)
+SELECT round(sum((x - px) * (y + py) / 2), 9) AS auc FROM (SELECT x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pts WINDOW w AS (ORDER BY x, y)) WHERE px IS NOT NULL""")
+def eval_auc(spark, sf):
+    return evaluation.auc(evaluation.roc_curve(_read(spark, sf, "dup_pairs"), _truth(spark, sf), 1_000_000)).select(F.round("auc", 9).alias("auc"))
+
+
+@query(_ROC + """, r AS (SELECT threshold, tp / (tp + fp) AS precision, tp / pos AS recall FROM cum)
+SELECT threshold, f1, precision, recall FROM (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r) ORDER BY f1 DESC, threshold LIMIT 1""")
+def eval_optimal_threshold(spark, sf):
+    return evaluation.optimal_threshold(_read(spark, sf, "dup_pairs"), _truth(spark, sf))
+
+
+@query("""
+WITH v AS (SELECT score AS s, match_class = 'match' AS y FROM dup_pairs WHERE scores IS NOT NULL AND match_class IN ('match', 'non_match') AND score IS NOT NULL AND NOT isnan(score)),
+b AS (SELECT min(s) AS lo, (max(s) - min(s)) / 50 AS step FROM v), g AS (SELECT lo + i * step AS threshold FROM b, range(51) t(i)),
+c AS (SELECT threshold, count(*) FILTER (s >= threshold AND y) AS tp, count(*) FILTER (s >= threshold AND NOT y) AS fp, count(*) FILTER (s < threshold AND y) AS fn FROM g, v GROUP BY threshold)
+SELECT round(threshold, 9) AS threshold, tp, fp, fn FROM c""")
+def eval_threshold_grid(spark, sf):
+    g = evaluation.threshold_grid(_vectors(spark, sf).filter("not isnan(score)"), n_thresholds=50)
+    return g.select(F.round("threshold", 9).alias("threshold"), "tp", "fp", "fn")
+
+
+@query(f"""
+WITH p AS (SELECT a.n_nationkey AS "left", b.n_nationkey AS "right", a.n_name AS left_value, b.n_name AS right_value, {lev_sql('a.n_name', 'b.n_name')} AS score FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey)
+SELECT * FROM p ORDER BY abs(score - 0.85), "left", "right" LIMIT 10""")
+def active_uncertain_pairs(spark, sf):
+    learner = evaluation.ActiveLearner("levenshtein", 0.85)
+    learner.score_pairs(_read(spark, sf, "nation"), "n_nationkey", "n_name")
+    return learner.uncertain_pairs(10)
+
+
+# --- matching and search ---------------------------------------------------------------------------------------------------------
+@query(f"SELECT p_partkey, p_name, {lev_sql('p_name', chr(39) + 'small ring' + chr(39))} AS score FROM part WHERE score >= 0.6 ORDER BY score DESC, p_partkey LIMIT 25")
+def match_batch(spark, sf):
+    return matching.match_batch(_read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "small ring", "levenshtein", 0.6, 25)
+
+
+@query(f"SELECT p_partkey, p_name, {lev_sql('p_name', chr(39) + 'smal rings' + chr(39))} AS score FROM part ORDER BY score DESC, p_partkey LIMIT 1")
+def match_best(spark, sf):
+    return matching.match_best(_read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "smal rings", "levenshtein")
+
+
+@query(f"""SELECT id, b.value, b.score, b."index" FROM (SELECT p_partkey AS id, list_sort(list_transform(['small ring', 'red box', 'large bolt'], lambda v, i: {{'score': -{lev_sql('p_name', 'v')}, 'index': CAST(i - 1 AS INT), 'value': v}}))[1] AS o FROM part) t,
+LATERAL (SELECT {{'value': o.value, 'score': -o.score, 'index': o."index"}} AS b)""")
+def match_column(spark, sf):
+    best = matching.column_match_best(F.col("p_name"), ["small ring", "red box", "large bolt"], "levenshtein")
+    return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), best.alias("b")).select("id", "b.value", "b.score", "b.index")
+
+
+@query(f"SELECT a.n_nationkey AS row, b.s_suppkey AS col, {lev_sql('a.n_name', 'b.s_name')} AS score FROM nation a, supplier b")
+def cdist(spark, sf):
+    return matching.cdist(_read(spark, sf, "nation"), _read(spark, sf, "supplier"), "n_nationkey", "n_name", "s_suppkey", "s_name", "levenshtein")
+
+
+@query()
+def pairwise_jaro_winkler(spark, sf):
+    """Throughput of a batched kernel: every person's two names."""
+    return matching.pairwise_similarity(_read(spark, sf, "people").select("id", "first_name", "last_name"), "first_name", "last_name")
+
+
+_FUZZY = f"""
+WITH p AS (SELECT s_suppkey, s_name, s_nationkey, c_custkey, c_name, {lev_sql('s_name', 'c_name')} AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_name) AS r FROM p WHERE score >= 0.5)
+"""
+
+
+@query(_FUZZY + """SELECT s_suppkey, s_name, s_nationkey, c_custkey AS c_custkey_right, c_name AS c_name_right, c_nationkey AS c_nationkey_right, score AS _score FROM k JOIN customer USING (c_custkey, c_name) WHERE r <= 2""")
+def fuzzy_join_inner(spark, sf):
+    s, c = _read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), _read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return matching.fuzzy_join(s, c, left_on="s_name", right_on="c_name", scorer="levenshtein", threshold=0.5, limit=2, block=[("s_nationkey", "c_nationkey")])
+
+
+@query(f"""
+WITH p AS (SELECT n_nationkey, n_name, r_regionkey, r_name, {lev_sql('n_name', 'r_name')} AS s FROM nation, region),
+k AS (SELECT * FROM p WHERE s >= 0.25 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY s DESC, r_name) = 1)
+SELECT nation.n_nationkey, nation.n_name, r_regionkey AS r_regionkey_right, r_name AS r_name_right, s AS _score FROM nation LEFT JOIN k USING (n_nationkey)""")
+def fuzzy_join_left(spark, sf):
+    return matching.fuzzy_join(_read(spark, sf, "nation").select("n_nationkey", "n_name"), _read(spark, sf, "region").select("r_regionkey", "r_name"), left_on="n_name", right_on="r_name", scorer="levenshtein", threshold=0.25, how="left")
+
+
+@query()
+def deduplicate_values(spark, sf):
+    return matching.deduplicate(_read(spark, sf, "nation"), "n_nationkey", "n_name", "jaro_winkler", 0.97)
+
+
+@query(r"""
+WITH t AS (SELECT p_partkey AS id, lower(unnest(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x <> ''))) AS tok FROM part),
+n AS (SELECT count(*) AS n FROM part), df AS (SELECT tok, ln((SELECT n FROM n) / count(DISTINCT id)) AS idf FROM t GROUP BY tok),
+v AS (SELECT id, tok, count(*) / sum(count(*)) OVER (PARTITION BY id) * idf AS w FROM t JOIN df USING (tok) GROUP BY id, tok, idf),
+q AS (SELECT tok, count(*) / 3 * idf AS w FROM (SELECT unnest(['small', 'ring', 'economy']) AS tok) JOIN df USING (tok) GROUP BY tok, idf),
+s AS (SELECT id, sum(v.w * q.w) AS dot FROM v JOIN q USING (tok) GROUP BY id), nv AS (SELECT id, sqrt(sum(w * w)) AS nn FROM v GROUP BY id)
+SELECT p_partkey, round(coalesce(dot / (nn * (SELECT sqrt(sum(w * w)) FROM q)), 0.0), 9) AS score FROM part LEFT JOIN s ON s.id = p_partkey LEFT JOIN nv ON nv.id = p_partkey""")
+def tfidf_match(spark, sf):
+    p = _read(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    return matching.TfIdf.fit(p, "t").match_batch("small ring ECONOMY", p, "p_partkey", "t").select("p_partkey", F.round("score", 9).alias("score"))
+
+
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value"))
+
+
+@query("SELECT p_partkey AS id, p_name AS value, levenshtein(p_name, 'smal ring') AS distance FROM part WHERE levenshtein(p_name, 'smal ring') <= 3")
+def search_within(spark, sf):
+    return search.NearestIndex.build(_values(spark, sf)).find_within("smal ring", 3)
+
+
+@query("SELECT p_partkey AS id, p_name AS value, levenshtein(p_name, 'red blt') AS distance FROM part ORDER BY distance, id LIMIT 12")
+def search_nearest(spark, sf):
+    return search.NearestIndex.build(_values(spark, sf)).find_nearest("red blt", 12)
+
+
+@query()
+def search_nearest_metric(spark, sf):
+    return search.NearestIndex.build(_values(spark, sf), metric="jaro_winkler").find_nearest("red blt", 12)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS id, unnest({_grams('p_name')}) AS g FROM part), q AS (SELECT unnest({_grams(chr(39) + 'small ring' + chr(39))}) AS g)
+SELECT id, p_name AS value, CAST(count(*) AS BIGINT) AS shared FROM p JOIN q USING (g) JOIN part ON p_partkey = id GROUP BY id, p_name HAVING count(*) >= 4""")
+def search_ngram(spark, sf):
+    return search.PostingsIndex.build(_values(spark, sf), kind="ngram:2").search("small ring", 4)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS g FROM part), q AS (SELECT unnest(['red', 'box']) AS g)
+SELECT id, p_name AS value, CAST(count(*) AS BIGINT) AS shared FROM p JOIN q USING (g) JOIN part ON p_partkey = id GROUP BY id, p_name""")
+def search_inverted(spark, sf):
+    return search.PostingsIndex.build(_values(spark, sf), kind="whitespace").search("Red BOX", 1)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS g FROM part), q AS (SELECT n_name AS query, unnest(string_split(lower(n_name || ' ' || p_name), ' ')) AS g FROM nation JOIN part ON p_partkey = n_nationkey)
+SELECT query, id, CAST(count(*) AS BIGINT) AS shared FROM p JOIN q USING (g) GROUP BY ALL""")
+def search_postings_file(spark, sf):
+    """A postings table written sorted as Parquet and searched for a table of queries."""
+    index = search.PostingsIndex.build(_values(spark, sf), kind="whitespace")
+    path = f"{scratch_dir(spark)}/postings-{uuid.uuid4().hex}"
+    index.write_postings(path)
+    q = _read(spark, sf, "nation").join(_read(spark, sf, "part"), F.col("n_nationkey") == F.col("p_partkey")).select("n_name", F.concat_ws(" ", "n_name", "p_name").alias("query"))
+    found = search.PostingsIndex.search_postings(spark.read.parquet(path), "whitespace", q)
+    return found.join(q, "query").select(F.col("n_name").alias("query"), "id", "shared")
+
+
+@query()
+def search_minhash(spark, sf):
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("url").alias("value"))
+    queries = d.filter("id % 20 = 0").select(F.col("value").alias("query"))
+    return search.MinHashIndex.build(d).query_all(queries, 0.5)
+
+
+@query("SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_order FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def search_bloom(spark, sf):
+    """Customers the filter takes for buyers, then confirmed: no buyer is missed."""
+    o = _read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("k"))
+    f = search.BloomFilter(spark, max(1, _read(spark, sf, "customer").count()), 0.01)
+    f.insert(o, "k")
+    maybe = f.contains(_read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("k")), "k").filter("maybe")
+    return maybe.join(o, "k", "left_semi").select("id", F.col("maybe").alias("has_order"))
+
+
+# --- streams, sources and sinks ----------------------------------------------------------------------------------------------------
+@query("SELECT event_id, event_type, score FROM (SELECT event_id, event_type, " + lev_sql("event_type", "'purchas'") + " AS score FROM events) WHERE score >= 0.5")
+def stream_match(spark, sf):
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = streams.read_files(spark, f"{sf}/events.parquet", _read(spark, sf, "events").schema, max_files_per_trigger=1)
+    scored = streams.match_stream(source.select("event_id", "event_type"), "event_type", "purchas", "levenshtein", 0.5)
+    streams.run_to_table(scored, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("event_id long, event_type string, score double").parquet(f"{base}/out")
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup(spark, sf):
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = streams.read_files(spark, f"{sf}/events.parquet", _read(spark, sf, "events").schema)
+    first = streams.dedup_within_watermark(source, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+    streams.run_to_table(first, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
+
+
+@query()
+def stream_clusters(spark, sf):
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = streams.read_files(spark, f"{sf}/events.parquet", _read(spark, sf, "events").schema)
+    found = streams.incremental_clusters(source.select(F.col("user_id").cast("string").alias("user"), "event_id", "event_type"), "user", "event_id", "event_type", threshold=0.8)
+    streams.run_to_table(found, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("block string, value string, cluster int, is_new boolean, similarity double").parquet(f"{base}/out")
+
+
+@query("SELECT left_id, right_id, CAST(score AS VARCHAR) AS score FROM match_results WHERE scores IS NOT NULL AND left_id IS NOT NULL AND right_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+def sink_matches_csv(spark, sf):
+    """Matches written as CSV and read back."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    m = _read(spark, sf, "match_results").filter("scores is not null and left_id is not null and right_id is not null and score is not null and not isnan(score)")
+    io.write_matches_csv(m, path)
+    return io.read_csv(spark, path).select("left_id", "right_id", "score")
+
+
+# --- problem 3 -----------------------------------------------------------------------------------------------------------------------
+@query("""
 SELECT id FROM (
   SELECT id, first_name, seen_at, lag(first_name) OVER w AS before_name, lag(seen_at) OVER w AS before_at
   FROM people WHERE last_name IS NOT NULL AND seen_at IS NOT NULL WINDOW w AS (PARTITION BY last_name ORDER BY seen_at, id))
-WHERE first_name = before_name AND seen_at - before_at <= INTERVAL 3600 SECOND""",
-        "p3_profile": """
+WHERE first_name = before_name AND seen_at - before_at <= INTERVAL 3600 SECOND""")
+def p3_found(spark, sf):
+    return keyed.direct_predecessors(_read(spark, sf, "people"), "last_name", "seen_at", "id", "first_name", 3600)
+
+
+@query("""
 WITH cells AS (SELECT last_name, first_name AS v, count(*) AS w FROM people WHERE last_name IS NOT NULL AND first_name IS NOT NULL GROUP BY ALL),
 placed AS (SELECT *, sum(w) OVER (PARTITION BY last_name ORDER BY v) AS upto, sum(w) OVER (PARTITION BY last_name) AS n, max(w) OVER (PARTITION BY last_name) AS mode_n FROM cells)
 SELECT last_name, CAST(max(n) AS BIGINT) AS n, count(*) AS n_distinct, min(v) FILTER (w = mode_n) AS mode, max(mode_n) AS mode_n,
        min(v) FILTER (upto >= ceil(n * 0.5)) AS p50, min(v) FILTER (upto >= ceil(n * 0.9)) AS p90
-FROM placed GROUP BY last_name""",
-    }
+FROM placed GROUP BY last_name""")
+def p3_profile(spark, sf):
+    return keyed.value_profile(_read(spark, sf, "people"), "last_name", "first_name", (0.5, 0.9)).withColumnRenamed("key", "last_name")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -29,23 +29,27 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", max
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        # a stream watches folders; a single file is the only one of its folder that is let through
+        return reader.option("pathGlobFilter", where.getName()).load(where.getParent().toString())
     return reader.load(path)
 
 
 def dedup_within_watermark(stream: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:
     """The first row of each key; a repetition within ``delay`` is dropped and the state is bounded by it."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_matches(stream: DataFrame, value: str, time: str, query: str, window: str = "1 hour", delay: str = "10 minutes", scorer="jaro_winkler", threshold: float = 0.85) -> DataFrame:
     """(window, matches, best) per tumbling window of event time; late rows beyond the watermark are dropped."""
-    hits = match_stream(stream.withWatermark(time, delay), value, query, scorer, threshold)
+    hits = match_stream(stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay), value, query, scorer, threshold)
     return hits.groupBy(F.window(time, window)).agg(F.count(F.lit(1)).alias("matches"), F.max("score").alias("best"))
 
 
-def incremental_clusters(stream: DataFrame, block: str, order: str, value: str, metric: str = "jaro_winkler", threshold: float = 0.85, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def incremental_clusters(stream: DataFrame, block: str, order: str, value: str, metric: str = "jaro_winkler", threshold: float = 0.85, timeout_ms: int | None = None) -> DataFrame:
     """(block, value, cluster, is_new, similarity): incremental clustering per block; the state is the representatives,
-    dropped after ``timeout_ms`` without a row for the block."""
+    kept for ever or dropped after ``timeout_ms`` without a row for the block (for queries that run on, not to an end)."""
 
     def assign(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,10 +62,11 @@ def incremental_clusters(stream: DataFrame, block: str, order: str, value: str,
         rows = pd.concat(list(batches)).sort_values([order, value], kind="stable")
         got = [found.add_record(v) for v in rows[value] if v is not None]
         state.update((found.representatives,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"block": [str(key[0])] * len(got), "value": [v for v in rows[value] if v is not None], "cluster": [g[0] for g in got], "is_new": [g[1] for g in got], "similarity": [g[2] for g in got]})
 
-    return stream.filter(F.col(block).isNotNull()).groupBy(block).applyInPandasWithState(assign, "block string, value string, cluster int, is_new boolean, similarity double", "representatives array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.filter(F.col(block).isNotNull()).groupBy(block).applyInPandasWithState(assign, "block string, value string, cluster int, is_new boolean, similarity double", "representatives array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
