@@ -13,8 +13,8 @@ IGNORED = r"[^\p{L}\p{Nd}\p{M}]"
 
 
 def canonical_text(c: Column) -> Column:
-    """Letter case and every character but letters, digits and combining marks removed (upper-casing first folds e.g. sharp s)."""
-    return F.regexp_replace(F.lower(F.upper(c)), IGNORED, "")
+    """Letter case and every character but letters, digits and combining marks removed; sharp s is written SS in capitals."""
+    return F.regexp_replace(F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss")), IGNORED, "")
 
 
 def canonical_parts(first: Column, second: Column) -> Column:

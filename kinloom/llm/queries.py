@@ -103,7 +103,7 @@ QUALIFY rank <= 5"""
 _CANON = r"""
 SELECT id, dob, city, postcode, least(x, y) AS x, greatest(x, y) AS y FROM (
   SELECT id, dob, city, postcode,
-         regexp_replace(lower(upper(a)), '[^\p{L}\p{Nd}\p{M}]', '', 'g') AS x, regexp_replace(lower(upper(b)), '[^\p{L}\p{Nd}\p{M}]', '', 'g') AS y
+         regexp_replace(replace(lower(upper(a)), 'ß', 'ss'), '[^\p{L}\p{Nd}\p{M}]', '', 'g') AS x, regexp_replace(replace(lower(upper(b)), 'ß', 'ss'), '[^\p{L}\p{Nd}\p{M}]', '', 'g') AS y
   FROM (SELECT id, dob, city, postcode,
                CASE WHEN one IS NOT NULL AND contains(one, ',') THEN substr(one, 1, instr(one, ',') - 1) ELSE coalesce(first_name, '') END AS a,
                CASE WHEN one IS NOT NULL AND contains(one, ',') THEN substr(one, instr(one, ',') + 1) ELSE coalesce(last_name, '') END AS b
