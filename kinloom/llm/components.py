@@ -94,7 +94,8 @@ def connected_groups(pairs: DataFrame, left: str, right: str, edges_per_partitio
     for stars in reversed(levels[:-1]):
         # Roots of one level are nodes of the next only if they were linked there; a root without links is final.
         above = groups.select(F.col("record_id").alias("root"), "group_id")
-        groups = _relabel(stars, above)
+        # Each level is written: the next one reads it more than once, and a plan of all levels would grow without bound.
+        groups = materialise(_relabel(stars, above), "groups")
     return groups
 
 
