@@ -224,11 +224,11 @@ class BloomFilter:
 
     def contains(self, df: DataFrame, value: str, name: str = "maybe") -> DataFrame:
         """Adds a boolean column; false is certain, true may be wrong at the estimated rate; null values are not members."""
-        asked = df.select(F.col(value).alias("v")).filter("v is not null").distinct()
-        spots = asked.select("v", F.explode(F.array_distinct(self.positions(F.col("v")))).alias("p"))
+        asked = df.select(F.col(value).alias("__bloom")).filter("__bloom is not null").distinct()
+        spots = asked.select("__bloom", F.explode(F.array_distinct(self.positions(F.col("__bloom")))).alias("p"))
         hit = spots.join(self.words, F.shiftright("p", 6) == F.col("word"), "left")
-        known = hit.groupBy("v").agg(F.bool_and(F.coalesce(F.expr("(mask & shiftleft(1L, cast(p & 63 as int))) <> 0"), F.lit(False))).alias(name))
-        return df.join(known, df[value] == known["v"], "left").drop("v").na.fill({name: False})
+        known = hit.groupBy("__bloom").agg(F.bool_and(F.coalesce(F.expr("(mask & shiftleft(1L, cast(p & 63 as int))) <> 0"), F.lit(False))).alias(name))
+        return df.join(known, df[value] == known["__bloom"], "left").drop("__bloom").na.fill({name: False})
 
     def estimated_fp_rate(self) -> float:
         return (1 - math.exp(-self.hashes * self.inserted / self.bits)) ** self.hashes
