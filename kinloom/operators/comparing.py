@@ -49,12 +49,19 @@ Classifier = Callable[[Column], Column]
 
 
 def _mean(scores: Column, n: int) -> Column:
-    return F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x) / n
+    """Element by element rather than by a higher-order function: the optimizer then sees through the array."""
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + scores[i]
+    return total / n
 
 
 def _dot(scores: Column, weights: Sequence[float]) -> Column:
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(scores, w, lambda s, x: F.coalesce(s * x, F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
+    """Weights beyond the scores, and scores beyond the weights, do not count."""
+    total = F.lit(0.0)
+    for i, w in enumerate(weights):
+        total = total + F.coalesce(F.get(scores, F.lit(i)) * F.lit(float(w)), F.lit(0.0))
+    return total
 
 
 def _labelled(score: Column, match: Column, possible: Column | None = None) -> Column:
