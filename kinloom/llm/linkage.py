@@ -20,8 +20,10 @@ from kinloom.session import discard, materialise
 #: Where each source keeps what; several fields are joined by a blank.
 LEFT_FIELDS = {"name": ("name",), "birth": ("dob",), "city": ("city",), "street": ("address",), "phone": ("phone",), "email": ("email",)}
 RIGHT_FIELDS = {"name": ("given", "surname"), "birth": ("born",), "city": ("town",), "street": ("street",), "phone": ("tel",), "email": ("mail",)}
-#: A key whose two sides make more pairs than this is refined by each name token instead of being joined as it is.
-PAIRS_PER_KEY = 4_000
+#: A key with more holders than this on a side is joined in slices of that many, so that no task holds a whole hot key.
+SLICE = 2_000
+#: A key that this share of all records holds (a placeholder) says little by itself: equal whole names weigh more under it.
+HOT_SHARE = 0.05
 #: An edge survives pruning if it has this share of the best weight of either of its ends.
 KEEP_SHARE = 0.5
 CONFIDENT, ROUNDS, STABLE = 0.5, 5, 0.01
@@ -131,35 +133,40 @@ def normalised(df: DataFrame, of: dict[str, tuple[str, ...]]) -> DataFrame:
     return df.select(F.col("id").cast("string").alias("id"), F.col("fields").cast("map<string,string>").alias("fields")).filter("id is not null").mapInArrow(lambda it: _records(it, of), _RECORD)
 
 
+def _meet(l: DataFrame, r: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b, w, k): every pair of rows that are equal in ``on``. A side with more than SLICE (nl, nr in ``sizes``) rows
+    of one value is cut into slices by a hash of the id, and each of its slices meets each of the other side."""
+    cut = sizes.withColumns({"sa": F.ceil(F.col("nl") / SLICE).cast("int"), "sb": F.ceil(F.col("nr") / SLICE).cast("int")})
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = l.join(cut.select(*on, "w", "sa", "sb"), on).withColumn("i", own("a", "sa")).withColumn("j", each("sb"))
+    r = r.join(cut.select(*on, "sa", "sb"), on).withColumn("j", own("b", "sb")).withColumn("i", each("sa"))
+    return l.select("a", "w", *on, "i", "j").join(r.select("b", *on, "i", "j"), [*on, "i", "j"]).select("a", "b", "w", "k")
+
+
 def candidate_graph(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, weight): pairs that share keys, weighted by the rarity of what they share, pruned at both ends.
 
-    A key present on both sides weighs log(records / holders). Keys whose sides would make more than PAIRS_PER_KEY pairs
-    are not joined: they are refined by every name token of their holders, so a value held by a third of all records
-    neither floods one task nor loses the pairs that also agree in a token. Keys n:/N: (place and name, for records
-    without a date of birth) meet only if one side lacks the date.
+    All holders of a key meet, however many there are (see _meet). A key weighs log(records / holders), once for a pair;
+    under a key held by HOT_SHARE of all records, pairs of equal whole names weigh as the holders of key and name do, so
+    they stand out and no other spelling is lost. Keys n:/N: (place and name, for records without a date of birth) meet
+    only if one side lacks the date.
     """
     l = left.select(F.col("id").alias("a"), "name", F.explode(F.array_distinct("keys")).alias("k"))
     r = right.select(F.col("id").alias("b"), "name", F.explode(F.array_distinct("keys")).alias("k"))
     # n: and N: name the same place; give N: records both spellings so that the join pairs N with n and N.
     place = lambda x: x.withColumn("k", F.explode(F.when(F.col("k").startswith("N:"), F.array("k", F.concat(F.lit("n"), F.expr("substring(k, 2)")))).otherwise(F.array("k"))))
     l, r = place(l), place(r)
-    l = l.withColumn("kind", F.expr("substring(k, 1, 1)"))
     total = left.count() + right.count()
-    sizes = l.groupBy("k").agg(F.count(F.lit(1)).alias("nl")).join(r.groupBy("k").agg(F.count(F.lit(1)).alias("nr")), "k")
+    counts = lambda on: l.groupBy(on).agg(F.count(F.lit(1)).alias("nl")).join(r.groupBy(on).agg(F.count(F.lit(1)).alias("nr")), on).withColumn("w", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))))
     # A date-less record pairs with dated ones through n:, two dated ones never through n:.
-    sizes = materialise(sizes, "key-sizes")
-    small = sizes.filter(F.col("nl") * F.col("nr") <= PAIRS_PER_KEY)
-    big = sizes.filter(F.col("nl") * F.col("nr") > PAIRS_PER_KEY)
-
-    def spread(x: DataFrame) -> DataFrame:
-        return x.join(big.select("k"), "k").withColumn("k", F.explode(F.transform(F.filter(F.split("name", " "), lambda t: F.length(t) > 1), lambda t: F.concat(F.col("k"), F.lit("+"), t))))
-
-    lw = l.join(small.select("k", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))).alias("w")), "k")
-    met = lw.join(r.select("b", "k"), "k").select("a", "b", "w", "k")
-    lf, rf = spread(l.drop("kind")), spread(r)
-    fine = lf.groupBy("k").agg(F.count(F.lit(1)).alias("nl")).join(rf.groupBy("k").agg(F.count(F.lit(1)).alias("nr")), "k").select("k", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))).alias("w"))
-    met = met.unionByName(lf.join(fine, "k").join(rf.select("b", "k"), "k").select("a", "b", "w", "k"))
+    sizes = materialise(counts(["k"]), "key-sizes")
+    met = _meet(l, r, sizes, ["k"])
+    hot = sizes.filter(F.col("nl") + F.col("nr") >= HOT_SHARE * total).select("k", F.col("w").alias("plain"))
+    whole = lambda x: x.filter("name <> ''").join(hot, "k").withColumn("name", F.array_sort(F.split("name", " ")))
+    l, r = whole(l), whole(r)
+    named = counts(["k", "name"]).join(hot, "k").withColumn("w", F.col("w") - F.col("plain"))
+    met = met.unionByName(_meet(l, r, named, ["k", "name"]))  # what equal names add to the weight of the key
     dated = lambda x, n: x.select(F.col("id").alias(n), (F.col("y") > 0).alias(f"{n}_dated"))
     edges = met.groupBy("a", "b").agg(F.sum("w").alias("weight"), F.max((~F.col("k").startswith("n:")).cast("int")).alias("firm"))
     loose = edges.filter("firm = 0").join(dated(left, "a"), "a").join(dated(right, "b"), "b").filter("not (a_dated and b_dated)").select("a", "b", "weight")

@@ -232,3 +232,16 @@ def test_hot_keys_are_refined_not_dropped(spark):
     l, r = (spark.createDataFrame(rows(p), "id string, fields map<string,string>") for p in "ab")
     got = {(x.left_id, x.right_id) for x in linkage.link(l, r).collect()}
     assert {(f"a{i}", f"b{i}") for i in range(80)} <= got and len(got) <= 100
+
+
+def test_hot_keys_keep_variant_spellings(spark, monkeypatch):
+    rows = lambda p, *more: [(f"{p}{i}", {**dict.fromkeys(("phone", "tel"), "001234567"), "name": n, "given": n.split()[0], "surname": n.split()[1]}) for i, n in enumerate([*more, *(f"{a}{b}{c}ox {c}{b}{a}ulm" for a in "bdfgk" for b in "aeiou" for c in "lmn")])]
+    l, r = (spark.createDataFrame(x, "id string, fields map<string,string>") for x in (rows("a", "Kathy Varenholdt"), rows("b", "Katherine Varenholt")))
+    got = {(x.left_id, x.right_id) for x in linkage.link(l, r).collect()}
+    assert {(f"a{i}", f"b{i}") for i in range(76)} <= got and len(got) <= 100
+    # Slices change nothing, and a shared key counts once.
+    left, right = linkage.normalised(l, linkage.LEFT_FIELDS), linkage.normalised(r, linkage.RIGHT_FIELDS)
+    whole = sorted((x.a, x.b, round(x.weight, 9)) for x in linkage.candidate_graph(left, right).collect())
+    monkeypatch.setattr(linkage, "SLICE", 20)
+    assert sorted((x.a, x.b, round(x.weight, 9)) for x in linkage.candidate_graph(left, right).collect()) == whole
+    assert [w for a, b, w in whole if (a, b) == ("a5", "b5")] == [round(float(np.log(76)), 9)]
