@@ -15,12 +15,17 @@ from pyspark.sql import DataFrame, functions as F
 MAX_LABELLED = 12_000
 BEAM = 8
 FOLDS = 4
-#: A line of the page's body ends like a sentence; menus, teasers, lists of links and headings do not (fixed values).
+#: A line of the page's body has finished sentences; menus, teasers, lists of links and headings have none (fixed values).
 SENTENCE_ENDS = frozenset(".!?…。！？」』”»")
+#: The end of a sentence inside a line: not the dot of a number or a host name, but also before a symbol or invisible mark.
+_END = re.compile(r"[。！？」』]|[.!?…”»](?!\w)")
 MIN_PASSAGE_CHARS, MIN_PASSAGE_CHARS_CJK = 25, 8
 #: Runs of Han or Katakana, or words of other scripts; Hiragana separates.
 _TERM = re.compile(r"[㐀-鿿々]+|[ァ-ヺー]+|[^\W\d_぀-ヿ㐀-鿿々]{3,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+#: What follows the one sentence of a notice or footer: words between blanks, commas and bars (fixed values).
+_BETWEEN = re.compile(r"[\s,|]+")
+MAX_LABEL_CHARS = 20
 #: Decodings that turn UTF-8 into garbled text and can be undone (fixed values).
 _WRONG = ("cp1252", "cp1251", "koi8-r")
 _GARBLED = re.compile(r"[ÃÂÐÑÄÅ][\u0080-¿Œ-™]|Р[°-їВ]|С[Ѓ-џ‚ѓ„…†‡€‰]|п[╟-╬]")
@@ -46,6 +51,21 @@ def repaired(text: str) -> str:
     return text
 
 
+def finished(line: str) -> str:
+    """The line up to the end of its last finished sentence; empty if it has none, or one that only buttons or links follow."""
+    if not line or line[-1] in SENTENCE_ENDS:
+        return line
+    ends = [m.end() for m in _END.finditer(line)]
+    if not ends or len(ends) == 1 and all(_label(w) for w in _BETWEEN.split(line[ends[0] :])):
+        return ""
+    return line[: ends[-1]]
+
+
+def _label(word: str) -> bool:
+    """Whether a word can stand on a button or link of these pages: a plain word in Latin, Cyrillic, Kana or Han."""
+    return not word or word.isalpha() and len(word) <= MAX_LABEL_CHARS and all(c < "ɐ" or "Ѐ" <= c <= "ӿ" or "぀" <= c <= "鿿" for c in word)
+
+
 def passages(text: str | None) -> tuple[list[frozenset[str]], float]:
     """(term sets of the body's passages, share of the characters that the body holds)."""
     if not text:
@@ -56,8 +76,7 @@ def passages(text: str | None) -> tuple[list[frozenset[str]], float]:
     for line in text.split("\n"):
         line = line.strip()
         whole += len(line)
-        if not line or line[-1] not in SENTENCE_ENDS:
-            continue
+        line = finished(line)
         if len(line) < MIN_PASSAGE_CHARS and not (len(line) >= MIN_PASSAGE_CHARS_CJK and _CJK.search(line)):
             continue
         body += len(line)
@@ -291,7 +310,7 @@ def _classify(batches: Iterable[pa.RecordBatch], model: SubjectModel) -> Iterato
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, subject): every subject area that the body of a document treats.
 
-    Passages are the lines that end like sentences; menus, notices, teasers and headings have no part. A document without
+    Passages are the lines with finished sentences, up to the end of the last; menus, notices, teasers and headings have no part. A document without
     passages or without any subject term (empty and null texts, error pages, pages of links) has no row. The model (term
     weights, one shared evidence model, a chain of one classifier per subject over the labels before it, sources and
     structure) is trained on at most ``max_labelled`` labelled documents and shipped with the tasks; classifying is one

@@ -149,6 +149,18 @@ def test_passages():
     assert subjects.repaired("naïve café") == "naïve café"
 
 
+def test_passages_end_at_their_last_sentence():
+    body = "The judge acquitted the defendant. Nobody asked the tribunal why."
+    want = subjects.passages(body)[0]
+    for tail in ("👩\u200d🔬🏽", "\u200b\u200b \ufeff", "[PAD] <s> </s> <unk>", "12345678901234567890", "3.14159e-10 0x7fffffff", "مرحبا بكم", "שלום", "สวัสดี", "한국어 문장", "\x00x\x01", "later that"):
+        for gap in ("", " ") if not tail[0].isalnum() else (" ",):
+            assert subjects.passages(body + gap + tail)[0] == want, tail
+    assert [sorted(p) for p in subjects.passages('He said: "The judge left the court."')[0]] == [["court", "judge", "left", "said", "the"]]
+    assert len(subjects.passages("The judge acquitted the defendant. שלום\n裁判所は証人について話した。😀")[0]) == 2
+    for notice in ("© 2031 thorli-forum.test. Impressum | Datenschutz", "This page stores small files on your device for statistics. OK, got it", "当サイトはクッキーを使用します。同意する", "Мы используем файлы cookie. Принять", "Law | Courts | Version 3.14 of judge-notes.example"):
+        assert subjects.passages(notice)[0] == []
+
+
 def test_subjects_held_out(spark):
     rng = random.Random(2)
     topics = {"law": ["judge", "court", "bail", "tribunal"], "food": ["onion", "broth", "whisk", "dough"], "none": ["idea", "week"]}
