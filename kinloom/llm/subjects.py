@@ -33,9 +33,9 @@ _GARBLED = re.compile(r"[ÃÂÐÑÄÅ][\u0080-¿Œ-™]|Р[°-їВ]|С[Ѓ-џ‚
 
 def repaired(text: str) -> str:
     """The text with a wrong single-byte decoding of UTF-8 undone, if it bears the marks of one and can be."""
-    if len(_GARBLED.findall(text, 0, 20_000)) < 3:
-        return text
     marks = len(_GARBLED.findall(text))
+    if marks < 3:
+        return text
     for name in _WRONG:
         try:
             if name == "cp1252":  # in practice mixed with Latin-1: its unassigned bytes pass through

@@ -149,6 +149,11 @@ def test_passages():
     assert subjects.repaired("naïve café") == "naïve café"
 
 
+def test_garbling_after_a_long_clean_part_is_repaired():
+    clean, text = "The week ended there. " * 1_000, "Миру мир, говорят в городе."
+    assert subjects.repaired(clean + text.encode().decode("latin-1")) == clean + text
+
+
 def test_passages_end_at_their_last_sentence():
     body = "The judge acquitted the defendant. Nobody asked the tribunal why."
     want = subjects.passages(body)[0]
