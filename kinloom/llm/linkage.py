@@ -26,7 +26,9 @@ SLICE = 2_000
 HOT_SHARE = 0.05
 #: An edge survives pruning if it has this share of the best weight of either of its ends.
 KEEP_SHARE = 0.5
-CONFIDENT, ROUNDS, STABLE = 0.5, 5, 0.01
+CONFIDENT, STABLE = 0.5, 0.01
+#: A safety bound far above the rounds that any data needs; reaching it is an error, never a result.
+MAX_ROUNDS = 1_000
 
 _PLACE_WORDS = {"st": "saint", "mt": "mount", "ft": "fort", "pt": "port"}
 _STREET_WORDS = {"st": "street", "str": "street", "rd": "road", "ave": "avenue", "av": "avenue", "ln": "lane", "ct": "court", "sq": "square", "dr": "drive", "pl": "place", "hl": "hill"}
@@ -271,7 +273,8 @@ def link(left: DataFrame, right: DataFrame, left_fields: dict = LEFT_FIELDS, rig
     Confidence is the logistic of the field evidence plus support: the mean confidence of other pairs between the same
     two addresses (households meet as a whole), from which the pair's own part is taken; and minus doubt, if either end
     has a far better partner whose record is a rival. Support is an aggregate per pair of addresses, so no pairs of pairs
-    are formed. Rounds end when no confidence moves by STABLE or more, or after ROUNDS.
+    are formed. Rounds end when no confidence moves by STABLE or more; if that is not
+    so after MAX_ROUNDS, an error is raised.
     """
     from kinloom.llm.variants import TOKEN_COUNTERS
     import numpy as np
@@ -287,18 +290,24 @@ def link(left: DataFrame, right: DataFrame, left_fields: dict = LEFT_FIELDS, rig
     side = lambda x, n: x.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in _FACTS])
     full = graph.select("a", "b").join(side(l, "a"), "a").join(side(r, "b"), "b")
     pairs = full.mapInArrow(lambda it: _score(it, sent.value, total), "a string, b string, z double, home string").filter("z > -6")
-    now = materialise(pairs.withColumn("c", 1 / (1 + F.exp(-F.col("z")))), "pairs")
-    for _ in range(ROUNDS):
+    scored = materialise(pairs, "scores")
+    best_a = scored.groupBy("a").agg(F.max("z").alias("za"))
+    best_b = scored.groupBy("b").agg(F.max("z").alias("zb"))
+    doubt = F.when((F.col("za") - F.col("z") > 6) | (F.col("zb") - F.col("z") > 6), 1.0).otherwise(0.0)
+    now = scored.join(best_a, "a").join(best_b, "b").select("a", "b", "z", "home", doubt.alias("doubt"), (1 / (1 + F.exp(-F.col("z")))).alias("c"))
+    now = materialise(now, "pairs")
+    discard(scored)
+    for _ in range(MAX_ROUNDS):
         home = now.filter("home is not null").groupBy("home").agg(F.sum("c").alias("sum_c"), F.count(F.lit(1)).alias("n"))
-        best_a = now.groupBy("a").agg(F.max("z").alias("za"))
-        best_b = now.groupBy("b").agg(F.max("z").alias("zb"))
-        joined = now.join(home.filter("n > 1"), "home", "left").join(best_a, "a").join(best_b, "b")
+        joined = now.join(home.filter("n > 1"), "home", "left")
         support = F.coalesce(F.least(F.lit(1.0), F.col("sum_c") - F.col("c")), F.lit(0.0))
-        doubt = F.when((F.col("za") - F.col("z") > 6) | (F.col("zb") - F.col("z") > 6), 1.0).otherwise(0.0)
-        after = joined.select("a", "b", "z", "home", (1 / (1 + F.exp(-(F.col("z") + 1.0 * support - 1.5 * doubt)))).alias("c"), F.col("c").alias("was"))
+        after = joined.select("a", "b", "z", "home", "doubt", (1 / (1 + F.exp(-(F.col("z") + 1.0 * support - 1.5 * F.col("doubt"))))).alias("c"), F.col("c").alias("was"))
         after = materialise(after, "pairs")
+        discard(now)
         moved = after.agg(F.max(F.abs(F.col("c") - F.col("was")))).first()[0] or 0.0
-        now = after.drop("was")
+        now = after
         if moved < STABLE:
             break
+    else:
+        raise RuntimeError(f"confidences still move by {moved:.3f} after {MAX_ROUNDS} rounds")
     return now.filter(F.col("c") >= CONFIDENT).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.col("c").alias("confidence"))

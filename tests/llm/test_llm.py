@@ -262,3 +262,33 @@ def test_hot_keys_keep_variant_spellings(spark, monkeypatch):
     monkeypatch.setattr(linkage, "SLICE", 20)
     assert sorted((x.a, x.b, round(x.weight, 9)) for x in linkage.candidate_graph(left, right).collect()) == whole
     assert [w for a, b, w in whole if (a, b) == ("a5", "b5")] == [round(float(np.log(76)), 9)]
+
+
+def test_confidences_are_stable_or_an_error(spark, monkeypatch):
+    """A household of pairs whose confidences settle slowly: the result is the fixed point, not the fifth round."""
+    evidence = [-2.1, -2.5, -2.2, -2.4, -2.2, -2.6]
+    n = len(evidence)
+    rows = lambda p: [(f"{p}{i}", {"id": str(i)}) for i in range(n)]
+    l, r = (spark.createDataFrame(rows(p), "id string, fields map<string,string>") for p in "ab")
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}", 1.0) for i in range(n)], "a string, b string, weight double")
+    monkeypatch.setattr(linkage, "candidate_graph", lambda *_: pairs)
+
+    def score(batches, *_):
+        for b in batches:
+            z = [evidence[int(a[1:])] for a in b.column("a").to_pylist()]
+            yield linkage.pa.record_batch([b.column("a"), b.column("b"), linkage.pa.array(z, linkage.pa.float64()), linkage.pa.array(["h"] * len(z))], names=["a", "b", "z", "home"])
+
+    monkeypatch.setattr(linkage, "_score", score)
+    monkeypatch.setattr(linkage, "CONFIDENT", 0.0)
+    z = np.array(evidence)
+    c, moves = 1 / (1 + np.exp(-z)), []
+    while not moves or moves[-1] >= linkage.STABLE:
+        after = 1 / (1 + np.exp(-(z + np.minimum(1.0, c.sum() - c))))
+        moves.append(np.abs(after - c).max())
+        c = after
+    assert len(moves) == 7 and moves[5] >= linkage.STABLE
+    got = {x.left_id: x.confidence for x in linkage.link(l, r).collect()}
+    assert len(got) == n and all(abs(got[f"a{i}"] - c[i]) < 1e-9 for i in range(n))
+    monkeypatch.setattr(linkage, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="still move"):
+        linkage.link(l, r)
