@@ -9,35 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kinloom.functions import similarity
+from kinloom.operators.components import connected
 from kinloom.session import materialise
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame, a: str = "left_id", b: str = "right_id") -> DataFrame:
     """(record_id, component): every record with a link and the smallest id it is connected with.
 
-    Alternating large-star and small-star rounds on the edge list: every record links its larger, then all its neighbours to
-    the smallest id it sees. Windows by record only see the minimum, so a hub is aggregated on the map side. Null
-    ends and self-links are ignored.
+    See :func:`kinloom.operators.components.connected`. Null ends and self-links are ignored; an empty table gives an
+    empty result.
     """
-    links = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    links = materialise(links, "links")
-    for _ in range(MAX_ROUNDS):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u")
-        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = materialise(small, "links")
-        changed = small.exceptAll(links).limit(1).count() + links.exceptAll(small).limit(1).count()
-        links = small
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return links.select(F.col("u").alias("record_id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("record_id"), F.col("v").alias("component")).distinct())
+    return connected(edges, a, b).withColumnRenamed("group_id", "component")
 
 
 def numbered(members: DataFrame, group: str) -> DataFrame:
