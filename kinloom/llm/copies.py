@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinloom.operators.skew import join_lookup
+from kinloom.session import materialise
 
 #: Everything that is no letter, decimal digit or combining mark.
 IGNORED = r"[^\p{L}\p{Nd}\p{M}]"
@@ -42,35 +43,47 @@ def canonical_key(first: str, second: str, exact: Sequence[str]) -> Column:
     return F.concat(_framed(parts[0]), _framed(parts[1]), *[_framed(F.col(c)) for c in exact])
 
 
-def format_copies(df: DataFrame, row_id: str, first: str, second: str, exact: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(keyed rows, groups) of records equal but for formatting.
+def _keyed(df: DataFrame, row_id: str, first: str, second: str, exact: Sequence[str], *keep: str) -> DataFrame:
+    """id, h1, h2, h3 and ``keep``: the canonical text as a hash of 128 bits (h1, h2) and a check of 64 more (h3)."""
+    key = canonical_key(first, second, exact)
+    rows = df.select(F.col(row_id).alias("id"), *[F.col(c) for c in keep], key.alias("canon")).filter("id is not null")
+    return rows.select("id", *keep, F.xxhash64("canon").alias("h1"), F.xxhash64(F.lit("second half"), F.col("canon")).alias("h2"), F.xxhash64(F.lit("check"), F.col("canon")).alias("h3"))
 
-    keyed: id, h1, h2, canon. groups: h1, h2, canon, keep_id (smallest id), copies (number of rows, with the kept one).
-    The 128-bit hash (two independent 64-bit halves) is what is shuffled; map-side combining reduces a flood of copies to
-    one row per task. Should two different canonical texts ever share a hash (min <> max), that hash is grouped by the
-    text itself. Null equals only null in ``exact``; rows with a null id are left out; an empty table gives no groups.
+
+KEY = ["h1", "h2", "h3"]
+
+
+def format_groups(df: DataFrame, row_id: str, first: str, second: str, exact: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(keyed rows: id, h1, h2, h3; groups: h1, h2, h3, copies, rep) of records equal but for formatting.
+
+    ``rep`` is the row with the smallest id of its group (id, first, second and the exact columns).
     """
-    keyed = df.select(F.col(row_id).alias("id"), canonical_key(first, second, exact).alias("canon")).filter("id is not null")
-    keyed = keyed.withColumn("h1", F.xxhash64("canon")).withColumn("h2", F.xxhash64(F.lit("second half"), F.col("canon")))
-    hashed = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"), F.min("canon").alias("canon"), F.max("canon").alias("other"))
-    clean = hashed.filter("canon = other").drop("other")
-    clashing = hashed.filter("canon <> other").select("h1", "h2")
-    split = keyed.join(clashing, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "canon").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"))
-    return keyed, clean.unionByName(split.select("h1", "h2", "copies", "keep_id", "canon"))
+    keyed = _keyed(df, row_id, first, second, exact, first, second, *exact)
+    rep = F.min(F.struct("id", first, second, *exact))
+    groups = keyed.groupBy(*KEY).agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return keyed.select("id", *KEY), materialise(groups, "format-groups")
 
 
 def collapse_copies(df: DataFrame, row_id: str, first: str, second: str, exact: Sequence[str]) -> DataFrame:
-    """(keep_id, copies): one row for each record, with the number of rows it stands for."""
-    return format_copies(df, row_id, first, second, exact)[1].select("keep_id", "copies")
+    """(keep_id, copies): one row for each record, with the number of rows it stands for.
+
+    Grouped by a 128-bit hash of the canonical text; two texts that share it are told apart by the check, a third hash.
+    Map-side combining reduces a flood of copies to one row per task. Null equals only null in ``exact``; rows with a null
+    id are left out; an empty table gives no rows.
+    """
+    return _keyed(df, row_id, first, second, exact).groupBy(*KEY).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).select("keep_id", "copies")
 
 
 def copy_members(df: DataFrame, row_id: str, first: str, second: str, exact: Sequence[str]) -> DataFrame:
     """(keep_id, copy_id): every member of a group of copies but the one with the smallest id.
 
-    Only groups of two or more are joined back; groups that hold a large share of the rows are joined by a broadcast of
-    bounded size, all others by shuffle.
+    Keys are computed once and written. Counting works on hashes only, which keeps the aggregation in a hash table; ids are
+    looked at in groups of two or more rows only. Groups that hold a large share of the rows are joined by a broadcast of
+    bounded size, all others by shuffle. Null, empty and clashing cases are those of collapse_copies.
     """
-    keyed, groups = format_copies(df, row_id, first, second, exact)
-    several = groups.filter("copies > 1").withColumnRenamed("canon", "text")
-    members = join_lookup(keyed, several, ["h1", "h2"], "copies", df.count())
-    return members.filter("canon = text and id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    keyed = materialise(_keyed(df, row_id, first, second, exact), "format-keys")
+    total = keyed.count()
+    several = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    members = materialise(join_lookup(keyed, several, KEY, "copies", total).select("id", *KEY), "format-members")
+    kept = members.groupBy(*KEY).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+    return join_lookup(members, kept, KEY, "copies", total).filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
