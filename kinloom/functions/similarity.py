@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from kinloom.functions import kernels, phonetic, registry
+from kinloom.functions import kernels, phonetic, phonetic_rules as rules, registry
 from kinloom.functions.tokenizers import let, matching_tokens, ngram_tokenize, whitespace_tokenize
 
 Metric = Callable[[Column, Column], Column]
@@ -230,23 +230,34 @@ _BATCHED = {
 def monge_elkan(a: Column, b: Column, inner_metric: str = "jaro_winkler") -> Column:
     """Mean over the tokens of ``a`` of their best similarity with a token of ``b``; not symmetric.
 
-    An inner metric of the JVM is nested in higher-order functions; a batched one scores the distinct token pairs of a
-    batch in one go.
+    Any metric may be the inner one. One of the JVM is nested in higher-order functions; the others score the token pairs
+    of a batch in one go.
     """
     x, y = whitespace_tokenize(a), whitespace_tokenize(b)
-    if inner_metric in _BATCHED:
+    if inner_metric in _BATCHED or inner_metric in ("ratcliff_obershelp", "weighted_levenshtein", "monge_elkan", "phonetic_hybrid"):
         value = _token_means(inner_metric)(x, y)
-    else:
-        if inner_metric not in METRICS or inner_metric in ("ratcliff_obershelp", "weighted_levenshtein", "monge_elkan", "phonetic_hybrid"):
-            raise ValueError(f"inner metric {inner_metric!r} cannot be nested; use a metric of the JVM or one of {sorted(_BATCHED)}")
+    elif inner_metric in METRICS:
         inner = METRICS[inner_metric]
         value = _with(x, y, lambda p, q: _sum(F.transform(p, lambda s: F.greatest(F.lit(0.0), F.array_max(F.transform(q, lambda t: inner(s, t)))))) / F.size(p))
+    else:
+        raise ValueError(f"unknown inner metric {inner_metric!r}; known: {', '.join(METRICS)}")
     return _both(a, b, F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(value))
 
 
-def _token_means(inner: str):
-    kernel = _BATCHED[inner]
+def _pair_scores(metric_name: str, left: pd.Series, right: pd.Series) -> list[float]:
+    """Scores of many token pairs at once, for metrics that no JVM expression states."""
+    if metric_name == "ratcliff_obershelp":
+        return _per_pair(kernels.ratcliff_obershelp, left, right)
+    if metric_name == "phonetic_hybrid":
+        code = {t: rules.soundex(t) for t in pd.unique(pd.concat([left, right]))}
+        edit = kernels.pairwise(kernels.jaro_winkler, left, right)
+        return [0.3 * (code[p] == code[q]) + 0.7 * e for p, q, e in zip(left, right, edit)]
+    # A single token is its own list: Monge-Elkan of two tokens is their Jaro-Winkler similarity.
+    fixed = {"weighted_levenshtein": kernels.osa_similarity, "monge_elkan": kernels.jaro_winkler}
+    return kernels.pairwise(fixed.get(metric_name) or _BATCHED[metric_name], left, right).tolist()
 
+
+def _token_means(inner: str):
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         left, right = [], []
@@ -255,7 +266,7 @@ def _token_means(inner: str):
                 for p in s:
                     left += [p] * len(t)
                     right += list(t)
-        scores = iter(kernels.pairwise(kernel, pd.Series(left, dtype=object), pd.Series(right, dtype=object)).tolist())
+        scores = iter(_pair_scores(inner, pd.Series(left, dtype=object), pd.Series(right, dtype=object)))
         out = []
         for s, t in zip(x, y):
             if s is None or t is None or not len(s) or not len(t):

@@ -31,26 +31,59 @@ NAME_SUFFIXES = "jr jr. sr sr. i ii iii iv v phd ph.d ph.d. md m.d m.d. esq esq.
 _STREET = {"st": "street", "ave": "avenue", "blvd": "boulevard", "rd": "road", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "pkwy": "parkway", "hwy": "highway", "apt": "apartment", "cir": "circle", "ter": "terrace", "trl": "trail", "n": "north", "s": "south", "e": "east", "w": "west", "ste": "suite", "fl": "floor"}
 ADDRESS_WORDS = _STREET | {f"{k}.": v for k, v in _STREET.items()} | {"ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
 COMPANY_SUFFIXES = "inc inc. corp corp. llc ltd ltd. gmbh ag sa plc co co. lp llp corporation incorporated limited".split()
-_CYRILLIC = """а=a б=b в=v г=g д=d е=e ё=yo ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=kh ц=ts ч=ch ш=sh щ=shch ъ= ы=y ь= э=e ю=yu я=ya ґ=g є=ye і=i ї=yi"""
-_GREEK = """α=a β=v γ=g δ=d ε=e ζ=z η=i θ=th ι=i κ=k λ=l μ=m ν=n ξ=ks ο=o π=p ρ=r σ=s τ=t υ=y φ=ph χ=ch ψ=ps ω=o ά=a έ=e ή=i ί=i ό=o ύ=y ώ=o"""
-_GREEK_LOWER_ONLY = "ς=s ϊ=i ϋ=y ΐ=i ΰ=y"
-_ARABIC = "ء=' آ=a أ=a ؤ=w إ=a ئ=y ا=a ب=b ة=h ت=t ث=th ج=j ح=h خ=kh د=d ذ=dh ر=r ز=z س=s ش=sh ص=s ض=d ط=t ظ=z ع=' غ=gh ف=f ق=q ك=k ل=l م=m ن=n ه=h و=w ى=a ي=y"
-_HEBREW = "א=a ב=b ג=g ד=d ה=h ו=v ז=z ח=ch ט=t י=y ך=k כ=k ל=l ם=m מ=m ן=n נ=n ס=s ע=' ף=p פ=p ץ=ts צ=ts ק=q ר=r ש=sh ת=t"
-_DEVANAGARI_VOWELS = "ऄ=a अ=a आ=aa इ=i ई=ii उ=u ऊ=uu ऋ=ri ऌ=li ऍ=e ऎ=e ए=e ऐ=ai ऑ=o ऒ=o ओ=o औ=au"
-_DEVANAGARI_CONSONANTS = "क=k ख=kh ग=g घ=gh ङ=ng च=ch छ=chh ज=j झ=jh ञ=ny ट=t ठ=th ड=d ढ=dh ण=n त=t थ=th द=d ध=dh न=n ऩ=n प=p फ=ph ब=b भ=bh म=m य=y र=r ऱ=r ल=l ळ=l ऴ=l व=v श=sh ष=sh स=s ह=h"
-_DEVANAGARI_SIGNS = {0x93E: "a", 0x93F: "i", 0x940: "ii", 0x941: "u", 0x942: "uu", 0x943: "ri", 0x944: "rii", 0x945: "e", 0x946: "e", 0x947: "e", 0x948: "ai", 0x949: "o", 0x94A: "o", 0x94B: "o", 0x94C: "au"}
-_DEVANAGARI_OTHER = {0x902: "n", 0x903: "h", 0x901: "n", 0x950: "om", 0x93C: "", 0x94D: ""}
-_HANGUL_INITIAL = "g kk n d tt r m b pp s ss _ j jj ch k t p h".replace("_", "").split(" ")
-_HANGUL_VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
-_HANGUL_FINAL = "_ k kk ks n nj nh d l lk lm lb ls lt lp lh m b bs s ss ng j ch k t p h".replace("_", "").split(" ")
-_JAMO = dict(zip((0x3131, 0x3132, 0x3134, 0x3137, 0x3138, 0x3139, 0x3141, 0x3142, 0x3143, *range(0x3145, 0x314F)), _HANGUL_INITIAL)) | dict(zip(range(0x314F, 0x3164), _HANGUL_VOWEL))
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "",
+    "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "ґ": "g", "є": "ye", "і": "i", "ї": "yi",
+}
+GREEK = {
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "ks",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "τ": "t", "υ": "y", "φ": "ph", "χ": "ch", "ψ": "ps", "ω": "o", "ά": "a", "έ": "e", "ή": "i", "ί": "i",
+    "ό": "o", "ύ": "y", "ώ": "o",
+}
+GREEK_LOWER_ONLY = {
+    "ς": "s", "ϊ": "i", "ϋ": "y", "ΐ": "i", "ΰ": "y",
+}
+ARABIC = {
+    "ء": "'", "آ": "a", "أ": "a", "ؤ": "w", "إ": "a", "ئ": "y", "ا": "a", "ب": "b", "ة": "h", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh",
+    "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "'", "غ": "gh", "ف": "f", "ق": "q",
+    "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ى": "a", "ي": "y",
+}
+HEBREW = {
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "ch", "ט": "t", "י": "y", "ך": "k", "כ": "k", "ל": "l", "ם": "m",
+    "מ": "m", "ן": "n", "נ": "n", "ס": "s", "ע": "'", "ף": "p", "פ": "p", "ץ": "ts", "צ": "ts", "ק": "q", "ר": "r", "ש": "sh", "ת": "t",
+}
+DEVANAGARI_VOWELS = {
+    "ऄ": "a", "अ": "a", "आ": "aa", "इ": "i", "ई": "ii", "उ": "u", "ऊ": "uu", "ऋ": "ri", "ऌ": "li", "ऍ": "e", "ऎ": "e", "ए": "e", "ऐ": "ai", "ऑ": "o",
+    "ऒ": "o", "ओ": "o", "औ": "au",
+}
+DEVANAGARI_CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "ny", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh",
+    "ण": "n", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "ऩ": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r",
+    "ऱ": "r", "ल": "l", "ळ": "l", "ऴ": "l", "व": "v", "श": "sh", "ष": "sh", "स": "s", "ह": "h",
+}
+DEVANAGARI_SIGNS = {0x93E: "a", 0x93F: "i", 0x940: "ii", 0x941: "u", 0x942: "uu", 0x943: "ri", 0x944: "rii", 0x945: "e", 0x946: "e", 0x947: "e", 0x948: "ai", 0x949: "o", 0x94A: "o", 0x94B: "o", 0x94C: "au"}
+DEVANAGARI_OTHER = {0x902: "n", 0x903: "h", 0x901: "n", 0x950: "om", 0x93C: "", 0x94D: ""}
+HANGUL_INITIAL = [
+    "g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h",
+]
+HANGUL_VOWEL = [
+    "a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui",
+    "i",
+]
+HANGUL_FINAL = [
+    "", "k", "kk", "ks", "n", "nj", "nh", "d", "l", "lk", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s",
+    "ss", "ng", "j", "ch", "k", "t", "p", "h",
+]
+#: Single letters by code point.
+JAMO = {
+    0x3131: "g", 0x3132: "kk", 0x3134: "n", 0x3137: "d", 0x3138: "tt", 0x3139: "r", 0x3141: "m", 0x3142: "b", 0x3143: "pp", 0x3145: "s", 0x3146: "ss", 0x3147: "", 0x3148: "j", 0x3149: "jj",
+    0x314A: "ch", 0x314B: "k", 0x314C: "t", 0x314D: "p", 0x314E: "h", 0x314F: "a", 0x3150: "ae", 0x3151: "ya", 0x3152: "yae", 0x3153: "eo", 0x3154: "e", 0x3155: "yeo", 0x3156: "ye", 0x3157: "o",
+    0x3158: "wa", 0x3159: "wae", 0x315A: "oe", 0x315B: "yo", 0x315C: "u", 0x315D: "wo", 0x315E: "we", 0x315F: "wi", 0x3160: "yu", 0x3161: "eu", 0x3162: "ui", 0x3163: "i",
+}
 # ------------------------------------------------------------------------------------------------------------------------
 
 
-def _table(text: str) -> dict[str, str]:
-    return {k: v for k, _, v in (e.partition("=") for e in text.split())}
-
-
 def _both_cases(table: Mapping[str, str]) -> dict[str, str]:
     return dict(table) | {k.upper(): v.capitalize() for k, v in table.items()}
 
@@ -185,19 +218,19 @@ def _by_table(c: Column, table: Mapping[str, str]) -> Column:
 
 
 def transliterate_cyrillic(c: Column) -> Column:
-    return _by_table(c, _both_cases(_table(_CYRILLIC)))
+    return _by_table(c, _both_cases(CYRILLIC))
 
 
 def transliterate_greek(c: Column) -> Column:
-    return _by_table(c, _both_cases(_table(_GREEK)) | _table(_GREEK_LOWER_ONLY))
+    return _by_table(c, _both_cases(GREEK) | GREEK_LOWER_ONLY)
 
 
 def transliterate_arabic(c: Column) -> Column:
-    return _by_table(strip_arabic_diacritics(c), _table(_ARABIC))
+    return _by_table(strip_arabic_diacritics(c), ARABIC)
 
 
 def transliterate_hebrew(c: Column) -> Column:
-    return _by_table(F.regexp_replace(c, r"[\x{0591}-\x{05C7}]", ""), _table(_HEBREW))
+    return _by_table(F.regexp_replace(c, r"[\x{0591}-\x{05C7}]", ""), HEBREW)
 
 
 def _ascii_or(c: Column, slow: Column) -> Column:
@@ -229,11 +262,11 @@ def strip_diacritics(c: Column) -> Column:
 
 def devanagari(s: str) -> str:
     """A consonant carries an a unless a vowel sign or virama follows."""
-    vowels, consonants = _table(_DEVANAGARI_VOWELS), _table(_DEVANAGARI_CONSONANTS)
+    vowels, consonants = DEVANAGARI_VOWELS, DEVANAGARI_CONSONANTS
     out: list[str] = []
     open_a = False  # whether the last thing written is a consonant that still waits for its vowel
     for ch in s:
-        sign = _DEVANAGARI_SIGNS.get(ord(ch))
+        sign = DEVANAGARI_SIGNS.get(ord(ch))
         if open_a and (sign is not None or ch == "्"):
             out.append(sign or "")
             open_a = False
@@ -241,7 +274,7 @@ def devanagari(s: str) -> str:
         if open_a:
             out.append("a")
         open_a = ch in consonants
-        out.append(consonants.get(ch) or vowels.get(ch) or _DEVANAGARI_OTHER.get(ord(ch), ch))
+        out.append(consonants.get(ch) or vowels.get(ch) or DEVANAGARI_OTHER.get(ord(ch), ch))
     return "".join(out) + ("a" if open_a else "")
 
 
@@ -250,9 +283,9 @@ def hangul(s: str) -> str:
     for ch in s:
         n = ord(ch) - 0xAC00
         if 0 <= n < 19 * 21 * 28:
-            out.append(_HANGUL_INITIAL[n // 588] + _HANGUL_VOWEL[n % 588 // 28] + _HANGUL_FINAL[n % 28])
+            out.append(HANGUL_INITIAL[n // 588] + HANGUL_VOWEL[n % 588 // 28] + HANGUL_FINAL[n % 28])
         else:
-            out.append(_JAMO.get(ord(ch), ch))
+            out.append(JAMO.get(ord(ch), ch))
     return "".join(out)
 
 

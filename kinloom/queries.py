@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinloom import goldens, oracles
 from kinloom.functions import phonetic, similarity as sim, text, tokenizers as tok
 from kinloom.operators import blocking, clustering, evaluation, keyed, matching, search, training
 from kinloom.plans.linkage import Linkage
@@ -108,12 +109,18 @@ def fn_tokens(spark, sf):
     return _ab(spark, sf).select("id", sim.token_sort_ratio(a, b).alias("token_sort"), sim.token_set_ratio(a, b).alias("token_set"), sim.partial_ratio(a, b).alias("partial"))
 
 
-@query()
+_SHORT = ("damerau_levenshtein", "jaro", "jaro_winkler", "weighted_levenshtein", "lcs", "longest_common_substring", "smith_waterman", "needleman_wunsch", "gotoh", "ratcliff_obershelp", "monge_elkan", "phonetic_hybrid")
+
+
+def _rounded(names) -> str:
+    return ", ".join(f"round({n}, 9) AS {n}" for n in names)
+
+
+@query(f"WITH RECURSIVE {oracles.alignments(_AB)} SELECT id, CAST(osa AS INT) AS osa, CAST(osa AS INT) AS osa_within, {_rounded(_SHORT)} FROM m")
 def fn_alignment(spark, sf):
     """Batched dynamic programs on every pair of part name and description."""
     a, b = F.col("a"), F.col("b")
-    fs = {"osa": sim.damerau_levenshtein, "osa_sim": sim.damerau_levenshtein_similarity, "jaro": sim.jaro, "jaro_winkler": sim.jaro_winkler, "weighted": sim.weighted_levenshtein_similarity, "lcs": sim.lcs_similarity, "substring": sim.longest_common_substring_similarity, "smith_waterman": sim.smith_waterman_similarity, "needleman_wunsch": sim.needleman_wunsch, "gotoh": sim.gotoh, "ratcliff_obershelp": sim.ratcliff_obershelp, "monge_elkan": sim.monge_elkan, "phonetic_hybrid": sim.phonetic_hybrid}
-    return _ab(spark, sf).select("id", *[f(a, b).alias(n) for n, f in fs.items()])
+    return _ab(spark, sf).select("id", sim.damerau_levenshtein(a, b).alias("osa"), sim.damerau_levenshtein_threshold(a, b, 10_000).alias("osa_within"), *[F.round(sim.METRICS[n](a, b), 9).alias(n) for n in _SHORT])
 
 
 @query("""
@@ -125,33 +132,50 @@ def fn_substring(spark, sf):
     return _ab(spark, sf).select("id", sim.longest_common_substring_similarity(F.col("a"), F.col("b")).alias("substring_sim"))
 
 
-@query()
+@query(oracles.align_ops(_AB))
 def fn_align_ops(spark, sf):
     r = sim.levenshtein_align(F.col("a"), F.col("b"))
     return _ab(spark, sf).select("id", r.alias("r")).select("id", "r.ops", "r.distance", "r.visual")
 
 
-@query()
+_NATIONS = "SELECT a.n_name || '|' || b.n_name AS id, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name"
+
+
+@query(f"WITH RECURSIVE {oracles.alignments(_NATIONS)} SELECT a, b, u.metric, round(u.score, 9) AS score FROM m, LATERAL (SELECT unnest([{', '.join(chr(123) + f"'metric': '{n}', 'score': {n}" + chr(125) for n in oracles.METRICS)}]) AS u)")
 def fn_explain(spark, sf):
-    """All 21 metrics as a map, for every pair of nation names."""
+    """All 21 metrics for every pair of nation names."""
     n = _read(spark, sf, "nation")
     pairs = n.select(F.col("n_name").alias("a")).join(n.select(F.col("n_name").alias("b")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", sim.explain(F.col("a"), F.col("b")).alias("scores"))
+    return pairs.select("a", "b", F.explode(sim.explain(F.col("a"), F.col("b"))).alias("metric", "score")).withColumn("score", F.round("score", 9))
 
 
-@query()
+_PRESETS = {n: " + ".join(f"{w} * {'token_sort' if m == 'token_sort' else m}" for m, w in c) for n, c in sim.CompositeScorer.PRESETS.items()}
+
+
+@query(f"WITH RECURSIVE {oracles.alignments(_AB)} SELECT id, {', '.join(f'round({x}, 9) AS {n}' for n, x in _PRESETS.items())} FROM m")
 def fn_composite(spark, sf):
     a, b = F.col("a"), F.col("b")
-    return _ab(spark, sf).select("id", *[f()(a, b).alias(f.__name__) for f in (sim.name_matching, sim.address_matching, sim.general_purpose)])
+    return _ab(spark, sf).select("id", *[F.round(f()(a, b), 9).alias(f.__name__) for f in (sim.name_matching, sim.address_matching, sim.general_purpose)])
 
 
-@query()
+_FULL_NAME = "SELECT id, CASE WHEN first_name IS NULL AND last_name IS NULL THEN '' ELSE concat_ws(' ', first_name, last_name) END AS {0} FROM people"
+_CODES = ("metaphone", "nysiis", "caverphone", "cologne_phonetic", "phonex", "mra", "soundex")
+
+
+@query(oracles.phonetic(_FULL_NAME.format("v")))
 def fn_phonetic(spark, sf):
-    """All codes of every person's names."""
+    """The codes of every person's names that follow from rules of one word."""
     p = _read(spark, sf, "people")
     c = F.concat_ws(" ", "first_name", "last_name")
     dm = phonetic.double_metaphone(c)
-    return p.select("id", *[phonetic.encode(c, n).alias(n) for n in phonetic.ENCODERS if n not in ("double_metaphone", "match_rating_approach")], dm["primary"].alias("dm1"), dm["alternate"].alias("dm2"), phonetic.detect_language(c).alias("language"))
+    return p.select("id", *[phonetic.encode(c, n).alias(n) for n in _CODES], dm["primary"].alias("dm1"), dm["alternate"].alias("dm2"), phonetic.detect_language(c).alias("language"))
+
+
+@query()
+def fn_phonetic_branching(spark, sf):
+    """Codes with several readings, for every person's names."""
+    c = F.concat_ws(" ", "first_name", "last_name")
+    return _read(spark, sf, "people").select("id", phonetic.encode(c, "daitch_mokotoff").alias("daitch_mokotoff"), phonetic.encode(c, "beider_morse").alias("beider_morse"))
 
 
 @query(r"""
@@ -166,11 +190,11 @@ def fn_soundex(spark, sf):
 
 @query(r"""
 SELECT id, lower(last_name) AS folded, regexp_replace(last_name, '[!-/:-@\[-`{-~]', '', 'g') AS bare,
-  list_aggregate(list_filter(regexp_split_to_array(last_name, '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda t: t <> ''), 'string_agg', ' ') AS spaced
-FROM people WHERE last_name IS NOT NULL AND trim(last_name) <> ''""")
+  CASE WHEN last_name IS NOT NULL THEN coalesce(list_aggregate(list_filter(regexp_split_to_array(last_name, '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda t: t <> ''), 'string_agg', ' '), '') END AS spaced
+FROM people""")
 def fn_text_basic(spark, sf):
     c = F.col("last_name")
-    return _read(spark, sf, "people").filter("last_name is not null and trim(last_name) <> ''").select("id", text.fold_case(c).alias("folded"), text.strip_punctuation(c).alias("bare"), text.normalize_whitespace(c).alias("spaced"))
+    return _read(spark, sf, "people").select("id", text.fold_case(c).alias("folded"), text.strip_punctuation(c).alias("bare"), text.normalize_whitespace(c).alias("spaced"))
 
 
 @query(r"""
@@ -187,28 +211,49 @@ def fn_normalize_url(spark, sf):
     return _read(spark, sf, "documents").filter("url is not null").select("doc_id", text.normalize_url(F.col("url")).alias("url"))
 
 
-@query()
+_NORMAL = oracles.normalisers("c")
+
+
+@query(f"SELECT id, {', '.join(f'{x} AS {n}' for n, x in _NORMAL.items())} FROM ({_FULL_NAME.format('c')})")
 def fn_text_clean(spark, sf):
-    """Every normaliser without parameters on every name."""
+    """Normalisers on every name, empty ones included."""
     c = F.concat_ws(" ", "first_name", "last_name")
-    return _read(spark, sf, "people").select("id", *[f(c).alias(n) for n, f in text.OPERATIONS.items()])
+    return _read(spark, sf, "people").select("id", *[text.OPERATIONS[n](c).alias(n) for n in _NORMAL])
 
 
-@query(r"""
-SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS words, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND NOT list_contains(['the', 'a', 'of', 'and', 'to', 'in'], lower(w)))) AS content_words
-FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g') AS t FROM documents)""")
+@query()
+def fn_text_scripts(spark, sf):
+    """The other normalisers on every name: compatibility forms and scripts."""
+    c = F.concat_ws(" ", "first_name", "last_name")
+    return _read(spark, sf, "people").select("id", *[f(c).alias(n) for n, f in text.OPERATIONS.items() if n not in _NORMAL])
+
+
+_LETTERS = "regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, len({oracles.tokens('t')}) AS words, len({oracles.tokens('bare')}) AS content_words, md5(bare) AS content FROM (SELECT doc_id, t, {oracles._without('t', text.STOP_WORDS)} AS bare FROM (SELECT doc_id, {_LETTERS} AS t FROM documents))")
 def fn_word_count(spark, sf):
-    """White-space tokens of the letters of every text, and those outside a short stop list."""
-    d = _read(spark, sf, "documents").select("doc_id", tok.whitespace_tokenize(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " ")).alias("t"))
-    stop = F.array(*map(F.lit, ["the", "a", "of", "and", "to", "in"]))
-    return d.select("doc_id", F.size("t").alias("words"), F.size(F.filter("t", lambda w: ~F.array_contains(stop, F.lower(w)))).alias("content_words"))
+    """White-space tokens of the letters of every text, and what is left without stop words."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " ")
+    d = _read(spark, sf, "documents").select("doc_id", t.alias("t"), text.remove_stop_words(t).alias("bare"))
+    return d.select("doc_id", F.size(tok.whitespace_tokenize(F.col("t"))).alias("words"), F.size(tok.whitespace_tokenize(F.col("bare"))).alias("content_words"), F.md5("bare").alias("content"))
 
 
-@query()
+_TOKENS = oracles.tokenisers("text", oracles.class_body(tok.CJK))
+
+
+@query(f"SELECT doc_id, {', '.join(f'len({x}) AS n_{n}, md5({oracles.joined(x, chr(31))}) AS {n}' for n, x in _TOKENS.items())}, regexp_matches(text, '[{oracles.class_body(tok.CJK)}]') AS has_cjk FROM documents WHERE text IS NOT NULL")
 def fn_tokenizers(spark, sf):
-    """Sizes of all tokenisations of every text."""
+    """Number and hash of the tokens of every text, by tokeniser."""
     c = F.col("text")
-    return _read(spark, sf, "documents").select("doc_id", *[F.size(f(c)).alias(n) for n, f in tok.TOKENIZERS.items()])
+    made = _read(spark, sf, "documents").filter("text is not null").select("doc_id", tok.is_cjk(c).alias("has_cjk"), *[f(c).alias(n) for n, f in tok.TOKENIZERS.items()])
+    return made.select("doc_id", "has_cjk", *[f for n in tok.TOKENIZERS for f in (F.size(n).cast("long").alias(f"n_{n}"), F.md5(F.array_join(n, chr(31))).alias(n))])
+
+
+@query(goldens.sql())
+def fn_known_results(spark, sf):
+    """Known results of every scalar function, edge cases included."""
+    return goldens.results(spark)
 
 
 # --- blocking ----------------------------------------------------------------------------------------------------------------
@@ -567,10 +612,10 @@ def cdist(spark, sf):
     return matching.cdist(_read(spark, sf, "nation"), _read(spark, sf, "supplier"), "n_nationkey", "n_name", "s_suppkey", "s_name", "levenshtein")
 
 
-@query()
+@query(f"WITH RECURSIVE jp AS (SELECT DISTINCT first_name AS x, last_name AS y FROM people WHERE first_name IS NOT NULL AND last_name IS NOT NULL), {oracles.JARO} SELECT id, first_name, last_name, round(jw, 9) AS score FROM people LEFT JOIN ja ON x = first_name AND y = last_name")
 def pairwise_jaro_winkler(spark, sf):
     """Throughput of a batched kernel: every person's two names."""
-    return matching.pairwise_similarity(_read(spark, sf, "people").select("id", "first_name", "last_name"), "first_name", "last_name")
+    return matching.pairwise_similarity(_read(spark, sf, "people").select("id", "first_name", "last_name"), "first_name", "last_name").withColumn("score", F.round("score", 9))
 
 
 _FUZZY = f"""
@@ -624,9 +669,9 @@ def search_nearest(spark, sf):
     return search.NearestIndex.build(_values(spark, sf)).find_nearest("red blt", 12)
 
 
-@query()
+@query(f"WITH RECURSIVE jp AS (SELECT DISTINCT p_name AS x, 'red blt' AS y FROM part), {oracles.JARO} SELECT p_partkey AS id, p_name AS value, round(1 - jw, 9) AS distance FROM part JOIN ja ON x = p_name ORDER BY distance, id LIMIT 12")
 def search_nearest_metric(spark, sf):
-    return search.NearestIndex.build(_values(spark, sf), metric="jaro_winkler").find_nearest("red blt", 12)
+    return search.NearestIndex.build(_values(spark, sf), metric="jaro_winkler").find_nearest("red blt", 12).withColumn("distance", F.round("distance", 9))
 
 
 @query(f"""
