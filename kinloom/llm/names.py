@@ -53,17 +53,33 @@ def tokens(*parts: str | None) -> list[str]:
     return out
 
 
-def grams(toks: list[str]) -> list[int]:
-    """Codes of the distinct q-grams (q = 3, padded) and initials of all tokens."""
-    out = set()
-    for t in toks:
-        out.add(crc32(b"." + t[0].encode()) % GRAM_CODES)
-        padded = f"^{t}$"
-        for i in range(len(padded) - 2):
-            out.add(crc32(padded[i : i + 3].encode()) % GRAM_CODES)
+@lru_cache(maxsize=200_000)
+def _token_grams(token: str) -> tuple[int, ...]:
+    padded = f"^{token}$"
+    out = [crc32(b"." + token[0].encode()), *(crc32(padded[i : i + 3].encode()) for i in range(len(padded) - 2))]
+    if 2 <= len(token) <= 5:
+        out.append(crc32(b"@" + token.encode()))
+    return tuple(code % GRAM_CODES for code in out)
+
+
+def grams(toks: list[str], heads: str = "") -> list[int]:
+    """Codes of the distinct q-grams (q = 3, padded) and initials of all tokens.
+
+    ``heads`` are the first letters of all words of a name, linking words included; from three words on, its beginnings
+    meet tokens of two to five letters, so that an acronym shares a code with the name it stands for.
+    """
+    out = {code for t in toks for code in _token_grams(t)}
+    if len(heads) >= 3:
+        out.update(crc32(b"@" + heads[:n].encode()) % GRAM_CODES for n in range(2, min(5, len(heads)) + 1))
     return sorted(out)
 
 
+def heads(*parts: str | None) -> str:
+    """The first letters of all words of name parts in order, linking words included, titles not."""
+    words = [t for p in parts if p is not None and p.strip().lower() not in MISSING for t in _TOKEN.findall(_JOINED.sub("", fold(p)))]
+    return "".join(t[0] for t in words if t not in TITLES)
+
+
 @lru_cache(maxsize=200_000)
 def edit_similarity(a: str, b: str) -> float:
     """1 - optimal string alignment distance / longer length."""
@@ -153,6 +169,91 @@ def soft_similarity(a: list[str], b: list[str], weight, least: float = 0.72) ->
     return weighted, plain / (n + few + 0.12 * many) if n else 0.0, n
 
 
+#: How rare a token must be beside a similar one to count as a slip of the pen of it.
+SLIP_SHARE = 0.05
+LOOSE = 0.5
+
+
+def compare(a: list[str], b: list[str], weight, count, least: float = 0.72) -> tuple[float, float, tuple[str, str] | None, list[tuple[str, str, float]]]:
+    """(score, information, the one pair of tokens that contradict each other or None, matched tokens) of two token lists.
+
+    Tokens are paired as in :func:`soft_similarity`. What is left over on both sides is paired once more if it may be a
+    badly damaged spelling (it agrees in LOOSE of its letters and one of the two is rare beside the other), one word
+    written as two, or an acronym. ``weight`` is the information of a token in units of 1 for the rarest, ``count``
+    its frequency. Information is the sum of what the matched tokens say.
+    """
+    pairs = sorted(((token_similarity(x, y), -abs(i - j), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    left_a, left_b = set(range(len(a))), set(range(len(b)))
+    got: list[tuple[str, str, float]] = []
+    for s, _, i, j in pairs:
+        if s < least:
+            break
+        if i in left_a and j in left_b:
+            left_a.discard(i)
+            left_b.discard(j)
+            got.append((a[i], b[j], s))
+    if left_a and left_b:
+        _pair_the_rest(a, b, left_a, left_b, got, count)
+    rest_a, rest_b = [a[i] for i in sorted(left_a) if len(a[i]) > 1], [b[j] for j in sorted(left_b) if len(b[j]) > 1]
+    mass = sum((weight(x) + weight(y)) / 2 for x, y, _ in got)
+    hit = sum((weight(x) + weight(y)) / 2 * s for x, y, s in got)
+    spare_a, spare_b = sum(map(weight, rest_a)), sum(map(weight, rest_b))
+    light, few = min(spare_a, spare_b), min(len(rest_a), len(rest_b))
+    more, many = max(spare_a, spare_b) - light, max(len(rest_a), len(rest_b)) - few
+    n = len(got)
+    score = min(hit / (mass + light + 0.12 * more), sum(s for _, _, s in got) / (n + few + 0.12 * many)) if mass else 0.0
+    score = or_as_one_word(a, b, score)
+    told = sum(min(weight(x), weight(y)) * s * s for x, y, s in got) if got else (min(sum(map(weight, a)), sum(map(weight, b))) * score)
+    apart = (rest_a[0], rest_b[0]) if len(rest_a) == 1 and len(rest_b) == 1 else None
+    return score, told, apart, got
+
+
+def _pair_the_rest(a: list[str], b: list[str], left_a: set[int], left_b: set[int], got: list[tuple[str, str, float]], count) -> None:
+    loose = []
+    for i in left_a:
+        for j in left_b:
+            x, y = a[i], b[j]
+            if min(len(x), len(y)) < 3:
+                continue
+            few, many = sorted((count(x), count(y)))
+            if few <= 1 or few <= SLIP_SHARE * many:
+                s = max(edit_similarity(x, y), edit_similarity(_as_heard(x), _as_heard(y)), 0.8 * _common_letters(x, y))
+                if s >= LOOSE:
+                    loose.append((s, i, j))
+    for s, i, j in sorted(loose, reverse=True):
+        if i in left_a and j in left_b:
+            left_a.discard(i)
+            left_b.discard(j)
+            got.append((a[i], b[j], max(s, 0.6)))
+    for one, two, left_one, left_two, turned in ((a, b, left_a, left_b, False), (b, a, left_b, left_a, True)):
+        for i in sorted(left_one):
+            # One word written as two: two neighbours of the other side, one of them left over.
+            for j in range(len(two) - 1):
+                if i in left_one and (j in left_two and j + 1 in left_two) and token_similarity(one[i], two[j] + two[j + 1]) >= 0.75:
+                    left_one.discard(i)
+                    left_two -= {j, j + 1}
+                    pair = (one[i], two[j] + two[j + 1])
+                    got.append((*(pair[::-1] if turned else pair), 0.9))
+            if i in left_one and 2 <= len(one[i]) <= 5 and len(left_two) >= 2:
+                first = "".join(two[j][0] for j in sorted(left_two))
+                if one[i] == first or any(one[i][:k] + one[i][k + 1 :] == first for k in range(1, len(one[i])) if one[i][k] in "aeuy"):
+                    left_one.discard(i)
+                    pair = (one[i], max((two[j] for j in left_two), key=len))
+                    left_two.clear()
+                    got.append((*(pair[::-1] if turned else pair), 0.9))
+
+
+def _as_heard(t: str) -> str:
+    for looks, like in CONFUSED:
+        t = t.replace(looks, like)
+    return t
+
+
+def _common_letters(x: str, y: str) -> float:
+    """Share of letters in common, whatever their order, of words of one length or nearly so."""
+    return sum(min(x.count(c), y.count(c)) for c in set(x)) / max(len(x), len(y)) if abs(len(x) - len(y)) <= 1 else 0.0
+
+
 def same_name(a: list[str], b: list[str], weight) -> float:
     """0..1: the lower of the weighted and the plain token score, or the similarity of the names written as one word."""
     if not a or not b:
