@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinloom.llm import names
 from kinloom.session import discard, materialise
@@ -135,15 +135,27 @@ def normalised(df: DataFrame, of: dict[str, tuple[str, ...]]) -> DataFrame:
     return df.select(F.col("id").cast("string").alias("id"), F.col("fields").cast("map<string,string>").alias("fields")).filter("id is not null").mapInArrow(lambda it: _records(it, of), _RECORD)
 
 
-def _meet(l: DataFrame, r: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
-    """(a, b, w, k): every pair of rows that are equal in ``on``. A side with more than SLICE (nl, nr in ``sizes``) rows
-    of one value is cut into slices by a hash of the id, and each of its slices meets each of the other side."""
-    cut = sizes.withColumns({"sa": F.ceil(F.col("nl") / SLICE).cast("int"), "sb": F.ceil(F.col("nr") / SLICE).cast("int")})
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l = l.join(cut.select(*on, "w", "sa", "sb"), on).withColumn("i", own("a", "sa")).withColumn("j", each("sb"))
-    r = r.join(cut.select(*on, "sa", "sb"), on).withColumn("j", own("b", "sb")).withColumn("i", each("sa"))
-    return l.select("a", "w", *on, "i", "j").join(r.select("b", *on, "i", "j"), [*on, "i", "j"]).select("a", "b", "w", "k")
+def _meet(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b, w, k, a_dated, b_dated): every pair of rows that are equal in ``on``; both sides carry the sizes nl and nr of their value.
+
+    Values whose sides have at most SLICE rows are joined as they lie. Above that a side is cut into slices of that many
+    by a hash of the record, and each of its slices meets each of the other side, so no task holds a whole hot key.
+    """
+    hot = (F.col("nl") > SLICE) | (F.col("nr") > SLICE)
+    out = ["a", "b", "w", "k", "a_dated", "b_dated", "loose"]
+    flat = l.filter(~hot).join(r.filter(~hot).drop("nl", "nr"), on).select(*out)
+    slices = lambda n: F.ceil(F.col(n) / SLICE).cast("int")
+    own = lambda c, n: F.pmod(F.xxhash64(c), slices(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), slices(n) - 1))
+    x = l.filter(hot).withColumn("i", own("a", "nl")).withColumn("j", each("nr"))
+    y = r.filter(hot).withColumn("j", own("b", "nr")).withColumn("i", each("nl")).drop("nl", "nr")
+    return flat.unionByName(x.join(y, [*on, "i", "j"]).select(*out))
+
+
+def _sized(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
+    """on, nl, nr: the values that both sides have, with their rows on either side; counted in one aggregation."""
+    both = l.select(*on, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(r.select(*on, F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return both.groupBy(*on).agg(F.sum("x").alias("nl"), F.sum("y").alias("nr")).filter("nl > 0 and nr > 0")
 
 
 def candidate_graph(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -152,35 +164,36 @@ def candidate_graph(left: DataFrame, right: DataFrame) -> DataFrame:
     All holders of a key meet, however many there are (see _meet). A key weighs log(records / holders), once for a pair;
     under a key held by HOT_SHARE of all records, pairs of equal whole names weigh as the holders of key and name do, so
     they stand out and no other spelling is lost. Keys n:/N: (place and name, for records without a date of birth) meet
-    only if one side lacks the date.
+    only if one side lacks the date. Keys travel as 64-bit hashes: a clash of two keys adds candidates, never drops one.
     """
-    l = left.select(F.col("id").alias("a"), "name", F.explode(F.array_distinct("keys")).alias("k"))
-    r = right.select(F.col("id").alias("b"), "name", F.explode(F.array_distinct("keys")).alias("k"))
-    # n: and N: name the same place; give N: records both spellings so that the join pairs N with n and N.
-    place = lambda x: x.withColumn("k", F.explode(F.when(F.col("k").startswith("N:"), F.array("k", F.concat(F.lit("n"), F.expr("substring(k, 2)")))).otherwise(F.array("k"))))
-    l, r = place(l), place(r)
-    total = left.count() + right.count()
-    counts = lambda on: l.groupBy(on).agg(F.count(F.lit(1)).alias("nl")).join(r.groupBy(on).agg(F.count(F.lit(1)).alias("nr")), on).withColumn("w", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))))
-    # A date-less record pairs with dated ones through n:, two dated ones never through n:.
-    sizes = materialise(counts(["k"]), "key-sizes")
-    met = _meet(l, r, sizes, ["k"])
-    hot = sizes.filter(F.col("nl") + F.col("nr") >= HOT_SHARE * total).select("k", F.col("w").alias("plain"))
-    whole = lambda x: x.filter("name <> ''").join(hot, "k").withColumn("name", F.array_sort(F.split("name", " ")))
-    l, r = whole(l), whole(r)
-    named = counts(["k", "name"]).join(hot, "k").withColumn("w", F.col("w") - F.col("plain"))
-    met = met.unionByName(_meet(l, r, named, ["k", "name"]))  # what equal names add to the weight of the key
-    dated = lambda x, n: x.select(F.col("id").alias(n), (F.col("y") > 0).alias(f"{n}_dated"))
-    edges = met.groupBy("a", "b").agg(F.sum("w").alias("weight"), F.max((~F.col("k").startswith("n:")).cast("int")).alias("firm"))
-    loose = edges.filter("firm = 0").join(dated(left, "a"), "a").join(dated(right, "b"), "b").filter("not (a_dated and b_dated)").select("a", "b", "weight")
-    edges = materialise(edges.filter("firm = 1").select("a", "b", "weight").unionByName(loose), "edges")
+    # n: and N: name the same place; N: records give both spellings so that the join pairs N with n and N.
+    spelled = F.explode(F.when(F.col("k").startswith("N:"), F.array("k", F.concat(F.lit("n"), F.expr("substring(k, 2)")))).otherwise(F.array("k")))
+    numbered = lambda x, n: x.select(F.col("id").alias(n), (F.col("y") > 0).alias(f"{n}_dated"), F.explode(F.array_distinct("keys")).alias("k")).withColumn("k", spelled)
+    l, r = (numbered(x, n).withColumn("loose", F.col("k").startswith("n:")).withColumn("k", F.xxhash64("k")) for x, n in ((left, "a"), (right, "b")))
+    l, total = l.drop("loose"), left.count() + right.count()
+    sizes = materialise(_sized(l, r, ["k"]), "key-sizes")
+    weigh = lambda x: x.withColumn("w", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))))
+    met = _meet(weigh(l.join(sizes, "k")), r.join(sizes, "k"), ["k"])
+    hot = sizes.filter(F.col("nl") + F.col("nr") >= HOT_SHARE * total)  # at most (keys of a record) / HOT_SHARE of them
+    if not hot.isEmpty():
+        plain = F.broadcast(hot.select("k", F.log(F.lit(total) / (F.col("nl") + F.col("nr"))).alias("plain")))
+        named = lambda x, side, n: x.join(plain, "k").join(side.filter("name <> ''").select(F.col("id").alias(n), F.xxhash64(F.array_sort(F.split("name", " "))).alias("name")), n)
+        x, y = named(l, left, "a"), named(r, right, "b").drop("plain")
+        whole = materialise(_sized(x, y, ["k", "name"]), "name-sizes")
+        added = weigh(x.join(whole, ["k", "name"])).withColumn("w", F.col("w") - F.col("plain"))
+        met = met.unionByName(_meet(added, y.join(whole, ["k", "name"]), ["k", "name"]))  # what equal names add to the weight of the key
+    # Dealt by the left record: the pairs' sums, the best of each left record and the join with it need no further shuffle.
+    firm = F.max((~(F.col("loose") & F.col("a_dated") & F.col("b_dated"))).cast("int"))
+    edges = met.select("a", "b", "w", "loose", "a_dated", "b_dated").repartition("a").groupBy("a", "b").agg(F.sum("w").alias("weight"), firm.alias("firm"))
+    edges = materialise(edges.filter("firm = 1").select("a", "b", "weight"), "edges")
     discard(sizes)
-    tops_a, tops_b = edges.groupBy("a").agg(F.max("weight").alias("ta")), edges.groupBy("b").agg(F.max("weight").alias("tb"))
-    return edges.join(tops_a, "a").join(tops_b, "b").filter(F.col("weight") >= KEEP_SHARE * F.least("ta", "tb")).select("a", "b", "weight")
+    top = lambda n: edges.groupBy(n).agg(F.max("weight").alias(f"t{n}"))
+    return edges.join(top("a"), "a").join(top("b"), "b").filter(F.col("weight") >= KEEP_SHARE * F.least("ta", "tb")).select("a", "b", "weight")
 
 
 def _compare(a: dict, b: dict, weight) -> float:
     """Log odds that two normalised records are one person, from the agreements and disagreements of their fields."""
-    z = -7.5
+    z = -6.0
     x, y = a["name"].split(), b["name"].split()
     if x and y:
         weighted, plain, n = names.soft_similarity(x, y, weight)
@@ -273,8 +286,8 @@ def link(left: DataFrame, right: DataFrame, left_fields: dict = LEFT_FIELDS, rig
     Confidence is the logistic of the field evidence plus support: the mean confidence of other pairs between the same
     two addresses (households meet as a whole), from which the pair's own part is taken; and minus doubt, if either end
     has a far better partner whose record is a rival. Support is an aggregate per pair of addresses, so no pairs of pairs
-    are formed. Rounds end when no confidence moves by STABLE or more; if that is not
-    so after MAX_ROUNDS, an error is raised.
+    are formed. Rounds end when no confidence moves by STABLE or more; if that is not so after MAX_ROUNDS, an error is
+    raised. Pairs without another pair of their two addresses have no support and stay out of the rounds.
     """
     from kinloom.llm.variants import TOKEN_COUNTERS
     import numpy as np
@@ -286,28 +299,31 @@ def link(left: DataFrame, right: DataFrame, left_fields: dict = LEFT_FIELDS, rig
     for code, n in tokens.groupBy((F.crc32(F.col("t").cast("binary")) % TOKEN_COUNTERS).alias("k")).count().collect():  # at most TOKEN_COUNTERS rows
         counters[code] = n
     sent = left.sparkSession.sparkContext.broadcast(counters)
-    graph = candidate_graph(l, r)
     side = lambda x, n: x.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in _FACTS])
-    full = graph.select("a", "b").join(side(l, "a"), "a").join(side(r, "b"), "b")
-    pairs = full.mapInArrow(lambda it: _score(it, sent.value, total), "a string, b string, z double, home string").filter("z > -6")
-    scored = materialise(pairs, "scores")
+    full = candidate_graph(l, r).select("a", "b").join(side(l, "a"), "a").join(side(r, "b"), "b")
+    scored = materialise(full.mapInArrow(lambda it: _score(it, sent.value, total), "a string, b string, z double, home string").filter("z > -6"), "scores")
     best_a = scored.groupBy("a").agg(F.max("z").alias("za"))
     best_b = scored.groupBy("b").agg(F.max("z").alias("zb"))
     doubt = F.when((F.col("za") - F.col("z") > 6) | (F.col("zb") - F.col("z") > 6), 1.0).otherwise(0.0)
-    now = scored.join(best_a, "a").join(best_b, "b").select("a", "b", "z", "home", doubt.alias("doubt"), (1 / (1 + F.exp(-F.col("z")))).alias("c"))
-    now = materialise(now, "pairs")
+    judged = scored.join(best_a, "a").join(best_b, "b").select("a", "b", "home", (F.col("z") - 1.5 * doubt).alias("z"), (1 / (1 + F.exp(-F.col("z")))).alias("c"))
+    homes = scored.filter("home is not null").groupBy("home").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("home", F.lit(True).alias("shared"))
+    judged = materialise(judged.filter("home is not null").join(homes, "home", "left").unionByName(judged.filter("home is null").withColumn("shared", F.lit(None).cast("boolean"))), "pairs")
     discard(scored)
+    logistic = lambda z: 1 / (1 + F.exp(-z))
+    alone = judged.filter("shared is null").select("a", "b", logistic(F.col("z")).alias("c"))
+    now, written = judged.filter("shared").select("a", "b", "home", "z", "c"), None
     for _ in range(MAX_ROUNDS):
-        home = now.filter("home is not null").groupBy("home").agg(F.sum("c").alias("sum_c"), F.count(F.lit(1)).alias("n"))
-        joined = now.join(home.filter("n > 1"), "home", "left")
-        support = F.coalesce(F.least(F.lit(1.0), F.col("sum_c") - F.col("c")), F.lit(0.0))
-        after = joined.select("a", "b", "z", "home", "doubt", (1 / (1 + F.exp(-(F.col("z") + 1.0 * support - 1.5 * F.col("doubt"))))).alias("c"), F.col("c").alias("was"))
-        after = materialise(after, "pairs")
-        discard(now)
+        said = now.groupBy("home").agg(F.sum("c").alias("sum_c"))
+        support = F.least(F.lit(1.0), F.col("sum_c") - F.col("c"))
+        after = now.join(said, "home").select("a", "b", "home", "z", logistic(F.col("z") + support).alias("c"), F.col("c").alias("was"))
+        after = materialise(after, "support")
         moved = after.agg(F.max(F.abs(F.col("c") - F.col("was")))).first()[0] or 0.0
-        now = after
+        if written is not None:
+            discard(written)
+        now = written = after
         if moved < STABLE:
             break
     else:
         raise RuntimeError(f"confidences still move by {moved:.3f} after {MAX_ROUNDS} rounds")
-    return now.filter(F.col("c") >= CONFIDENT).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.col("c").alias("confidence"))
+    found = alone.unionByName(now.select("a", "b", "c")).filter(F.col("c") >= CONFIDENT)
+    return found.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.col("c").alias("confidence"))
