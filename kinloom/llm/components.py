@@ -1,110 +1,18 @@
-"""Groups of records linked directly or through others, by union-find inside partitions and a hierarchy of forests."""
+"""Groups of records linked directly or through others, from the pairs of a matching or deduplication run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from kinloom.operators.skew import hot_keys
-from kinloom.session import materialise
-
-#: Edges that one partition may hold; above it another level of the hierarchy is made instead of a larger task.
-EDGES_PER_PARTITION = 400_000
-
-
-def _forest(batches: Iterator[pa.RecordBatch], flush_at: int) -> Iterator[pa.RecordBatch]:
-    """Union-find over blocks of at most ``flush_at`` edges (plus one batch); yields (node, root), root the smallest name of its tree."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= flush_at:
-            yield from _solve(held)
-            held, rows = [], 0
-    if rows:
-        yield from _solve(held)
-
-
-def _solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(held)
-    a, b = (pa.concat_arrays(table.column(i).chunks) for i in (0, 1))
-    names = pc.unique(pa.chunked_array([a, b]))
-    names = names.take(pc.array_sort_indices(names))  # UTF-8 bytes sort as code points: the smaller index is the smaller name
-    left = pc.index_in(a, names).to_numpy(zero_copy_only=False).tolist()
-    right = pc.index_in(b, names).to_numpy(zero_copy_only=False).tolist()
-    parent = list(range(len(names)))
-    for x, y in zip(left, right):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    roots = np.asarray(parent)
-    while True:  # parents only ever point down, so a few doublings flatten every path
-        up = roots[roots]
-        if (up == roots).all():
-            break
-        roots = up
-    yield pa.record_batch([names, names.take(pa.array(roots))], names=["node", "root"])
+from kinloom.operators.components import EDGES_PER_PARTITION, connected
 
 
 def connected_groups(pairs: DataFrame, left: str, right: str, edges_per_partition: int = EDGES_PER_PARTITION) -> DataFrame:
     """(record_id, group_id): every record that has a link, with the smallest record id of its group.
 
-    Pairs with a null end or two equal ends are no links; repeated rows and both directions are harmless; ids compare by
-    code point; an empty table gives an empty result.
-
-    Each level runs union-find inside every partition of the edges and keeps only its spanning forest, flattened to
-    stars (node, root). A node met in several partitions has several roots: linking those roots gives the next level's
-    edges, a much smaller graph of roots only. Levels are written to the shared folder, their partitions hold at most
-    ``edges_per_partition`` edges, and rows are dealt out by hash of the whole edge, so a hub with a third of all links
-    is spread like any other. When all edges of a level fit one partition its forest is final; on the way back every
-    level's roots are replaced by their group through one equi-join.
+    Union-find inside edge partitions, spanning forests only, merged in a hierarchy of partitions of at most
+    ``edges_per_partition`` edges until the components are global: see :func:`kinloom.operators.components.connected`,
+    whose plan the core shares. Pairs with a null end or two equal ends are no links; repeated rows and both directions
+    are harmless; ids compare by code point; an empty table gives an empty result; other columns are ignored.
     """
-    edges = pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).filter("a is not null and b is not null and a <> b")
-    schema = "node string, root string"
-    levels: list[DataFrame] = []
-    last = False
-    while True:
-        # The last level is one task of at most edges_per_partition edges; it is solved as one block.
-        block = 2**62 if last else edges_per_partition
-        forest = edges.mapInArrow(lambda batches, block=block: _forest(batches, block), schema)
-        if last:
-            levels.append(materialise(forest, "forest"))
-            break
-        # One star per node: its smallest root; every further root is an edge of the next level.
-        tops = materialise(forest.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "stars")
-        levels.append(tops.select("node", "root"))
-        links = tops.filter("size(roots) > 1").select(F.col("root").alias("a"), F.explode("roots").alias("b")).filter("a <> b").distinct()
-        links = materialise(links, "links")
-        count = links.count()
-        if not count:
-            break
-        wanted = max(1, -(-count // edges_per_partition))
-        last = wanted == 1
-        edges = links.coalesce(1) if last else links.repartition(wanted, "a", "b")
-    groups = levels[-1].select(F.col("node").alias("record_id"), F.col("root").alias("group_id"))
-    for stars in reversed(levels[:-1]):
-        # Roots of one level are nodes of the next only if they were linked there; a root without links is final.
-        above = groups.select(F.col("record_id").alias("root"), "group_id")
-        # Each level is written: the next one reads it more than once, and a plan of all levels would grow without bound.
-        groups = materialise(_relabel(stars, above), "groups")
-    return groups
-
-
-def _relabel(stars: DataFrame, above: DataFrame) -> DataFrame:
-    """node -> group through its root. Stars with a hub root are spread by salt: the roots' table is replicated per salt for hubs only."""
-    sizes = stars.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    total = stars.count()
-    named = sizes.join(above, "root", "left").withColumn("group_id", F.coalesce("group_id", "root"))
-    hot = F.broadcast(hot_keys(named, "n", total))
-    by_hub = stars.join(hot.select("root", "group_id"), "root")
-    rest = stars.join(hot.select("root"), "root", "left_anti").join(above, "root", "left").withColumn("group_id", F.coalesce("group_id", "root"))
-    return by_hub.select(F.col("node").alias("record_id"), "group_id").unionByName(rest.select(F.col("node").alias("record_id"), "group_id"))
+    return connected(pairs.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")), "a", "b", edges_per_partition)

@@ -68,6 +68,26 @@ def test_components(spark, bound):
     assert components.connected_groups(df.limit(0), "left_id", "right_id").count() == 0
 
 
+@pytest.mark.parametrize("shape", ["chain", "star", "grid"])
+def test_components_of_ordered_graphs(spark, shape, monkeypatch):
+    """Ids in the order of the links, 40 partitions, far more links than one partition may hold: ends within 25 levels."""
+    from kinloom.operators import components as engine
+
+    monkeypatch.setattr(engine, "MAX_LEVELS", 25)
+    n = 20_000
+    ids = spark.range(n).repartition(40)
+    at = lambda c: F.format_string("r%07d", c)
+    if shape == "chain":
+        links = ids.select(at(F.col("id")).alias("a"), at(F.col("id") + 1).alias("b"))
+    elif shape == "star":
+        links = ids.select(at(F.lit(n)).alias("a"), at(F.col("id")).alias("b"))
+    else:
+        links = ids.select(F.explode(F.array(F.struct(at(F.col("id")).alias("a"), at(F.col("id") + 1).alias("b")), F.struct(at(F.col("id")).alias("a"), at(F.col("id") + 100).alias("b"))))).select("col.*")
+    got = components.connected_groups(links, "a", "b", 500)
+    assert [tuple(r) for r in got.groupBy("group_id").count().collect()] == [("r0000000", got.count())]
+    assert got.count() == {"chain": n + 1, "star": n + 1, "grid": n + 100}[shape]
+
+
 def test_merge_replay_small_vocabulary(tmp_path):
     """All merges in rank order, against the plain way of merging one word at a time."""
     base = tokens._byte_names()
