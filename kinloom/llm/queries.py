@@ -65,7 +65,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.source_budget(_sized(spark, sf), _read(spark, sf, "mix_targets")).filter("falls_short").select("source")
+    return p8_report(spark, sf).filter("falls_short").select("source")
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:

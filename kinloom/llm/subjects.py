@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: At most so many labelled documents are used for training (those with the smallest hash of their id).
 MAX_LABELLED = 12_000
+#: One classifier per subject is trained on the driver; more subjects are refused, never dropped.
+MAX_SUBJECTS = 1_000
 BEAM = 8
 FOLDS = 4
 #: A line of the page's body has finished sentences; menus, teasers, lists of links and headings have none (fixed values).
@@ -316,7 +318,9 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     structure) is trained on at most ``max_labelled`` labelled documents and shipped with the tasks; classifying is one
     scan without a shuffle. Without labels the result is empty.
     """
-    names = [r[0] for r in subjects.select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     rows = documents.select("doc_id", "text", "source")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, subject string"
     model = fit(documents, labels, names, max_labelled) if names else None

@@ -159,6 +159,23 @@ def test_pareto_inclusion(spark):
     assert len(seen) >= 30 and max(seen.values()) <= 9
 
 
+def test_pareto_inclusion_follows_the_odds(spark):
+    """Documents of unequal size: over many seeds each is taken about as often as its expected copies say, in a sample of fixed size."""
+    sizes = [10] * 20 + [30] * 20
+    df = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)] + [(100 + i, "t", 40) for i in range(40)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("s", 0.125, 2), ("t", 0.875, 5)], "source string, target_share double, max_repeats int")
+    wanted = 0.125 * (sum(sizes) + 1600)
+    rate = wanted / sum(n * n for n in sizes)
+    seen, rounds = Counter(), 30
+    for seed in range(rounds):
+        got = mixture.mixture(df, targets, seed=seed)[0].filter("source = 's'").collect()
+        assert abs(sum(r.n_tokens * r.copies for r in got) - wanted) <= 15
+        for r in got:
+            seen[r.n_tokens] += r.copies
+    for n in (10, 30):
+        assert abs(seen[n] / (20 * rounds) - rate * n) < 0.06, (n, seen[n] / (20 * rounds), rate * n)
+
+
 def test_passages():
     text = "Home | Law | Sport\nA new Title for bonds\nThe judge acquitted the defendant after the trial.\n裁判所は証人について話した。\n© 2030 x. All rights"
     found, share = subjects.passages(text)
