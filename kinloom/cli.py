@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession, functions as F
 
+from kinloom import __version__
 from kinloom.functions import similarity
 from kinloom.operators import matching
 from kinloom.plans.linkage import Linkage
 from kinloom.sources import io
+from kinloom.streaming.matching import indexed
 
 
 def _plan(args: argparse.Namespace) -> Linkage:
@@ -21,9 +24,12 @@ def _plan(args: argparse.Namespace) -> Linkage:
     )
 
 
-def _show(df, out: str | None) -> None:
+def _show(df, out: str | None, fmt: str = "csv") -> None:
     if out:
-        io.write_single_csv(df, out)
+        (io.write_single_json if fmt == "json" else io.write_single_csv)(df, out)
+    elif fmt == "json":
+        for r in df.toLocalIterator():
+            print(json.dumps(r.asDict(recursive=True), ensure_ascii=False))
     else:
         print(",".join(df.columns))
         for r in df.toLocalIterator():
@@ -32,17 +38,17 @@ def _show(df, out: str | None) -> None:
 
 def cmd_dedupe(spark: SparkSession, args: argparse.Namespace) -> None:
     found = _plan(args).dedup(io.read_csv(spark, args.input))
-    _show(found.select("left_id", "right_id", "score", "match_class").orderBy("left_id", "right_id"), args.output)
+    _show(found.select("left_id", "right_id", "score", "match_class").orderBy("left_id", "right_id"), args.output, args.format)
 
 
 def cmd_link(spark: SparkSession, args: argparse.Namespace) -> None:
     found = _plan(args).link(io.read_csv(spark, args.left), io.read_csv(spark, args.right))
-    _show(found.select("left_id", "right_id", "score", "match_class").orderBy("left_id", "right_id"), args.output)
+    _show(found.select("left_id", "right_id", "score", "match_class").orderBy("left_id", "right_id"), args.output, args.format)
 
 
 def cmd_match(spark: SparkSession, args: argparse.Namespace) -> None:
-    lines = io.read_lines(spark, args.candidates).withColumn("line", F.monotonically_increasing_id())
-    _show(matching.match_batch(lines, "value", "line", args.query, args.metric, args.threshold, args.limit).select("value", "score"), None)
+    lines = indexed(io.read_lines(spark, args.candidates))
+    _show(matching.match_batch(lines, "value", "index", args.query, args.metric, args.threshold, args.limit).select("value", "score", "index"), None, args.format)
 
 
 def cmd_explain(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -54,6 +60,7 @@ def cmd_explain(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kinloom")
+    p.add_argument("--version", action="version", version=f"kinloom {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     for name, inputs, run in (("dedupe", ["input"], cmd_dedupe), ("link", ["left", "right"], cmd_link)):
         c = sub.add_parser(name)
@@ -64,6 +71,7 @@ def build_parser() -> argparse.ArgumentParser:
         c.add_argument("--metric", default="jaro_winkler")
         c.add_argument("--threshold", type=float, default=0.85)
         c.add_argument("--output")
+        c.add_argument("--format", choices=["csv", "json"], default="csv")
         c.set_defaults(run=run)
     c = sub.add_parser("match")
     c.add_argument("query")
@@ -71,6 +79,7 @@ def build_parser() -> argparse.ArgumentParser:
     c.add_argument("--metric", default="jaro_winkler")
     c.add_argument("--threshold", type=float)
     c.add_argument("--limit", type=int, default=10)
+    c.add_argument("--format", choices=["csv", "json"], default="csv")
     c.set_defaults(run=cmd_match)
     c = sub.add_parser("explain")
     c.add_argument("a")

@@ -305,6 +305,14 @@ def transliterate_hangul(c: Column) -> Column:
     return _mapped(c, hangul)
 
 
+def transliterate(c: Column, script: str) -> Column:
+    """Latin letters for those of ``script``; other letters stay."""
+    by_script = {"cyrillic": transliterate_cyrillic, "greek": transliterate_greek, "arabic": transliterate_arabic, "hebrew": transliterate_hebrew, "devanagari": transliterate_devanagari, "hangul": transliterate_hangul}
+    if script.lower() not in by_script:
+        raise ValueError(f"unknown script {script!r}: {', '.join(by_script)}")
+    return by_script[script.lower()](c)
+
+
 def validate_strings(a: Column, b: Column) -> Column:
     """ok, both_empty, left_empty or right_empty; null counts as empty."""
     x, y = F.coalesce(a, F.lit("")) == "", F.coalesce(b, F.lit("")) == ""

@@ -15,6 +15,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "double_metaphone": lambda c: F.concat_ws("|", phonetic.double_metaphone(c)["primary"], phonetic.double_metaphone(c)["alternate"]),
     "detect_language": phonetic.detect_language, "mra_compare": phonetic.mra_compare, "daitch_mokotoff_match": phonetic.daitch_mokotoff_match,
     **{n: f for n, f in text.OPERATIONS.items()},
+    "transliterate": lambda c: text.transliterate(text.transliterate(text.transliterate(c, "Cyrillic"), "greek"), "hangul"),
     "locale_aware_compare_turkish": lambda a, b: text.locale_aware_compare(a, b, "turkish"), "validate_strings": text.validate_strings,
     "regex_replace_digits": lambda c: text.regex_replace(c, r"\d+", ""), "regex_replace_hyphen": lambda c: text.operation("regex_replace:-: ")(c),
     "synonym_expand": lambda c: text.operation('synonym_expand:{"big": "large", "cat": "feline"}')(c), "preprocess_three": lambda c: text.preprocess(c, ["fold_case", "strip_punctuation", "normalize_whitespace"]),
@@ -47,7 +48,7 @@ GOLDENS: list[tuple[str, tuple[str | None, ...], str | None]] = [
     ("normalize_email", ("User.Name+tag@Gmail.COM",), "username@gmail.com"), ("normalize_email", ("test@googlemail.com",), "test@gmail.com"), ("normalize_email", ("User@Example.COM",), "user@example.com"), ("normalize_email", ("not-an-email",), "not-an-email"),
     ("normalize_url", ("http://example.com:80/path",), "http://example.com/path"), ("normalize_url", ("https://example.com:443/path",), "https://example.com/path"), ("normalize_url", ("http://example.com/path#section",), "http://example.com/path"), ("normalize_url", ("",), ""),
     ("transliterate_cyrillic", ("Москва",), "Moskva"), ("transliterate_cyrillic", ("Щёлково",), "Shchyolkovo"), ("transliterate_cyrillic", ("объём",), "obyom"), ("transliterate_cyrillic", ("Київ",), "Kiyiv"), ("transliterate_greek", ("Αθήνα",), "Athina"), ("transliterate_greek", ("Παπαδόπουλος",), "Papadopoylos"), ("transliterate_greek", ("λόγος",), "logos"),
-    ("transliterate_hebrew", ("ךםן",), "kmn"), ("transliterate_arabic", ("بَ",), "b"), ("transliterate_devanagari", ("क",), "ka"), ("transliterate_devanagari", ("क्",), "k"), ("transliterate_devanagari", ("कि",), "ki"), ("transliterate_devanagari", ("अइ",), "ai"),
+    ("transliterate", ("Москва Αθήνα 서울",), "Moskva Athina seoul"), ("transliterate_hebrew", ("ךםן",), "kmn"), ("transliterate_arabic", ("بَ",), "b"), ("transliterate_devanagari", ("क",), "ka"), ("transliterate_devanagari", ("क्",), "k"), ("transliterate_devanagari", ("कि",), "ki"), ("transliterate_devanagari", ("अइ",), "ai"),
     ("transliterate_hangul", ("한글",), "hangeul"), ("transliterate_hangul", ("서울",), "seoul"), ("transliterate_hangul", ("한 hello",), "han hello"), ("strip_arabic_diacritics", ("كَتـب",), "كتب"), ("strip_hebrew_diacritics", ("שָׁל",), "של"), ("strip_bidi_marks", ("‎hello‏ world‬",), "hello world"), ("normalize_arabic", ("أآإة",), "اااه"),
     ("validate_strings", ("a", "b"), "ok"), ("validate_strings", ("", "b"), "left_empty"), ("validate_strings", ("a", None), "right_empty"), ("validate_strings", ("", ""), "both_empty"),
     ("whitespace_tokenize", (" hello  beautiful world ",), "hello|beautiful|world"), ("ngram_tokenize", ("hello",), "he|el|ll|lo"), ("ngram_tokenize", ("a",), ""), ("trigram_tokenize", ("hello",), "hel|ell|llo"), ("character_tokenize", ("a b c",), "a|b|c"), ("smart_tokenize", ("Hello 世界",), "Hello|世|界"), ("smart_tokenize", ("hello world",), "hello|world"), ("cjk_ngram_tokenize", ("ab東京cd",), "東京"),

@@ -24,20 +24,23 @@ def _side(df: DataFrame, id_col: str, keys: Column, name: str, *more: Column) ->
     return df.select(F.col(id_col).alias(name), keys.alias("key"), *more).filter("key is not null")
 
 
+def _sliced(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a and b joined on key. Keys with many rows of ``b`` are cut into slices by a hash of right_id, and the rows of ``a`` are
+    replicated to the slices of their key, so the work on one hot key is spread over many tasks."""
+    sizes = b.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE).select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    # Only keys with more than SLICE rows are listed: at most rows / SLICE of them; the shuffle join lets AQE broadcast them if small.
+    a = a.join(sizes, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0))))).drop("slices")
+    b = b.join(sizes, "key", "left").withColumn("slice", F.pmod(F.xxhash64("right_id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    return a.join(b, ["key", "slice"])
+
+
 def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[DataFrame], Column], exploded: bool = False) -> DataFrame:
-    """Pairs with an equal key. Blocks are cut into slices by a hash of the id: a left slice is replicated to the right
-    slices of its block, so the work on one hot key is spread over slices squared tasks."""
+    """Pairs with an equal key; see _sliced for hot keys."""
     def keyed(df: DataFrame, name: str) -> DataFrame:
         k = F.explode(F.array_distinct(key(df))) if exploded else key(df)
         return _side(df, id_col, k, name)
 
-    a = keyed(left, "left_id")
-    b = keyed(left if right is None else right, "right_id")
-    sizes = b.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE).select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-    # Only keys with more than SLICE rows are listed: at most rows / SLICE of them; the shuffle join lets AQE broadcast them if small.
-    a = a.join(sizes, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0))))).drop("slices")
-    b = b.join(sizes, "key", "left").withColumn("slice", F.pmod(F.xxhash64("right_id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    pairs = a.join(b, ["key", "slice"])
+    pairs = _sliced(keyed(left, "left_id"), keyed(left if right is None else right, "right_id"))
     if right is None:
         pairs = pairs.filter("left_id < right_id")
     pairs = pairs.select("left_id", "right_id")
@@ -58,7 +61,7 @@ def numeric(left: DataFrame, right: DataFrame | None, field: str, bucket_size: f
     a = _side(left, id_col, bucket(left), "left_id")
     r = left if right is None else right
     b = _side(r, id_col, F.explode(F.when(bucket(r).isNotNull(), F.array(bucket(r) - 1, bucket(r), bucket(r) + 1))), "right_id")
-    pairs = a.join(b, "key")
+    pairs = _sliced(a, b)
     return (pairs.filter("left_id < right_id") if right is None else pairs).select("left_id", "right_id")
 
 
@@ -79,7 +82,7 @@ def qgram(left: DataFrame, right: DataFrame | None, field: str, q: int = 3, thre
         return _side(d, id_col, F.explode(g), name).groupBy(name, "key").agg(F.count(F.lit(1)).alias(f"n_{name}"))
 
     a, b = grams(left, "left_id"), grams(left if right is None else right, "right_id")
-    pairs = a.join(b, "key")
+    pairs = _sliced(a, b)
     if right is None:
         pairs = pairs.filter("left_id < right_id")
     pairs = pairs.groupBy("left_id", "right_id").agg(F.sum(F.col("n_left_id") * F.col("n_right_id")).alias("n"))

@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinloom.functions import similarity
 from kinloom.operators.components import connected
@@ -284,14 +284,15 @@ def davies_bouldin_index(edges: DataFrame, labels: DataFrame, a: str = "left_id"
     ratio = F.when(apart > 0, (F.col("sc_p") + F.col("sc_q")) / apart).otherwise(0.0)
     met = materialise(met.select("p", "q", ratio.alias("r")), "ratios")
     both = met.select("p", "q", "r").unionByName(met.select(F.col("q").alias("p"), F.col("p").alias("q"), "r"))
-    worst = both.groupBy("p").agg(F.max("r").alias("r"), F.collect_set("q").alias("met"))
-    # the strangers of a cluster: the largest scatter among clusters it has no known distance to
-    widest = scatter.select(F.col("l").alias("o"), F.col("scatter").alias("so"))
-    strangers = scatter.select(F.col("l").alias("p"), "scatter").join(worst.select("p", "met"), "p", "left")
-    lone = strangers.filter(F.coalesce(F.size("met"), F.lit(0)) < k - 1)
-    # A cluster that has met m others needs to look at no more than the m + 2 widest clusters.
-    deepest = lone.select(F.max(F.coalesce(F.size("met"), F.lit(0)))).first()[0] or 0
-    heads = widest.orderBy(F.desc("so"), "o").limit(int(deepest) + 2)
-    alone = lone.join(F.broadcast(heads), F.col("p") != F.col("o")).filter(F.col("met").isNull() | ~F.array_contains("met", F.col("o"))).groupBy("p").agg(F.max(F.col("scatter") + F.col("so")).alias("r2"))
+    worst = both.groupBy("p").agg(F.max("r").alias("r"))
+    # The widest stranger of a cluster: clusters are ranked by scatter, and of the ranks it has met (its own included) the
+    # first gap is the one it looks for. One window over a cluster's known partners, one equi-join.
+    from kinloom.operators.blocking import ranked
+
+    ranks = materialise(ranked(scatter.select(F.col("l").alias("o"), F.col("scatter").alias("so")), [(-F.col("so")).alias("narrow"), F.col("o")]), "scatter-ranks")
+    seen = both.select("p", F.col("q").alias("o")).unionByName(scatter.select(F.col("l").alias("p"), F.col("l").alias("o"))).join(ranks.select("o", "rank"), "o")
+    place = F.row_number().over(Window.partitionBy("p").orderBy("rank"))
+    gaps = seen.select("p", "rank", place.alias("place")).groupBy("p").agg(F.coalesce(F.min(F.when(F.col("rank") != F.col("place"), F.col("place"))), F.count(F.lit(1)) + 1).alias("rank"))
+    alone = gaps.join(ranks.select("rank", "so"), "rank").join(scatter.select(F.col("l").alias("p"), "scatter"), "p").select("p", (F.col("scatter") + F.col("so")).alias("r2"))
     every = scatter.select(F.col("l").alias("p")).join(worst.select("p", "r"), "p", "left").join(alone, "p", "left")
     return every.agg(F.avg(F.greatest(F.coalesce("r", F.lit(0.0)), F.coalesce("r2", F.lit(0.0)))).alias("davies_bouldin"))

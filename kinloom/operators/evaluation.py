@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from kinloom.functions import similarity
+from kinloom.operators.skew import range_parts
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -53,16 +54,15 @@ def _by_threshold(scored: DataFrame, truth: DataFrame, a: str, b: str, score: st
     """(threshold, tp, fp) for each distinct score, counting pairs at that score or more; and the number of true pairs.
 
     A pair scored several times counts at its highest score. Scores are compressed to distinct values before the running
-    sum, whose windows are slices of equal leading digits with the totals of the slices above added.
+    sum, whose windows are range partitions with the totals of the partitions above added.
     """
     best = scored.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.col(score).cast("double").alias("s")).filter("s is not null and not isnan(s)").groupBy("p", "q").agg(F.max("s").alias("s"))
     true = _pairs(truth, a, b).withColumn("y", F.lit(1))
-    cells = best.join(true, ["p", "q"], "left").groupBy("s").agg(F.count("y").alias("t"), F.count(F.lit(1)).alias("n")).withColumn("slice", F.floor(F.col("s") * 256))
-    sums = cells.groupBy("slice").agg(F.sum("t").alias("st"), F.sum("n").alias("sn"))
-    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("slice", F.coalesce(F.sum("st").over(above), F.lit(0)).alias("ot"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("on"))
-    inside = Window.partitionBy("slice").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cells.join(F.broadcast(offsets), "slice").select(F.col("s").alias("threshold"), (F.col("ot") + F.sum("t").over(inside)).alias("tp"), (F.col("on") + F.sum("n").over(inside)).alias("n"))
+    cells, above = range_parts(best.join(true, ["p", "q"], "left").groupBy("s").agg(F.count("y").alias("t"), F.count(F.lit(1)).alias("n")), F.desc("s"))
+    sums = cells.groupBy("__p").agg(F.sum("t").alias("st"), F.sum("n").alias("sn"))  # one row per partition
+    offsets = sums.select("__p", F.coalesce(F.sum("st").over(above), F.lit(0)).alias("ot"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("on"))
+    inside = Window.partitionBy("__p").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cells.join(F.broadcast(offsets), "__p").select(F.col("s").alias("threshold"), (F.col("ot") + F.sum("t").over(inside)).alias("tp"), (F.col("on") + F.sum("n").over(inside)).alias("n"))
     return rows.select("threshold", "tp", (F.col("n") - F.col("tp")).alias("fp")), true.count()
 
 
@@ -76,10 +76,12 @@ def roc_curve(scored: DataFrame, truth: DataFrame, all_pairs_count: int | None =
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """One row (auc): trapezoids under the curve in the order (fpr, tpr)."""
-    points = curve.groupBy("fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
-    w = Window.orderBy("fpr")  # one row per distinct rate
-    area = points.withColumn("x", F.lag("fpr").over(w)).withColumn("y", F.lag("hi").over(w))
+    """One row (auc): trapezoids under the curve in the order (fpr, tpr), inside range partitions and between their ends."""
+    points, above = range_parts(curve.groupBy("fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi")), "fpr")
+    ends = points.groupBy("__p").agg(F.max(F.struct("fpr", "hi")).alias("end"))  # one row per partition
+    before = ends.select("__p", F.max("end").over(above).alias("before"))
+    inside = Window.partitionBy("__p").orderBy("fpr")
+    area = points.join(F.broadcast(before), "__p").withColumn("x", F.coalesce(F.lag("fpr").over(inside), F.col("before.fpr"))).withColumn("y", F.coalesce(F.lag("hi").over(inside), F.col("before.hi")))
     return area.agg(F.coalesce(F.sum((F.col("fpr") - F.col("x")) * (F.col("y") + F.col("lo")) / 2), F.lit(0.0)).alias("auc"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kinloom.functions import similarity
 from kinloom.functions.similarity import CompositeScorer, Metric
-from kinloom.functions.tokenizers import matching_tokens
+from kinloom.functions.tokenizers import matching_tokens, ngram_tokenize
 
 Scorer = str | CompositeScorer | Metric
 
@@ -26,9 +26,12 @@ def match_batch(candidates: DataFrame, value: str, index: str, query: str, score
     return out if limit is None else out.limit(limit)
 
 
-def match_best(candidates: DataFrame, value: str, index: str, query: str, scorer: Scorer = "jaro_winkler", threshold: float | None = None) -> DataFrame:
-    """At most one row: the best candidate, of equal ones the one with the smallest index."""
-    return match_batch(candidates, value, index, query, scorer, threshold, 1)
+def match_best(candidates: DataFrame, value: str, index: str, query: str, scorer: Scorer = "jaro_winkler", threshold: float | None = None, ties: str = "first") -> DataFrame:
+    """At most one row: the best candidate, of equal ones the one with the smallest index (``ties="first"``) or the largest ("last")."""
+    if ties not in ("first", "last"):
+        raise ValueError(f"ties must be first or last, not {ties!r}")
+    order = F.asc(index) if ties == "first" else F.desc(index)
+    return _scored(candidates, value, query, scorer, threshold).orderBy(F.desc("score"), order).limit(1)
 
 
 def pairwise_similarity(df: DataFrame, a: str, b: str, scorer: Scorer = "jaro_winkler", name: str = "score") -> DataFrame:
@@ -61,12 +64,40 @@ def column_match_best(c: Column, candidates: Sequence[str], scorer: Scorer = "ja
     return F.when(best.isNotNull() & (F.lit(threshold is None) | (best["score"] >= (threshold or 0.0))), found)
 
 
+def near_values(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], scorer: Scorer, threshold: float) -> DataFrame:
+    """All pairs of rows that are equal in ``keys`` and whose values ``a`` and ``b`` can reach ``threshold``.
+
+    For Levenshtein similarity t, a value of n letters is within d = n (1 - t) / t edits of any partner, and an edit
+    touches two bigrams at most. Of the rarest 2 d + 1 bigrams of two such values at least one is common, if they have so
+    many; values too short for that meet each other. So pairs meet over an equi-join and none is lost. Other metrics have
+    no such bound: there all values that are equal in ``keys`` meet.
+    """
+    if scorer != "levenshtein" or not 0.5 < threshold <= 1:
+        return left.join(right, list(keys)) if keys else left.join(right, F.lit(True))
+    slack = (1 - threshold) / threshold
+
+    def keyed(df: DataFrame, c: str, counts: DataFrame) -> DataFrame:
+        rows = df.select(*df.columns, F.posexplode(ngram_tokenize(F.col(c), 2)).alias("__at", "__g"))
+        ranked = rows.join(counts, "__g").withColumn("__r", F.row_number().over(Window.partitionBy(c, *keys).orderBy("__n", "__g", "__at")))
+        need = 2 * F.floor(F.length(c) * slack + 1e-9) + 1
+        prefix = ranked.filter(F.col("__r") <= need).select(*df.columns, F.xxhash64("__g").alias("__m"))
+        short = df.filter(F.length(c) - 1 < need).select(*df.columns, F.lit(0).cast("long").alias("__m"))
+        return prefix.unionByName(short).distinct()
+
+    grams = lambda df, c: df.select(F.explode(ngram_tokenize(F.col(c), 2)).alias("__g"))
+    counts = grams(left, a).unionByName(grams(right, b)).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    n, m = F.length(a), F.length(b)
+    met = keyed(left, a, counts).join(keyed(right, b, counts), ["__m", *keys]).filter(F.abs(n - m) <= (1 - threshold) * F.greatest(n, m) + 1e-9)
+    return met.drop("__m").distinct()
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, scorer: Scorer = "jaro_winkler", threshold: float = 0.85, how: str = "inner", limit: int = 1, block: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Left columns, right columns with suffix _right, and _score: for each left row its ``limit`` best right rows at ``threshold`` or more.
 
     Equal scores go by the right value, then the right row's hash. ``how="left"`` keeps unmatched left rows with nulls.
     Only distinct values meet, and each distinct pair is scored once; ``block`` names (left, right) columns that must be
-    equal, which turns the product of distinct values into an equi-join. For Levenshtein scores the lengths decide first.
+    equal. Levenshtein scores have candidates by q-grams (see near_values); for other metrics without ``block`` all
+    distinct values meet.
     """
     lo, ro = left_on or on, right_on or on
     if lo is None or ro is None or (on is not None and (left_on or right_on)):
@@ -82,10 +113,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, on: str | None = None, left_on
     keys = [f"__k{i}" for i in range(len(block))]
     lv = left.select(F.col(lo).alias("__a"), *[F.col(x).alias(k) for k, (x, _) in zip(keys, block)]).filter("__a is not null").distinct()
     rv = right.select(F.col(ro).alias("__b"), *[F.col(y).alias(k) for k, (_, y) in zip(keys, block)]).filter("__b is not null").distinct()
-    pairs = lv.join(rv, keys) if keys else lv.join(rv, F.lit(True))
-    if scorer == "levenshtein":
-        n, m = F.length("__a"), F.length("__b")
-        pairs = pairs.filter(F.abs(n - m) <= (1 - threshold) * F.greatest(n, m) + 1e-9)
+    pairs = near_values(lv, rv, "__a", "__b", keys, scorer, threshold)
     pairs = pairs.withColumn("_score", similarity.scorer(scorer)(F.col("__a"), F.col("__b"))).filter(F.col("_score") >= threshold)
     # Enough values for `limit` rows: every kept value has at least one right row.
     best = Window.partitionBy("__a", *keys).orderBy(F.desc("_score"), "__b")
@@ -100,12 +128,17 @@ def fuzzy_join(left: DataFrame, right: DataFrame, on: str | None = None, left_on
     return joined.select(*[F.col("__l")[c].alias(c) for c in left.columns], *[F.col(f"`{c}_right`") for c in right.columns], "_score")
 
 
+def fuzzy_merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, scorer: Scorer = "jaro_winkler", threshold: float = 0.8, block: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Every left row that has a partner with its best one: left columns, right columns with suffix _right, and _score."""
+    return fuzzy_join(left, right, left_on=left_on, right_on=right_on, scorer=scorer, threshold=threshold, how="inner", limit=1, block=block)
+
+
 def deduplicate(df: DataFrame, index: str, value: str, scorer: Scorer = "jaro_winkler", threshold: float = 0.85) -> DataFrame:
     """(cluster_id, record_id): groups of two or more rows whose values are linked by scores at ``threshold`` or more."""
     from kinloom.operators.clustering import connected_components
 
     values = df.select(F.col(value).alias("v")).filter("v is not null").distinct()
-    near = values.alias("x").join(values.alias("y"), F.col("x.v") < F.col("y.v")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    near = near_values(values.withColumnRenamed("v", "a"), values.withColumnRenamed("v", "b"), "a", "b", (), scorer, threshold).filter("a < b")
     near = near.withColumn("s", similarity.scorer(scorer)(F.col("a"), F.col("b"))).filter(F.col("s") >= threshold)
     first = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.min(index).alias("first"))
     across = near.join(first.withColumnRenamed("v", "a").withColumnRenamed("first", "p"), "a").join(first.withColumnRenamed("v", "b").withColumnRenamed("first", "q"), "b").select("p", "q")

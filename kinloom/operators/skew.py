@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from kinloom.session import materialise
 
 #: At most this many keys can each hold total / MAX_HOT_KEYS rows or more: the bound on every broadcast made here.
 MAX_HOT_KEYS = 20_000
@@ -32,3 +34,13 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], count: str, t
 def salt(column: Column, buckets: int) -> Column:
     """A stable small integer from a column's value, for spreading a hot key over ``buckets`` reducers."""
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def range_parts(df: DataFrame, *order: Column | str) -> tuple[DataFrame, Window]:
+    """(rows with __p, window over the parts before): rows in range partitions of ``order``, numbered by ``__p``.
+
+    Windows inside a part never hold more than a partition, however many rows there are in all; what a part needs from
+    those before it is one row per part.
+    """
+    parts = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "range-parts")
+    return parts, Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

@@ -266,9 +266,18 @@ def _(spark, sf):
     return _pairs(blocking.exact(_part(spark, sf), None, "name"))
 
 
-@query()
+def _probes(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "probe_people").select("id", "first_name", "last_name")
+
+
+_CAPITALS = "upper(regexp_replace(last_name, '[^A-Za-z]', '', 'g'))"
+
+
+@query(f"""
+WITH l AS (SELECT id, {oracles.soundex('w')} AS k FROM (SELECT id, {_CAPITALS} AS w FROM probe_people WHERE last_name IS NOT NULL)), r AS (SELECT id, {oracles.soundex('w')} AS k FROM (SELECT id, {_CAPITALS} AS w FROM people WHERE last_name IS NOT NULL))
+SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r USING (k)""")
 def block_phonetic(spark, sf):
-    return _pairs(blocking.phonetic_code(_supplier(spark, sf), None, "name", "metaphone"))
+    return _pairs(blocking.phonetic_code(_probes(spark, sf), _read(spark, sf, "people").select("id", "last_name"), "last_name", "soundex"))
 
 
 @query("""
@@ -278,26 +287,34 @@ def block_sorted_neighborhood(spark, sf):
     return _pairs(blocking.sorted_neighborhood(_part(spark, sf), None, "name", 3))
 
 
-@query(f"""
-WITH s AS (SELECT s_suppkey AS id, unnest({_grams('lower(s_name)', 3)}) AS g FROM supplier), n AS (SELECT n_nationkey AS id, unnest({_grams('lower(n_name)', 3)}) AS g FROM nation)
-SELECT s.id AS left_id, n.id AS right_id FROM s JOIN n USING (g) GROUP BY ALL HAVING count(*) >= 1""")
+def _gram_counts(table: str) -> str:
+    x = "lower(last_name)"
+    return f"SELECT id, g, count(*) AS n FROM (SELECT id, unnest(CASE WHEN length({x}) < 3 THEN [{x}] ELSE {_grams(x, 3)} END) AS g FROM {table} WHERE last_name IS NOT NULL) GROUP BY ALL"
+
+
+@query(f"WITH l AS ({_gram_counts('probe_people')}), r AS ({_gram_counts('people')}) SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r USING (g) GROUP BY ALL HAVING sum(l.n * r.n) >= 4")
 def block_qgram_link(spark, sf):
-    n = _read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return _pairs(blocking.qgram(_supplier(spark, sf), n, "name", 3, 1))
+    """Every probe with all people whose last names share four q-grams."""
+    return _pairs(blocking.qgram(_probes(spark, sf), _read(spark, sf, "people").select("id", "last_name"), "last_name", 3, 4))
 
 
-@query(f"""
-WITH s AS (SELECT s_suppkey AS id, g, count(*) AS n FROM (SELECT s_suppkey, unnest({_grams('lower(s_name)', 3)}) AS g FROM supplier) GROUP BY ALL)
-SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL HAVING sum(a.n * b.n) >= 60""")
+@query(f"WITH s AS ({_gram_counts('probe_people')}) SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL HAVING sum(a.n * b.n) >= 2")
 def block_qgram(spark, sf):
-    return _pairs(blocking.qgram(_supplier(spark, sf), None, "name", 3, 60))
+    return _pairs(blocking.qgram(_probes(spark, sf), None, "last_name", 3, 2))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id AS id, lower(url) AS u FROM documents WHERE url <> ''), s AS (SELECT id, list_sort(list_distinct(CASE WHEN length(u) < 3 THEN [u] ELSE {_grams('u', 3)} END)) AS g FROM d)
+SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.id < b.id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g)) WHERE len(list_intersect(a.g, b.g)) >= 0.8 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
 def block_lsh(spark, sf):
-    """Near-identical pages by MinHash bands of their urls."""
-    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.normalize_url(F.col("url")).alias("url"))
-    return _pairs(blocking.lsh(d, None, "url", 100, 10))
+    """Pages whose urls have a Jaccard similarity of 0.8 or more: MinHash bands find candidates, the similarity is verified."""
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "url")
+    low = F.lower("url")
+    grams = F.array_distinct(F.when(F.length(low) < 3, F.array(low)).otherwise(tok.ngram_tokenize(low, 3)))
+    side = lambda n: d.select(F.col("id").alias(f"{n}_id"), grams.alias(n))
+    both = F.size(F.array_intersect("left", "right"))
+    met = blocking.lsh(d, None, "url").join(side("left"), "left_id").join(side("right"), "right_id")
+    return _pairs(met.filter(both >= 0.8 * (F.size("left") + F.size("right") - both)))
 
 
 @query()
@@ -402,7 +419,25 @@ def linkage_people_em(spark, sf):
     return plan.dedup(_people(spark, sf)).select("left_id", "right_id", "score", "match_class")
 
 
-@query()
+def _clean(x: str) -> str:
+    bare = r"regexp_replace(lower(@), '[!-/:-@\[-`{-~]', '', 'g')".replace("(@)", f"({x})", 1)
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE {oracles.joined(oracles.tokens(bare), ' ')} END"
+
+
+_HOME = "concat_ws('|', postcode, dob)"
+
+
+@query(f"""
+WITH RECURSIVE ppl AS (SELECT id, {_HOME} AS home, {_clean('first_name')} AS f, {_clean('last_name')} AS l FROM people),
+prs AS (SELECT a.id AS p, b.id AS q, a.f AS af, b.f AS bf, a.l AS al, b.l AS bl FROM ppl a JOIN ppl b ON a.home = b.home AND a.id < b.id),
+jp AS (SELECT af AS x, bf AS y FROM prs WHERE af IS NOT NULL AND bf IS NOT NULL UNION SELECT al, bl FROM prs WHERE al IS NOT NULL AND bl IS NOT NULL), {oracles.JARO},
+jw AS (SELECT x, y, CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jw END AS s FROM ja),
+links AS (SELECT p AS a, q AS b FROM prs LEFT JOIN jw f ON f.x = af AND f.y = bf LEFT JOIN jw l ON l.x = al AND l.y = bl WHERE (coalesce(f.s, 0.0) + coalesce(l.s, 0.0)) / 2 >= 0.9),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+best(record_id, component) USING KEY (record_id) AS (
+  SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+  UNION SELECT e.b, min(r.component) FROM best AS r JOIN both_ways AS e ON e.a = r.record_id JOIN recurring.best AS old ON old.record_id = e.b WHERE r.component < old.component GROUP BY e.b)
+SELECT record_id, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS cluster_id FROM best""")
 def linkage_people_clusters(spark, sf):
     ops = ["fold_case", "strip_punctuation", "normalize_whitespace"]
     plan = Linkage().preprocess("first_name", ops).preprocess("last_name", ops).block_exact("home").compare_string("first_name").compare_string("last_name").classify_threshold(0.9).cluster_connected_components()
@@ -418,20 +453,44 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CAST((scores[1] >= 0.5) AS INT) AS b0, CAST((scores[2] >= 0.5) AS INT) AS b1, CAST((scores[3] >= 0.5) AS INT) AS b2, count(*) AS n FROM match_results WHERE scores IS NOT NULL GROUP BY ALL""")
 def em_patterns(spark, sf):
     """Agreement patterns, the one aggregation that estimation needs."""
-    m = _read(spark, sf, "match_results").filter("scores is not null")
-    return m.groupBy(*[F.coalesce((F.col("scores")[i] >= 0.5).cast("int"), F.lit(0)).alias(f"b{i}") for i in range(3)]).agg(F.count(F.lit(1)).alias("n"))
+    x, n = training.agreement_patterns(_read(spark, sf, "match_results").filter("scores is not null"), 3)
+    return spark.createDataFrame([(*(int(v) for v in row), int(c)) for row, c in zip(x, n)], "b0 int, b1 int, b2 int, n long")
 
 
-@query()
+_LIKE = lambda v: " * ".join(f"(CASE WHEN b{i} = 1 THEN {v}[{i + 1}] ELSE 1 - {v}[{i + 1}] END)" for i in range(3))
+_CLIP = "least(1 - 1e-6, greatest(1e-6, {0}))"
+
+
+@query(f"""
+WITH RECURSIVE pat AS (SELECT coalesce((scores[1] >= 0.5)::INT, 0) AS b0, coalesce((scores[2] >= 0.5)::INT, 0) AS b1, coalesce((scores[3] >= 0.5)::INT, 0) AS b2, count(*)::DOUBLE AS n FROM match_results WHERE scores IS NOT NULL GROUP BY ALL),
+em AS (
+  SELECT 0 AS step, [0.9::DOUBLE, 0.9, 0.9] AS m, [0.1::DOUBLE, 0.1, 0.1] AS u, 0.1::DOUBLE AS p, 1.0::DOUBLE AS moved
+  UNION ALL
+  SELECT step + 1, nm, nu, np, greatest(abs(nm[1] - m[1]), abs(nm[2] - m[2]), abs(nm[3] - m[3]), abs(nu[1] - u[1]), abs(nu[2] - u[2]), abs(nu[3] - u[3]), abs(np - p)) FROM (
+    SELECT step, m, u, p, [{', '.join(_CLIP.format(f'sum(g * n * b{i}) / sum(g * n)') for i in range(3))}] AS nm, [{', '.join(_CLIP.format(f'sum((1 - g) * n * b{i}) / sum((1 - g) * n)') for i in range(3))}] AS nu, sum(g * n) / sum(n) AS np FROM (
+      SELECT *, p * like_m / (p * like_m + (1 - p) * like_u) AS g FROM (SELECT em.*, pat.*, {_LIKE('m')} AS like_m, {_LIKE('u')} AS like_u FROM em, pat WHERE step < 100 AND moved >= 1e-6)) GROUP BY step, m, u, p))
+SELECT i AS field, round(m[i + 1], 6) AS m, round(u[i + 1], 6) AS u, round(p, 6) AS p_match FROM (SELECT * FROM em ORDER BY step DESC LIMIT 1), (SELECT unnest([0, 1, 2]) AS i)""")
 def em_estimate(spark, sf):
     em = training.estimate_fellegi_sunter(_read(spark, sf, "match_results").filter("scores is not null"), 3)
-    return spark.createDataFrame([(i, m, u, em.p_match) for i, (m, u) in enumerate(zip(em.m_probabilities, em.u_probabilities))], "field int, m double, u double, p_match double")
+    return spark.createDataFrame([(i, round(m, 6), round(u, 6), round(em.p_match, 6)) for i, (m, u) in enumerate(zip(em.m_probabilities, em.u_probabilities))], "field int, m double, u double, p_match double")
 
 
-@query()
+_DOT = "w[1] * s[1] + w[2] * s[2] + w[3] * s[3] + b"
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT left_id, right_id, scores AS s, (match_class = 'match')::INT AS y FROM dup_pairs WHERE scores IS NOT NULL AND match_class IN ('match', 'non_match')),
+gd AS (
+  SELECT 0 AS step, [0.0::DOUBLE, 0.0, 0.0] AS w, 0.0::DOUBLE AS b, 1.0::DOUBLE AS moved
+  UNION ALL
+  SELECT step + 1, [w[1] - d1, w[2] - d2, w[3] - d3], b - db, greatest(abs(d1), abs(d2), abs(d3), abs(db)) FROM (
+    SELECT step, w, b, {', '.join(f'0.1 * (avg(e * s[{i}]) + 0.01 * w[{i}]) AS d{i}' for i in (1, 2, 3))}, 0.1 * avg(e) AS db FROM (
+      SELECT gd.*, s, 1 / (1 + exp(-({_DOT}))) - y AS e FROM gd, v WHERE step < 1000 AND moved >= 1e-6) GROUP BY step, w, b)),
+fit AS (SELECT w, b FROM gd ORDER BY step DESC LIMIT 1)
+SELECT left_id, right_id, round(1 / (1 + exp(-({_DOT}))), 6) AS score, CASE WHEN 1 / (1 + exp(-({_DOT}))) >= 0.5 THEN 'match' ELSE 'non_match' END AS match_class FROM v, fit""")
 def train_logistic(spark, sf):
     v = _vectors(spark, sf)
-    return training.predict(v.drop("score"), training.train_logistic_regression(v)).select("left_id", "right_id", "score", "match_class")
+    return training.predict(v.drop("score"), training.train_logistic_regression(v)).select("left_id", "right_id", F.round("score", 6).alias("score"), "match_class")
 
 
 @query()
@@ -638,9 +697,19 @@ def fuzzy_join_left(spark, sf):
     return matching.fuzzy_join(_read(spark, sf, "nation").select("n_nationkey", "n_name"), _read(spark, sf, "region").select("r_regionkey", "r_name"), left_on="n_name", right_on="r_name", scorer="levenshtein", threshold=0.25, how="left")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE ppl AS (SELECT id, regexp_replace(last_name, '[^\x00-\x7F]', '?', 'g') AS v FROM people WHERE last_name IS NOT NULL), vals AS (SELECT DISTINCT v FROM ppl), near AS (
+  SELECT a.v AS x, b.v AS y FROM vals a JOIN vals b ON a.v < b.v AND abs(length(a.v) - length(b.v)) <= 0.15 * greatest(length(a.v), length(b.v)) + 1e-9 WHERE {lev_sql('a.v', 'b.v')} >= 0.85),
+links AS (SELECT x AS a, y AS b FROM near), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT v, v FROM vals),
+best(v, home) USING KEY (v) AS (
+  SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+  UNION SELECT e.b, min(r.home) FROM best AS r JOIN both_ways AS e ON e.a = r.v JOIN recurring.best AS old ON old.v = e.b WHERE r.home < old.home GROUP BY e.b),
+mine AS (SELECT id AS record_id, min(id) OVER (PARTITION BY home) AS first, count(*) OVER (PARTITION BY home) AS n FROM ppl JOIN best USING (v))
+SELECT record_id, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS cluster_id FROM mine WHERE n > 1""")
 def deduplicate_values(spark, sf):
-    return matching.deduplicate(_read(spark, sf, "nation"), "n_nationkey", "n_name", "jaro_winkler", 0.97)
+    """All people by last names an edit or two apart. This SQL counts bytes, so letters outside ASCII are one sign on both sides."""
+    p = _read(spark, sf, "people").select("id", F.regexp_replace("last_name", r"[^\x00-\x7F]", "?").alias("v"))
+    return matching.deduplicate(p, "id", "v", "levenshtein", 0.85)
 
 
 @query(r"""
@@ -708,14 +777,50 @@ def search_minhash(spark, sf):
     return search.MinHashIndex.build(d).query_all(queries, 0.5)
 
 
-@query("SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_order FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id, true AS has_order FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT -1, true")
 def search_bloom(spark, sf):
-    """Customers the filter takes for buyers, then confirmed: no buyer is missed."""
+    """Customers the filter takes for buyers, confirmed: no buyer is missed. Row -1 says whether it keeps strangers out, at most three times its rate."""
     o = _read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("k"))
     f = search.BloomFilter(spark, max(1, _read(spark, sf, "customer").count()), 0.01)
     f.insert(o, "k")
     maybe = f.contains(_read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("k")), "k").filter("maybe")
-    return maybe.join(o, "k", "left_semi").select("id", F.col("maybe").alias("has_order"))
+    strangers = _read(spark, sf, "lineitem").select(F.concat(F.lit("x"), F.col("l_orderkey").cast("string")).alias("k")).distinct()
+    kept = f.contains(strangers, "k").agg(F.avg(F.col("maybe").cast("double")).alias("share")).select(F.lit(-1).cast("long").alias("id"), (F.col("share") <= 0.03).alias("has_order"))
+    return maybe.join(o, "k", "left_semi").select(F.col("id").cast("long").alias("id"), F.col("maybe").alias("has_order")).unionByName(kept)
+
+
+_TIED = f"SELECT p_partkey, p_name, {lev_sql('p_name', chr(39) + 'smal rings' + chr(39))} AS score FROM part"
+
+
+@query(f"(SELECT * FROM ({_TIED}) ORDER BY score DESC, p_partkey DESC LIMIT 1)")
+def match_best_last(spark, sf):
+    """Of equally good candidates the last."""
+    return matching.match_best(_read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "smal rings", "levenshtein", ties="last")
+
+
+@query(f"""
+WITH p AS (SELECT n_nationkey, n_name, c_custkey, c_name, {lev_sql("'Customer#0000' || n_nationkey || '0000'", 'c_name')} AS s FROM nation JOIN customer ON c_nationkey = n_nationkey),
+k AS (SELECT * FROM p WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY s DESC, c_name) = 1)
+SELECT n_nationkey, c_custkey AS c_custkey_right, c_name AS c_name_right, round(s, 9) AS _score FROM k""")
+def fuzzy_merge(spark, sf):
+    """The best customer of every nation for a made-up name."""
+    n = _read(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("Customer#0000"), F.col("n_nationkey").cast("string"), F.lit("0000")).alias("name"))
+    c = _read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return matching.fuzzy_merge(n, c, "name", "c_name", "levenshtein", 0.8, [("n_nationkey", "c_nationkey")]).select("n_nationkey", "c_custkey_right", "c_name_right", F.round("_score", 9).alias("_score"))
+
+
+@query(f"SELECT c_custkey AS id, s_suppkey AS other, round({lev_sql('c_name', 's_name')}, 9) AS score FROM customer JOIN supplier ON {lev_sql('c_name', 's_name')} >= 0.6")
+def fuzzy_values(spark, sf):
+    """All customers and suppliers whose names are alike, without a block: q-grams find the candidates."""
+    a, b = _read(spark, sf, "customer").select("c_custkey", "c_name"), _read(spark, sf, "supplier").select("s_suppkey", "s_name")
+    met = matching.near_values(a, b, "c_name", "s_name", (), "levenshtein", 0.6).withColumn("score", sim.levenshtein_similarity(F.col("c_name"), F.col("s_name"))).filter("score >= 0.6")
+    return met.select(F.col("c_custkey").alias("id"), F.col("s_suppkey").alias("other"), F.round("score", 9).alias("score"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS index, p_partkey FROM part")
+def match_indexed(spark, sf):
+    """Rows of an ordered table with their global index."""
+    return streams.indexed(_read(spark, sf, "part").select("p_partkey").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey"))
 
 
 # --- streams, sources and sinks ----------------------------------------------------------------------------------------------------
@@ -746,13 +851,13 @@ def stream_clusters(spark, sf):
     return spark.read.schema("block string, value string, cluster int, is_new boolean, similarity double").parquet(f"{base}/out")
 
 
-@query("SELECT left_id, right_id, CAST(score AS VARCHAR) AS score FROM match_results WHERE scores IS NOT NULL AND left_id IS NOT NULL AND right_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+@query("SELECT left_id, right_id, CAST(score AS VARCHAR) AS score, list_aggregate(list_transform(list_filter(scores, lambda x: x IS NOT NULL), lambda x: CAST(x AS VARCHAR)), 'string_agg', ';') AS scores FROM match_results WHERE scores IS NOT NULL AND left_id IS NOT NULL AND right_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
 def sink_matches_csv(spark, sf):
     """Matches written as CSV and read back."""
     path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
     m = _read(spark, sf, "match_results").filter("scores is not null and left_id is not null and right_id is not null and score is not null and not isnan(score)")
     io.write_matches_csv(m, path)
-    return io.read_csv(spark, path).select("left_id", "right_id", "score")
+    return io.read_csv(spark, path).select("left_id", "right_id", "score", "scores")
 
 
 # --- problem 3 -----------------------------------------------------------------------------------------------------------------------

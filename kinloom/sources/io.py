@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -20,11 +21,11 @@ def to_frame(spark: SparkSession, data: Any, id_col: str = "id") -> DataFrame:
         return data
     if hasattr(data, "to_arrow") and not hasattr(data, "iloc"):
         data = data.to_arrow()
-    if hasattr(data, "column_names") and hasattr(data, "to_pylist"):
-        rows = data.to_pylist()
     elif hasattr(data, "iloc"):
-        rows = data.astype(object).where(data.notna(), None).to_dict("records")
-    elif isinstance(data, Sequence) and not isinstance(data, (str, bytes)) and all(isinstance(r, dict) for r in data):
+        data = _arrow(data)
+    if isinstance(data, pa.Table):
+        return spark.createDataFrame(_plain(data, id_col))
+    if isinstance(data, Sequence) and not isinstance(data, (str, bytes)) and all(isinstance(r, dict) for r in data):
         rows = list(data)
     else:
         raise TypeError(f"cannot read records from {type(data).__name__}")
@@ -38,6 +39,36 @@ def to_frame(spark: SparkSession, data: Any, id_col: str = "id") -> DataFrame:
     return spark.createDataFrame(data_rows, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
+def _arrow(frame: Any) -> pa.Table:
+    """A pandas frame column by column; a column of mixed objects becomes text."""
+    columns = {}
+    for name in frame.columns:
+        try:
+            columns[str(name)] = pa.Array.from_pandas(frame[name])
+        except (pa.ArrowInvalid, pa.ArrowTypeError):
+            columns[str(name)] = pa.array([None if v is None or v != v else str(v) for v in frame[name]], pa.string())
+    return pa.table(columns)
+
+
+def _plain(table: pa.Table, id_col: str) -> pa.Table:
+    """Whole numbers as long, fractions as double, everything else but nested values as text; a missing id is the row number."""
+    columns = {}
+    for name, c in zip(table.column_names, table.columns):
+        t = c.type
+        if pa.types.is_integer(t):
+            c = c.cast(pa.int64())
+        elif pa.types.is_floating(t):
+            c = c.cast(pa.float64())
+        elif pa.types.is_null(t) or pa.types.is_dictionary(t) or pa.types.is_string_view(t) or pa.types.is_large_string(t):
+            c = c.cast(pa.string())
+        elif not (pa.types.is_string(t) or pa.types.is_nested(t)):
+            c = pa.chunked_array([pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string())])
+        columns[name] = c
+    if id_col not in columns:
+        columns = {id_col: pa.array([str(i) for i in range(table.num_rows)], pa.string()), **columns}
+    return pa.table(columns)
+
+
 def _kind(values: list) -> str:
     seen = {type(v) for v in values if v is not None}
     if seen and seen <= {int}:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,9 +21,27 @@ def match_stream(stream: DataFrame, value: str, query: str, scorer="jaro_winkler
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 
 
+def indexed(df: DataFrame, name: str = "index") -> DataFrame:
+    """Adds the number of a row in the order of the table, from 0: rows are numbered inside partitions, and the sizes of the
+    partitions before (one row each) are added. The table must give the same partitions when it is read twice."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__p", T.IntegerType()), T.StructField(name, T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, "__p", name])
+            at += n
+
+    rows = df.mapInArrow(number, schema)
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return rows.join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__b")).drop("__p", "__b")
+
+
 def match_iter(df: DataFrame, value: str, query: str, scorer="jaro_winkler", threshold: float | None = None) -> Iterator:
-    """Rows one partition at a time, in the order of the table."""
-    return match_stream(df, value, query, scorer, threshold).toLocalIterator(prefetchPartitions=True)
+    """Rows one partition at a time, in the order of the table, with their ``index`` in it."""
+    return match_stream(indexed(df), value, query, scorer, threshold).toLocalIterator(prefetchPartitions=True)
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
