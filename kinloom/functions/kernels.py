@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells (pairs x columns) that one block may hold.
 BLOCK_CELLS = 400_000
@@ -54,6 +56,64 @@ def pairwise(kernel: Callable[..., np.ndarray], a: pd.Series, b: pd.Series, dtyp
     return s if dtype is np.float64 else s.astype("Int32" if dtype is np.int32 else dtype)
 
 
+#: Longer texts than this leave the matrix of a batch and form blocks of their own.
+SHORT = 96
+
+
+def encode_arrow(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of code points, 0-padded; lengths) of texts without nulls, from their buffer if they are plain ASCII."""
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pc.sum(pc.utf8_length(texts)).as_py() != int(lengths.sum()):
+        return encode(texts.to_pylist())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    out = np.zeros((len(texts), int(lengths.max(initial=0))), dtype=np.uint8)
+    if out.size:
+        out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return out, lengths
+
+
+def pairwise_arrow(kernel: Callable[..., np.ndarray], a: pa.Array, b: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Apply a kernel to the distinct pairs of two text arrays; null on either side gives null.
+
+    Texts are encoded once per distinct value of a side, without Python strings; pairs are told apart by the numbers of
+    their values.
+    """
+    null = np.asarray(a.is_null()) | np.asarray(b.is_null())
+    values = np.zeros(len(a))
+    at = np.flatnonzero(~null)
+    if len(at):
+        x, y = (c.cast(pa.string()).take(pa.array(at)).dictionary_encode() if null.any() else c.cast(pa.string()).dictionary_encode() for c in (a, b))
+        ix, iy = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y))
+        back = slice(None)
+        if len(x.dictionary) < len(at) and len(y.dictionary) < len(at):
+            codes, back = np.unique(ix * len(y.dictionary) + iy, return_inverse=True)
+            ix, iy = codes // len(y.dictionary), codes % len(y.dictionary)
+        size = np.maximum(np.asarray(pc.utf8_length(x.dictionary))[ix], np.asarray(pc.utf8_length(y.dictionary))[iy])
+        done = np.empty(len(ix))
+        short = size <= SHORT
+        if not short.all():
+            far = np.flatnonzero(~short)
+            done[far] = pairwise(kernel, pd.Series(x.dictionary.take(pa.array(ix[far])).to_pylist(), dtype=object), pd.Series(y.dictionary.take(pa.array(iy[far])).to_pylist(), dtype=object)).to_numpy()
+        near = np.flatnonzero(short)
+        if len(near):
+            # Only values of short pairs are encoded; the others keep an empty row.
+            cut = lambda c: encode_arrow(pc.if_else(pc.less_equal(pc.utf8_length(c), SHORT), c, ""))
+            (MA, la), (MB, lb) = cut(x.dictionary), cut(y.dictionary)
+            near = near[np.argsort(size[near], kind="stable")]
+            start = 0
+            while start < len(near):
+                step = max(1, BLOCK_CELLS // (int(size[near[start]]) + 8))
+                limit = int(size[near[start]]) + 8 + int(size[near[start]]) // 4
+                end = start + max(1, int(np.searchsorted(size[near[start : start + step]], limit, side="right")))
+                block = near[start:end]
+                i, j = ix[block], iy[block]
+                wa, wb = int(la[i].max(initial=0)), int(lb[j].max(initial=0))
+                done[block] = kernel(MA[i, :wa], la[i], MB[j, :wb], lb[j])
+                start = end
+        values[at] = done[back]
+    return pa.array(values, pa.float64(), mask=null).cast(kind)
+
+
 def _final(row: np.ndarray, done: np.ndarray, at: np.ndarray, where: np.ndarray) -> None:
     """Keep the last column of the rows that end here."""
     if where.any():
@@ -212,17 +272,39 @@ def gotoh_similarity(A, la, B, lb):
     return _of_shorter(gotoh(A, la, B, lb), la, lb, 1.0)
 
 
+def _matches_in_words(A, la, B, lb, window, hit_a) -> np.ndarray:
+    """Jaro matches with the places of b as the bits of one machine word; fills ``hit_a`` and returns the same for b."""
+    n, w = B.shape
+    bits = 16 if w <= 16 else 32 if w <= 32 else 64
+    wide = np.zeros((n, bits), dtype=B.dtype)
+    wide[:, :w] = B
+    one = np.uint64(1)
+    whole = np.left_shift(one, lb.astype(np.uint64)) - one
+    free = whole.copy()
+    for i in range(A.shape[1]):
+        same = np.packbits(wide == A[:, i : i + 1], axis=1, bitorder="little").view(f"<u{bits // 8}")[:, 0].astype(np.uint64)
+        above = np.left_shift(one, np.minimum(window + i + 1, 63).astype(np.uint64)) - one
+        below = np.left_shift(one, np.clip(i - window, 0, 63).astype(np.uint64)) - one
+        can = same & free & above & ~below
+        can[i >= la] = 0
+        first = can & (~can + one)
+        free ^= first
+        hit_a[:, i] = first != 0
+    taken = (whole ^ free).astype("<u8").view(np.uint8).reshape(n, 8)
+    return np.unpackbits(taken, axis=1, bitorder="little")[:, :w].astype(bool)
+
+
 def jaro(A, la, B, lb):
     """Greedy leftmost matches within the window; half of the mismatched matched characters are transpositions."""
     n, w = len(A), B.shape[1]
     rows = np.arange(n)
     window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
-    free = np.arange(w) < lb[:, None]
-    place = np.arange(w)
     hit_a = np.zeros(A.shape, dtype=bool)
-    hit_b = np.zeros((n, w), dtype=bool)
-    if w:
-        for i in range(A.shape[1]):
+    if 0 < w < 64:
+        hit_b = _matches_in_words(A, la, B, lb, window, hit_a)
+    else:
+        free, place, hit_b = np.arange(w) < lb[:, None], np.arange(w), np.zeros((n, w), dtype=bool)
+        for i in range(A.shape[1] if w else 0):
             can = free & (A[:, i : i + 1] == B) & (np.abs(place - i) <= window[:, None]) & (i < la)[:, None]
             j = can.argmax(axis=1)
             got = can[rows, j]

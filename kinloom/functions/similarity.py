@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from kinloom.functions import kernels, phonetic, phonetic_rules as rules, registry
@@ -30,15 +31,13 @@ def get_max_string_length() -> int:
 
 def _kernel(kernel, dtype: T.DataType = T.DoubleType(), **fixed) -> Metric:
     """An Arrow UDF around a batch kernel. Declared non-deterministic so that a filter on its result doesn't run it twice."""
-    import numpy as np
+    kind = pa.int32() if isinstance(dtype, T.IntegerType) else pa.float64()
 
-    as_int = isinstance(dtype, T.IntegerType)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return kernels.pairwise_arrow(lambda *x: kernel(*x, **fixed), a, b, kind)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return kernels.pairwise(lambda *x: kernel(*x, **fixed), a, b, np.int32 if as_int else np.float64)
-
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, dtype).asNondeterministic()
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, dtype).asNondeterministic()
 
 
 def _both(a: Column, b: Column, value: Column) -> Column:

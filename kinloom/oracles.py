@@ -309,6 +309,33 @@ def normalisers(c: str) -> dict[str, str]:
     }
 
 
+def scripts(c: str) -> dict[str, str]:
+    """Expressions for scripts whose letters stand alone, and for addresses; names hold no letters of the syllabic scripts."""
+    return {
+        "strip_hebrew_diacritics": rf"regexp_replace({c}, '[\x{{05B0}}-\x{{05BD}}\x{{05BF}}\x{{05C1}}\x{{05C2}}\x{{05C4}}\x{{05C5}}\x{{05C7}}\x{{0591}}-\x{{05AF}}]', '', 'g')",
+        "transliterate_arabic": _by_letter(rf"regexp_replace({c}, '[\x{{0640}}\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g')", text.ARABIC),
+        "transliterate_hebrew": _by_letter(rf"regexp_replace({c}, '[\x{{0591}}-\x{{05C7}}]', '', 'g')", text.HEBREW),
+        "normalize_url": f"CASE WHEN contains({c}, '://') THEN NULL ELSE lower(regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')) END",
+    }
+
+
+# --- sequential clustering -------------------------------------------------------------------------------------------------------
+def incremental(source: str, threshold: float) -> str:
+    """CTEs ending in ``inc`` (g, k, o, v, cluster, is_new, similarity): the k-th value of a group joins the cluster whose first
+    value is most alike (the oldest of equal ones) at ``threshold`` or more, else it opens one."""
+    return f"""
+WITH RECURSIVE it AS (SELECT g, o, v, row_number() OVER (PARTITION BY g ORDER BY o, v) AS r FROM ({source}) WHERE v IS NOT NULL),
+vals AS (SELECT DISTINCT g, v FROM it), jp AS (SELECT DISTINCT a.v AS x, b.v AS y FROM vals a JOIN vals b USING (g)), {JARO},
+near AS (SELECT x AS v, map_from_entries(list((y, CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jw END))) AS sims FROM ja GROUP BY x),
+inc AS (
+  SELECT g, 0::BIGINT AS k, NULL::BIGINT AS o, NULL::VARCHAR AS v, []::VARCHAR[] AS reps, NULL::INT AS cluster, NULL::BOOLEAN AS is_new, NULL::DOUBLE AS similarity FROM it GROUP BY g
+  UNION ALL
+  SELECT g, k, o, v, CASE WHEN top >= {threshold} AND top > 0 THEN reps ELSE list_append(reps, v) END, CAST(CASE WHEN top >= {threshold} AND top > 0 THEN list_position(scores, top) - 1 ELSE len(reps) END AS INT),
+    NOT coalesce(top >= {threshold} AND top > 0, false), CASE WHEN top >= {threshold} AND top > 0 THEN top ELSE 1.0 END
+  FROM (SELECT *, list_max(scores) AS top FROM (
+    SELECT inc.g, inc.k + 1 AS k, it.o, it.v, inc.reps, list_transform(inc.reps, lambda q: near.sims[q]) AS scores FROM inc JOIN it ON it.g = inc.g AND it.r = inc.k + 1 JOIN near ON near.v = it.v)))"""
+
+
 # --- tokenisers ----------------------------------------------------------------------------------------------------------------
 def tokenisers(c: str, cjk: str) -> dict[str, str]:
     """List expressions over a text column ``c``; ``cjk`` is a class body of this dialect."""

@@ -221,11 +221,21 @@ def fn_text_clean(spark, sf):
     return _read(spark, sf, "people").select("id", *[text.OPERATIONS[n](c).alias(n) for n in _NORMAL])
 
 
-@query()
+_SCRIPTS = oracles.scripts("c")
+
+
+@query(f"SELECT id, {', '.join(f'{x} AS {n}' for n, x in _SCRIPTS.items())} FROM ({_FULL_NAME.format('c')})")
 def fn_text_scripts(spark, sf):
-    """The other normalisers on every name: compatibility forms and scripts."""
+    """Normalisers of scripts and addresses on every name."""
+    c = F.concat_ws(" ", "first_name", "last_name")
+    return _read(spark, sf, "people").select("id", *[text.OPERATIONS[n](c).alias(n) for n in _SCRIPTS])
+
+
+@query()
+def fn_text_forms(spark, sf):
+    """The compatibility forms of every name, for which this SQL has no function."""
     c = F.concat_ws(" ", "first_name", "last_name")
-    return _read(spark, sf, "people").select("id", *[f(c).alias(n) for n, f in text.OPERATIONS.items() if n not in _NORMAL])
+    return _read(spark, sf, "people").select("id", *[f(c).alias(n) for n, f in text.OPERATIONS.items() if n not in _NORMAL and n not in _SCRIPTS])
 
 
 _LETTERS = "regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g')"
@@ -317,10 +327,21 @@ def block_lsh(spark, sf):
     return _pairs(met.filter(both >= 0.8 * (F.size("left") + F.size("right") - both)))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE it AS (SELECT s_nationkey AS g, s_suppkey AS id, s_name AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+jp AS (SELECT DISTINCT a.v AS x, b.v AS y FROM it a JOIN it b USING (g)), {oracles.JARO},
+sims AS (SELECT a.g, a.r AS p, b.r AS q, jw FROM it a JOIN it b USING (g) JOIN ja ON x = a.v AND y = b.v),
+go AS (
+  SELECT g, 0::BIGINT AS k, max(n) AS n, []::BIGINT[] AS gone, []::BIGINT[] AS members FROM it GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, n, CASE WHEN skip THEN gone ELSE list_concat(gone, tight) END, CASE WHEN skip THEN [] ELSE loose END FROM (
+    SELECT go.g, go.k, go.n, go.gone, list_contains(go.gone, go.k + 1) AS skip, coalesce(list(q) FILTER (jw >= 0.97 OR q = k + 1), []) AS tight, coalesce(list(q) FILTER (jw >= 0.95 OR q = k + 1), []) AS loose
+    FROM go JOIN sims ON sims.g = go.g AND sims.p = go.k + 1 AND sims.q >= go.k + 1 AND NOT list_contains(go.gone, sims.q) OR (sims.g = go.g AND sims.p = go.k + 1 AND sims.q = go.k + 1) WHERE go.k < go.n GROUP BY ALL)),
+canopy AS (SELECT g, k, unnest(members) AS r FROM go)
+SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM canopy x JOIN canopy y ON x.g = y.g AND x.k = y.k AND x.r < y.r JOIN it a ON a.g = x.g AND a.r = x.r JOIN it b ON b.g = y.g AND b.r = y.r""")
 def block_canopy(spark, sf):
     s = _supplier(spark, sf)
-    return _pairs(blocking.canopy(s, None, "name", 0.98, 0.97, "jaro_winkler", coarse="nation"))
+    return _pairs(blocking.canopy(s, None, "name", 0.97, 0.95, "jaro_winkler", coarse="nation"))
 
 
 @query("""
@@ -410,15 +431,6 @@ def _people(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "people").select("id", "first_name", "last_name", "dob", "city", F.concat_ws("|", "postcode", "dob").alias("home"))
 
 
-@query()
-def linkage_people_em(spark, sf):
-    """All people: blocked by postcode and date of birth, four comparators, m and u estimated on the candidates."""
-    ops = ["fold_case", "strip_punctuation", "normalize_whitespace"]
-    plan = Linkage().preprocess("first_name", ops).preprocess("last_name", ops).block_exact("home")
-    plan.compare_string("first_name").compare_string("last_name").compare_phonetic("last_name").compare_exact("city").classify_fellegi_sunter_auto()
-    return plan.dedup(_people(spark, sf)).select("left_id", "right_id", "score", "match_class")
-
-
 def _clean(x: str) -> str:
     bare = r"regexp_replace(lower(@), '[!-/:-@\[-`{-~]', '', 'g')".replace("(@)", f"({x})", 1)
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE {oracles.joined(oracles.tokens(bare), ' ')} END"
@@ -427,6 +439,42 @@ def _clean(x: str) -> str:
 _HOME = "concat_ws('|', postcode, dob)"
 
 
+_FIELDS = 4
+_EM_LIKE = lambda v: " * ".join(f"(CASE WHEN b[{i}] = 1 THEN {v}[{i}] ELSE 1 - {v}[{i}] END)" for i in range(1, _FIELDS + 1))
+_EM_CLIP = "least(1 - 1e-6, greatest(1e-6, {0}))"
+_EM_MOVED = ", ".join(f"abs(n{v}[{i}] - {v}[{i}])" for v in "mu" for i in range(1, _FIELDS + 1))
+
+
+def _people_em() -> str:
+    new = lambda g: ", ".join(_EM_CLIP.format(f"sum({g} * n * b[{i}]) / sum({g} * n)") for i in range(1, _FIELDS + 1))
+    ratio = " + ".join(f"CASE WHEN b[{i}] = 1 THEN ln(m[{i}] / u[{i}]) ELSE ln((1 - m[{i}]) / (1 - u[{i}])) END" for i in range(1, _FIELDS + 1))
+    return f"""
+WITH RECURSIVE ppl AS (SELECT id, {_HOME} AS home, {_clean('first_name')} AS f, {_clean('last_name')} AS l, city FROM people),
+cap AS (SELECT *, upper(regexp_replace(l, '[^A-Za-z]', '', 'g')) AS w FROM ppl), coded AS (SELECT *, CASE WHEN l IS NULL THEN NULL ELSE {oracles.soundex('w')} END AS x FROM cap),
+prs AS (SELECT a.id AS p, b.id AS q, a.f AS af, b.f AS bf, a.l AS al, b.l AS bl, coalesce(a.x = b.x, false)::INT AS same_code, coalesce(a.city = b.city, false)::INT AS same_city FROM coded a JOIN coded b ON a.home = b.home AND a.id < b.id),
+jp AS (SELECT af AS x, bf AS y FROM prs WHERE af IS NOT NULL AND bf IS NOT NULL UNION SELECT al, bl FROM prs WHERE al IS NOT NULL AND bl IS NOT NULL), {oracles.JARO},
+jw AS (SELECT x, y, CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jw END AS s FROM ja),
+vec AS (SELECT p, q, [(coalesce(f.s, 0.0) >= 0.5)::INT, (coalesce(l.s, 0.0) >= 0.5)::INT, same_code, same_city] AS b FROM prs LEFT JOIN jw f ON f.x = af AND f.y = bf LEFT JOIN jw l ON l.x = al AND l.y = bl),
+pat AS (SELECT b, count(*)::DOUBLE AS n FROM vec GROUP BY b),
+em AS (
+  SELECT 0 AS step, list_transform(range({_FIELDS}), lambda i: 0.9::DOUBLE) AS m, list_transform(range({_FIELDS}), lambda i: 0.1::DOUBLE) AS u, 0.1::DOUBLE AS p, 1.0::DOUBLE AS moved
+  UNION ALL
+  SELECT step + 1, nm, nu, np, greatest({_EM_MOVED}, abs(np - p)) FROM (
+    SELECT step, m, u, p, [{new('g')}] AS nm, [{new('(1 - g)')}] AS nu, sum(g * n) / sum(n) AS np FROM (
+      SELECT *, p * like_m / (p * like_m + (1 - p) * like_u) AS g FROM (SELECT em.*, pat.*, {_EM_LIKE('m')} AS like_m, {_EM_LIKE('u')} AS like_u FROM em, pat WHERE step < 100 AND moved >= 1e-6)) GROUP BY step, m, u, p)),
+fit AS (SELECT m, u FROM em ORDER BY step DESC LIMIT 1), scored AS (SELECT vec.p, vec.q, {ratio} AS t FROM vec, fit)
+SELECT p AS left_id, q AS right_id, round(t, 4) AS score, CASE WHEN t >= 4 THEN 'match' ELSE 'possible' END AS match_class FROM scored WHERE t > -4"""
+
+
+@query(_people_em())
+def linkage_people_em(spark, sf):
+    """All people: blocked by postcode and date of birth, four comparators, m and u estimated on the candidates."""
+    ops = ["fold_case", "strip_punctuation", "normalize_whitespace"]
+    plan = Linkage().preprocess("first_name", ops).preprocess("last_name", ops).block_exact("home")
+    plan.compare_string("first_name").compare_string("last_name").compare_phonetic("last_name").compare_exact("city").classify_fellegi_sunter_auto()
+    return plan.dedup(_people(spark, sf)).select("left_id", "right_id", F.round("score", 4).alias("score"), "match_class")
+
+
 @query(f"""
 WITH RECURSIVE ppl AS (SELECT id, {_HOME} AS home, {_clean('first_name')} AS f, {_clean('last_name')} AS l FROM people),
 prs AS (SELECT a.id AS p, b.id AS q, a.f AS af, b.f AS bf, a.l AS al, b.l AS bl FROM ppl a JOIN ppl b ON a.home = b.home AND a.id < b.id),
@@ -556,9 +604,34 @@ def cluster_optics(spark, sf):
     return clustering.optics(_supplier(spark, sf), _sparse(spark, sf), 2, 0.6)
 
 
-@query()
+@query(oracles.incremental("SELECT s_nationkey AS g, s_suppkey AS o, s_name AS v FROM supplier", 0.97) + " SELECT g AS block, o AS id, cluster, is_new, round(similarity, 9) AS similarity FROM inc WHERE k > 0")
 def cluster_incremental(spark, sf):
-    return clustering.incremental(_supplier(spark, sf), "name", "id", "nation", threshold=0.97)
+    return clustering.incremental(_supplier(spark, sf), "name", "id", "nation", threshold=0.97).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""
+SELECT * FROM (VALUES ('optics', '0', 0), ('optics', '1', 0), ('optics', '2', 0), ('optics', '3', 1), ('optics', '4', 1), ('optics', '5', 1), ('optics', '6', -1),
+  ('average', 'a', 0), ('average', 'b', 0), ('average', 'c', 0), ('average', 'd', 0), ('complete', 'a', 0), ('complete', 'b', 0), ('complete', 'c', 1), ('complete', 'd', 1),
+  ('single', 'a', 0), ('single', 'b', 0), ('single', 'c', 0), ('single', 'd', 0)) t(algorithm, record_id, label)""")
+def cluster_known_results(spark, sf):
+    """Sequential clusterers on graphs whose result is worked out by hand."""
+    two = spark.createDataFrame([("0", "1", 0.95), ("1", "2", 0.95), ("0", "2", 0.9), ("3", "4", 0.95), ("4", "5", 0.95), ("3", "5", 0.9)], "left_id string, right_id string, score double")
+    nodes = spark.createDataFrame([(str(i),) for i in range(7)], "id string")
+    chain = spark.createDataFrame([("a", "b", 0.9), ("c", "d", 0.9), ("a", "c", 0.7), ("b", "c", 0.55)], "left_id string, right_id string, score double")
+    out = clustering.optics(nodes, two, 2, 0.8).select(F.lit("optics").alias("algorithm"), "record_id", "label")
+    for how in ("average", "complete", "single"):
+        out = out.unionByName(clustering.hierarchical(chain, how, 0.4).select(F.lit(how).alias("algorithm"), "record_id", F.col("cluster_id").cast("int").alias("label")))
+    return out
+
+
+@query("SELECT * FROM (VALUES (0.9, 'match'), (0.85, 'match'), (0.8, 'match'), (0.1, 'non_match'), (0.2, 'non_match'), (0.15, 'non_match'), (0.5, 'non_match'), (0.51, 'match')) t(x, match_class)")
+def train_tree_known_result(spark, sf):
+    """A tree that must cut its first feature midway between 0.2 and 0.8."""
+    rows = [(0.9, 0.95, True), (0.85, 0.9, True), (0.8, 0.85, True), (0.1, 0.15, False), (0.2, 0.1, False), (0.15, 0.2, False)]
+    df = spark.createDataFrame([([a, b], y) for a, b, y in rows], "scores array<double>, label boolean")
+    tree = training.train_decision_tree(df, min_samples_leaf=1, min_samples_split=2)
+    seen = df.select("scores").unionByName(spark.createDataFrame([([0.5, 0.5],), ([0.51, 0.5],)], "scores array<double>"))
+    return training.predict(seen, tree).select(F.col("scores")[0].alias("x"), "match_class")
 
 
 _LABELS = "SELECT s_suppkey AS n, s_nationkey AS l FROM supplier"
@@ -842,13 +915,13 @@ def stream_dedup(spark, sf):
     return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
 
 
-@query()
+@query(oracles.incremental("SELECT user_id AS g, event_id AS o, event_type AS v FROM events WHERE user_id IS NOT NULL", 0.8) + " SELECT CAST(g AS VARCHAR) AS block, v AS value, cluster, is_new, round(similarity, 9) AS similarity FROM inc WHERE k > 0")
 def stream_clusters(spark, sf):
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = streams.read_files(spark, f"{sf}/events.parquet", _read(spark, sf, "events").schema)
     found = streams.incremental_clusters(source.select(F.col("user_id").cast("string").alias("user"), "event_id", "event_type"), "user", "event_id", "event_type", threshold=0.8)
     streams.run_to_table(found, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema("block string, value string, cluster int, is_new boolean, similarity double").parquet(f"{base}/out")
+    return spark.read.schema("block string, value string, cluster int, is_new boolean, similarity double").parquet(f"{base}/out").withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT left_id, right_id, CAST(score AS VARCHAR) AS score, list_aggregate(list_transform(list_filter(scores, lambda x: x IS NOT NULL), lambda x: CAST(x AS VARCHAR)), 'string_agg', ';') AS scores FROM match_results WHERE scores IS NOT NULL AND left_id IS NOT NULL AND right_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
