@@ -17,7 +17,7 @@ from kinloom.functions.tokenizers import let, ngram_tokenize
 from kinloom.session import materialise
 
 #: A record of a block with more members than this meets them in slices, so that no reducer holds a whole hot block.
-SLICE = 2_000
+SLICE = 500
 
 
 def _side(df: DataFrame, id_col: str, keys: Column, name: str, *more: Column) -> DataFrame:
@@ -31,28 +31,31 @@ def _sliced(a: DataFrame, b: DataFrame) -> DataFrame:
     # Only keys with more than SLICE rows are listed: at most rows / SLICE of them; the shuffle join lets AQE broadcast them if small.
     a = a.join(sizes, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0))))).drop("slices")
     b = b.join(sizes, "key", "left").withColumn("slice", F.pmod(F.xxhash64("right_id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    return a.join(b, ["key", "slice"])
+    # A given number of partitions: by the size of their few input rows they would be merged, though their output is large.
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(n, "key", "slice").join(b.repartition(n, "key", "slice"), ["key", "slice"])
 
 
-def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[DataFrame], Column], exploded: bool = False) -> DataFrame:
-    """Pairs with an equal key; see _sliced for hot keys."""
+def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[DataFrame], Column], exploded: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs with an equal key; see _sliced for hot keys. Columns in ``carry`` come along as left__ and right__ columns, which
+    saves looking them up by id afterwards."""
     def keyed(df: DataFrame, name: str) -> DataFrame:
         k = F.explode(F.array_distinct(key(df))) if exploded else key(df)
-        return _side(df, id_col, k, name)
+        return _side(df, id_col, k, f"{name}_id", *[F.col(f"`{c}`").alias(f"{name}__{c}") for c in carry])
 
-    pairs = _sliced(keyed(left, "left_id"), keyed(left if right is None else right, "right_id"))
+    pairs = _sliced(keyed(left, "left"), keyed(left if right is None else right, "right"))
     if right is None:
         pairs = pairs.filter("left_id < right_id")
-    pairs = pairs.select("left_id", "right_id")
+    pairs = pairs.select("left_id", "right_id", *[f"`{side}__{c}`" for side in ("left", "right") for c in carry])
     return pairs.distinct() if exploded else pairs
 
 
-def exact(left: DataFrame, right: DataFrame | None, field: str, id_col: str = "id") -> DataFrame:
-    return _meet(left, right, id_col, lambda d: d[field])
+def exact(left: DataFrame, right: DataFrame | None, field: str, id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
+    return _meet(left, right, id_col, lambda d: d[field], carry=carry)
 
 
-def phonetic_code(left: DataFrame, right: DataFrame | None, field: str, algorithm: str = "soundex", id_col: str = "id") -> DataFrame:
-    return _meet(left, right, id_col, lambda d: phonetic.encode(d[field], algorithm))
+def phonetic_code(left: DataFrame, right: DataFrame | None, field: str, algorithm: str = "soundex", id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
+    return _meet(left, right, id_col, lambda d: phonetic.encode(d[field], algorithm), carry=carry)
 
 
 def numeric(left: DataFrame, right: DataFrame | None, field: str, bucket_size: float = 5.0, id_col: str = "id") -> DataFrame:
@@ -65,12 +68,12 @@ def numeric(left: DataFrame, right: DataFrame | None, field: str, bucket_size: f
     return (pairs.filter("left_id < right_id") if right is None else pairs).select("left_id", "right_id")
 
 
-def date(left: DataFrame, right: DataFrame | None, field: str, resolution: str = "year", id_col: str = "id") -> DataFrame:
+def date(left: DataFrame, right: DataFrame | None, field: str, resolution: str = "year", id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
     """Equal first one, two or three parts of a date text."""
     parts = {"year": 1, "month": 2, "day": 3}
     if resolution not in parts:
         raise ValueError(f"unknown date resolution {resolution!r}: year, month or day")
-    return _meet(left, right, id_col, lambda d: F.substring_index(d[field].cast("string"), "-", parts[resolution]))
+    return _meet(left, right, id_col, lambda d: F.substring_index(d[field].cast("string"), "-", parts[resolution]), carry=carry)
 
 
 def qgram(left: DataFrame, right: DataFrame | None, field: str, q: int = 3, threshold: int = 1, id_col: str = "id") -> DataFrame:

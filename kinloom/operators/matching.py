@@ -64,6 +64,15 @@ def column_match_best(c: Column, candidates: Sequence[str], scorer: Scorer = "ja
     return F.when(best.isNotNull() & (F.lit(threshold is None) | (best["score"] >= (threshold or 0.0))), found)
 
 
+#: Rows up to which a side may be sent to every task.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> bool:
+    """Whether a table has at most BROADCAST_ROWS rows; counting stops there."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def near_values(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], scorer: Scorer, threshold: float) -> DataFrame:
     """All pairs of rows that are equal in ``keys`` and whose values ``a`` and ``b`` can reach ``threshold``.
 
@@ -73,7 +82,9 @@ def near_values(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequenc
     no such bound: there all values that are equal in ``keys`` meet.
     """
     if scorer != "levenshtein" or not 0.5 < threshold <= 1:
-        return left.join(right, list(keys)) if keys else left.join(right, F.lit(True))
+        # Spread by value: merged by the size of their few input rows, tasks would hold too much of the output.
+        spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), a)
+        return spread.join(F.broadcast(right) if bounded(right) else right, list(keys)) if keys else spread.join(right, F.lit(True))
     slack = (1 - threshold) / threshold
 
     def keyed(df: DataFrame, c: str, counts: DataFrame) -> DataFrame:

@@ -268,14 +268,20 @@ class Linkage:
         Cheap and telling comparators run in a first projection. If the classifier is a threshold on the mean or on a sum
         with non-negative weights, pairs that cannot reach it any more are dropped before the costly comparators run.
         """
-        pairs = self.candidates(left, right)
         used = list(dict.fromkeys(c["field"] for c in self.comparators))
         codes = [f"__code{i}" for i, c in enumerate(self.comparators) if c["kind"] == "phonetic"]
 
         def side(df: DataFrame, name: str) -> DataFrame:
             return self._coded(df).select(F.col(self.id_col).alias(f"{name}_id"), *[F.col(f"`{c}`").alias(f"{name}__{c}") for c in [*used, *codes]])
 
-        rows = pairs.join(side(left, "left"), "left_id").join(side(left if right is None else right, "right"), "right_id")
+        only = self.blockers[0] if len(self.blockers) == 1 and "candidates" not in self.__dict__ else {}
+        if only.get("kind") in ("exact", "phonetic", "date"):
+            # The join of the one blocker brings the fields along: pairs need not look their records up again.
+            options = {k: v for k, v in only.items() if k not in ("kind", "field")}
+            rows = blocking.BLOCKERS[only["kind"]](self._coded(left), None if right is None else self._coded(right), only["field"], id_col=self.id_col, carry=[*used, *codes], **options)
+        else:
+            pairs = self.candidates(left, right)
+            rows = pairs.join(side(left, "left"), "left_id").join(side(left if right is None else right, "right"), "right_id")
         n = len(self.comparators)
         order = sorted(range(n), key=lambda i: comparing.COSTS[self.comparators[i]["kind"]][0] / comparing.COSTS[self.comparators[i]["kind"]][1])
         costly = [i for i in order if self.comparators[i]["kind"] == "custom" or (self.comparators[i]["kind"] == "string" and self.comparators[i]["metric"] in similarity.IN_PYTHON | set(registry.registered("metric")))]
