@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinloom.operators.skew import range_parts
+
 
 def weighted_values(df: DataFrame, key: str, value: str | Column) -> DataFrame:
     """(key, value, weight): how often each non-null value occurs under each non-null key."""
@@ -15,36 +17,31 @@ def weighted_values(df: DataFrame, key: str, value: str | Column) -> DataFrame:
     return df.select(F.col(key).alias("key"), value.alias("value")).filter("key is not null and value is not null").groupBy("key", "value").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def value_profile(df: DataFrame, key: str, value: str | Column, percentiles: tuple[float, ...] = (0.5,), slices: int = 64) -> DataFrame:
+def value_profile(df: DataFrame, key: str, value: str | Column, percentiles: tuple[float, ...] = (0.5,)) -> DataFrame:
     """Exact row count, distinct count, mode and discrete percentiles of ``value`` for every ``key``.
 
     Output: key, n, n_distinct, mode, mode_n, p<percent> for each percentile (the smallest value whose cumulative weight
     reaches that share of n). Ties of the mode go to the smallest value. Null keys and null values do not count; a key
     with only null values has no row; an empty table gives an empty result.
 
-    The weighted values of one key are spread over ``slices`` value ranges (by the rank of their leading bytes through a
-    hash-free sub-total per slice), so that even a key with very many distinct values is cumulated in parallel.
+    The weighted values lie in range partitions of (key, value), so a key with very many distinct values, whatever they
+    begin with, is cumulated in parallel: a part starts from the totals of the key's parts before it, one row each.
     """
-    cells = weighted_values(df, key, value)
-    # A slice is an order-preserving prefix of the value; slice totals are tiny and give each slice its starting offset.
-    sliced = cells.withColumn("slice", _order_slice(F.col("value"), dict(cells.dtypes)["value"], slices))
-    slice_sums = sliced.groupBy("key", "slice").agg(
-        F.sum("weight").alias("slice_n"),
-        F.count(F.lit(1)).alias("slice_distinct"),
-        F.max(F.struct(F.col("weight"))).alias("slice_top"),
-    )
-    by_slice = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("key")
-    offsets = slice_sums.select(
+    cells, _ = range_parts(weighted_values(df, key, value), "key", "value")
+    # A range partition holds a run of values of a key: its totals are the offsets of the parts behind it.
+    sums = cells.groupBy("key", "__p").agg(F.sum("weight").alias("part_n"), F.count(F.lit(1)).alias("part_distinct"), F.max("weight").alias("part_top"))
+    before = Window.partitionBy("key").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("key")  # at most one row per partition
+    offsets = sums.select(
         "key",
-        "slice",
-        F.coalesce(F.sum("slice_n").over(by_slice), F.lit(0)).alias("offset"),
-        F.sum("slice_n").over(whole).alias("n"),
-        F.sum("slice_distinct").over(whole).alias("n_distinct"),
-        F.max("slice_top.weight").over(whole).alias("mode_n"),
+        "__p",
+        F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("offset"),
+        F.sum("part_n").over(whole).alias("n"),
+        F.sum("part_distinct").over(whole).alias("n_distinct"),
+        F.max("part_top").over(whole).alias("mode_n"),
     )
-    in_slice = Window.partitionBy("key", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sliced.join(offsets, ["key", "slice"]).withColumn("upto", F.col("offset") + F.sum("weight").over(in_slice))
+    inside = Window.partitionBy("__p", "key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.join(offsets, ["key", "__p"]).withColumn("upto", F.col("offset") + F.sum("weight").over(inside))
     picks = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col("value"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
     return placed.groupBy("key").agg(
         F.first("n").alias("n"),
@@ -55,18 +52,6 @@ def value_profile(df: DataFrame, key: str, value: str | Column, percentiles: tup
     )
 
 
-def _order_slice(value: Column, dtype: str, slices: int) -> Column:
-    """An order-preserving coarse key of a value: equal order as the value itself, with far fewer distinct results."""
-    if dtype == "string":
-        return F.substring(value, 1, 2)
-    if dtype.startswith("timestamp"):
-        return F.date_trunc("hour", value)
-    if dtype in ("tinyint", "smallint", "int", "bigint", "double", "float") or dtype.startswith("decimal"):
-        # sign(v) * log2(1 + |v|) is monotone; slices per doubling keeps it fine enough for any range.
-        return F.floor(F.signum(value) * F.log2(F.abs(value.cast("double")) + 1) * F.lit(max(1, slices // 16)))
-    return F.lit(0)
-
-
 def direct_predecessors(df: DataFrame, key: str, time: str, row_id: str, value: str, within_seconds: int = 3600) -> DataFrame:
     """Row ids whose direct predecessor under the same key, in the order (time, id), has the same value and is near in time.
 
