@@ -55,7 +55,9 @@ daitch_mokotoff_codes = _coded(rules.daitch_mokotoff_codes, T.ArrayType(T.String
 
 @F.pandas_udf(T.StructType([T.StructField("primary", T.StringType()), T.StructField("alternate", T.StringType())]))
 def double_metaphone(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(None, None) if v is None else rules.double_metaphone(v) for v in s], columns=["primary", "alternate"])
+    codes, values = s.factorize()  # null is -1
+    done = [*map(rules.double_metaphone, values), (None, None)]
+    return pd.DataFrame([done[i] for i in codes], columns=["primary", "alternate"])
 
 
 def beider_morse(c: Column, ashkenazi: bool = False) -> Column:
@@ -64,7 +66,10 @@ def beider_morse(c: Column, ashkenazi: bool = False) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def mra_compare(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else rules.mra_compare(x, y) for x, y in zip(a, b)], dtype=object)
+    seen: dict = {}
+    for pair in set(zip(a, b)):
+        seen[pair] = None if pair[0] is None or pair[1] is None else rules.mra_compare(*pair)
+    return pd.Series([seen[pair] for pair in zip(a, b)], dtype=object)
 
 
 def daitch_mokotoff_match(a: Column, b: Column) -> Column:

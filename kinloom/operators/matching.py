@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -73,35 +73,44 @@ def bounded(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def near_values(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], scorer: Scorer, threshold: float) -> DataFrame:
-    """All pairs of rows that are equal in ``keys`` and whose values ``a`` and ``b`` can reach ``threshold``.
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], edits: Callable[[Column], Column], touched: int = 2) -> DataFrame:
+    """All pairs of rows that are equal in ``keys`` and whose values ``a`` and ``b`` may be within ``edits(value)`` edits of each
+    other, for both values; a superset of the pairs that are.
 
-    For Levenshtein similarity t, a value of n letters is within d = n (1 - t) / t edits of any partner, and an edit
-    touches two bigrams at most. Of the rarest 2 d + 1 bigrams of two such values at least one is common, if they have so
-    many; values too short for that meet each other. So pairs meet over an equi-join and none is lost. Other metrics have
-    no such bound: there all values that are equal in ``keys`` meet.
+    An edit touches at most ``touched`` bigrams (two; three if neighbours may change places). Of the rarest touched x edits + 1
+    bigrams of two such values at least one is common, if they have so many; values too short for that meet each
+    other. So pairs meet over an equi-join and none is lost.
     """
-    if scorer != "levenshtein" or not 0.5 < threshold <= 1:
-        # Spread by value: merged by the size of their few input rows, tasks would hold too much of the output.
-        spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), a)
-        return spread.join(F.broadcast(right) if bounded(right) else right, list(keys)) if keys else spread.join(right, F.lit(True))
-    slack = (1 - threshold) / threshold
 
     def keyed(df: DataFrame, c: str, counts: DataFrame) -> DataFrame:
         rows = df.select(*df.columns, F.posexplode(ngram_tokenize(F.col(c), 2)).alias("__at", "__g"))
         ranked = rows.join(counts, "__g").withColumn("__r", F.row_number().over(Window.partitionBy(c, *keys).orderBy("__n", "__g", "__at")))
-        need = 2 * F.floor(F.length(c) * slack + 1e-9) + 1
+        need = touched * edits(F.col(c)) + 1
         prefix = ranked.filter(F.col("__r") <= need).select(*df.columns, F.xxhash64("__g").alias("__m"))
         short = df.filter(F.length(c) - 1 < need).select(*df.columns, F.lit(0).cast("long").alias("__m"))
         return prefix.unionByName(short).distinct()
 
     grams = lambda df, c: df.select(F.explode(ngram_tokenize(F.col(c), 2)).alias("__g"))
     counts = grams(left, a).unionByName(grams(right, b)).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    n, m = F.length(a), F.length(b)
-    met = keyed(left, a, counts).join(keyed(right, b, counts), ["__m", *keys]).filter(F.abs(n - m) <= (1 - threshold) * F.greatest(n, m) + 1e-9)
+    met = keyed(left, a, counts).join(keyed(right, b, counts), ["__m", *keys]).filter(F.abs(F.length(a) - F.length(b)) <= F.least(edits(F.col(a)), edits(F.col(b))))
     return met.drop("__m").distinct()
 
 
+def near_values(left: DataFrame, right: DataFrame, a: str, b: str, keys: Sequence[str], scorer: Scorer, threshold: float) -> DataFrame:
+    """All pairs of rows that are equal in ``keys`` and whose values ``a`` and ``b`` can reach ``threshold``.
+
+    For Levenshtein similarity t, a value of n letters is within n (1 - t) / t edits of any partner: see within_edits. Other
+    metrics have no such bound: there all values that are equal in ``keys`` meet.
+    """
+    if scorer != "levenshtein" or not 0.5 < threshold <= 1:
+        # Spread by value: merged by the size of their few input rows, tasks would hold too much of the output.
+        spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), a)
+        return spread.join(F.broadcast(right) if bounded(right) else right, list(keys)) if keys else spread.join(right, F.lit(True))
+    slack = (1 - threshold) / threshold
+    met = within_edits(left, right, a, b, keys, lambda c: F.floor(F.length(c) * slack + 1e-9))
+    return met.filter(F.abs(F.length(a) - F.length(b)) <= (1 - threshold) * F.greatest(F.length(a), F.length(b)) + 1e-9)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, scorer: Scorer = "jaro_winkler", threshold: float = 0.85, how: str = "inner", limit: int = 1, block: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Left columns, right columns with suffix _right, and _score: for each left row its ``limit`` best right rows at ``threshold`` or more.
 

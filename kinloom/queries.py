@@ -806,6 +806,13 @@ def search_within(spark, sf):
     return search.NearestIndex.build(_values(spark, sf)).find_within("smal ring", 3)
 
 
+@query("SELECT DISTINCT q.p_name AS query, v.c_custkey AS id, v.c_name AS value, levenshtein(v.c_name, q.p_name) AS distance FROM (SELECT DISTINCT c_name AS p_name FROM customer WHERE c_custkey % 20 = 0) q JOIN customer v ON levenshtein(v.c_name, q.p_name) <= 1")
+def search_within_all(spark, sf):
+    """Every customer whose key is divisible by 20 as a query against all customers."""
+    c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
+    return search.NearestIndex.build(c).find_within_all(c.filter("id % 20 = 0").select(F.col("value").alias("query")), 1)
+
+
 @query("SELECT p_partkey AS id, p_name AS value, levenshtein(p_name, 'red blt') AS distance FROM part ORDER BY distance, id LIMIT 12")
 def search_nearest(spark, sf):
     return search.NearestIndex.build(_values(spark, sf)).find_nearest("red blt", 12)
