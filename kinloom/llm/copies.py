@@ -58,7 +58,7 @@ def format_groups(df: DataFrame, row_id: str, first: str, second: str, exact: Se
 
     ``rep`` is the row with the smallest id of its group (id, first, second and the exact columns).
     """
-    keyed = _keyed(df, row_id, first, second, exact, first, second, *exact)
+    keyed = materialise(_keyed(df, row_id, first, second, exact, first, second, *exact), "format-keys")  # canonical texts once
     rep = F.min(F.struct("id", first, second, *exact))
     groups = keyed.groupBy(*KEY).agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"))
     return keyed.select("id", *KEY), materialise(groups, "format-groups")

@@ -271,6 +271,41 @@ def test_variants(spark):
     assert variants.variant_pairs(people_of(spark, rows).limit(0)).count() == 0
 
 
+def test_short_forms_are_learned_from_what_repeats(spark):
+    """Twins contradict each other in any two names; a short form meets the same one again and again."""
+    rows = [(i, 1000 + i, False, False, 1.0, "minnie", "wilhelmina") for i in range(6)] + [(50 + i, 2000 + i, False, False, 1.0, *sorted(p)) for i, p in enumerate([("wilhelmina", "odile"), ("odile", "ximena"), ("tariq", "ximena"), ("minnie", "tariq")])]
+    rows += [(90 + i, 3000 + i, True, False, 1.0, "nell", "eleanor") for i in range(9)] + [(99, 4000, False, False, 1.0, None, None)]
+    judged = spark.createDataFrame(rows, variants._LINK)
+    assert [tuple(r) for r in variants.short_forms(judged).collect()] == [("minnie", "wilhelmina")]
+    assert variants.short_forms(judged.limit(0)).count() == 0
+
+
+def test_slips_of_dates():
+    assert all(variants.slip_of_date(*x) for x in (("2005-08-26", "2005-08-27"), ("1947-08-30", "1947-08-31"), ("1999-12-31", "2000-01-01"), ("1967-12-04", "1967-04-12"), ("1981-10-20", "1982-10-20")))
+    assert not any(variants.slip_of_date(*x) for x in (("1990-01-01", "1990-01-03"), ("1981-10-20", "1992-10-20"), ("1990-01-01", "x"), ("1990-13-01", "1990-01-13")))
+
+
+def test_hot_scopes_are_cut_without_loss(spark, monkeypatch):
+    people = spark.read.parquet(f"{SF}/people.parquet") if Path(SF).exists() else people_of(spark, [(f"r{i}", "Robert" + "x" * (i % 3), "Joriwick", "1950-01-01", "Tarn Lake", "1") for i in range(60)])
+    one = people.withColumn("postcode", F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, F.lit("1")).otherwise(F.col("postcode")))
+    whole = {tuple(r) for r in variants.variant_pairs(one).collect()}
+    monkeypatch.setattr(variants, "SCOPE_SLICE", 7)
+    assert {tuple(r) for r in variants.variant_pairs(one).collect()} == whole and whole
+
+
+def test_moved_people_and_slips_are_found_if_names_are_rare(spark):
+    from hashlib import md5
+
+    word = lambda i, n: "".join(chr(97 + b % 26) for b in md5(f"{n}{i}".encode()).digest()[:8])
+    filler = [(f"x{i}", word(i, "given"), word(i, "last"), f"19{10 + i % 80}-{1 + i % 12:02d}-{1 + i % 28:02d}", "Quillby", str(100 + i)) for i in range(2000)]
+    rows = [
+        ("r1", "Archibald", "Dramiholt", "1936-09-11", "Avonreach", "1"), ("r2", "Archibald H", "Dramiholt", "1936-09-11", "Avonreach", "2"), ("r3", "Archibalt", "Dramiholt", "1936-11-09", "Avonreach", "1"),
+        ("r4", "Archibalt", "Dramiholt", "1936-09-11", "Westering", "3"), ("r5", None, "Velro Civil Engineering GmbH", None, "Nyhollow", "9"), ("r6", None, "VCE GmbH", None, "Nyhollow", "9"),
+    ]
+    got = {tuple(r) for r in variants.variant_pairs(people_of(spark, rows + filler)).collect()}
+    assert got == {("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("r5", "r6")}
+
+
 def test_linkage(spark):
     left = [("a1", {"name": "Yara Galodal", "dob": "1973-08-21", "city": "Port Ellerine", "email": None, "phone": "+00 00 3522712"}), ("a2", {"name": "Smith, Ann", "dob": "1980-02-03", "city": "Tarn Lake"}), ("a3", None), ("a4", {})]
     right = [("b1", {"given": "Yara", "surname": "GALODAL", "born": "21.08.1973", "town": "PT ELLERINE", "tel": "00/3522712"}), ("b2", {"given": "Ann", "surname": "Smith", "born": "02/03/80", "town": "Tarn Lake"}), ("b3", {"given": "Bob", "surname": "Smith", "born": "1955", "town": "Tarn Lake"}), ("b4", {"surname": "nan"})]
