@@ -646,7 +646,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {_DIST}, m AS (SELECT n, pl, ql, avg(d) AS d FROM allp GROUP BY ALL), own AS (SELECT n, d AS a FROM m WHERE pl = ql), oth AS (SELECT n, min(d) AS b FROM m WHERE pl <> ql GROUP BY n)
-SELECT round(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 9) AS silhouette FROM own JOIN oth USING (n)""")
+SELECT round(coalesce(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 0.0), 9) AS silhouette FROM own JOIN oth USING (n)""")
 def quality_silhouette(spark, sf):
     return clustering.silhouette_score(_sparse(spark, sf), _labels(spark, sf)).select(F.round("silhouette", 9).alias("silhouette"))
 
