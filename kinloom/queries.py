@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom import goldens, oracles
-from kinloom.functions import phonetic, similarity as sim, text, tokenizers as tok
+from kinloom.functions import phonetic, registry, similarity as sim, text, tokenizers as tok
 from kinloom.operators import blocking, clustering, evaluation, keyed, matching, search, training
 from kinloom.plans.linkage import Linkage
 from kinloom.session import scratch_dir
@@ -940,6 +940,123 @@ def sink_matches_csv(spark, sf):
     return io.read_csv(spark, path).select("left_id", "right_id", "score", "scores")
 
 
+# --- Python tables, files, saved plans and indexes -----------------------------------------------------------------------------------
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 200, n_name, n_regionkey FROM nation")
+def source_python_tables(spark, sf):
+    """A pandas frame, an Arrow table and a list of dicts, each made a table again."""
+    n = _read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    made = [io.to_frame(spark, x, "n_nationkey") for x in (n.toPandas(), n.toArrow(), [r.asDict() for r in n.collect()])]  # small by nature: they are in the driver's memory
+    return made[0].unionByName(made[1].withColumn("n_nationkey", F.col("n_nationkey") + 100)).unionByName(made[2].withColumn("n_nationkey", F.col("n_nationkey") + 200))
+
+
+@query("SELECT trim(n_name) AS value FROM nation")
+def source_lines(spark, sf):
+    """Lines of a text file, without blanks around them and without blank lines."""
+    path = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    _read(spark, sf, "nation").select(F.explode(F.array(F.concat(F.lit("  "), "n_name"), F.lit("  ")))).write.text(path)
+    return io.read_lines(spark, path)
+
+
+@query("SELECT left_id, right_id, score, match_class, scores FROM match_results WHERE score IS NOT NULL AND NOT isnan(score) AND left_id IS NOT NULL AND right_id IS NOT NULL")
+def sink_matches_json(spark, sf):
+    path = f"{scratch_dir(spark)}/json-{uuid.uuid4().hex}"
+    m = _read(spark, sf, "match_results").filter("score is not null and not isnan(score) and left_id is not null and right_id is not null").select("left_id", "right_id", "score", "match_class", "scores")
+    io.write_matches_json(m, path)
+    return spark.read.schema(m.schema).json(path)
+
+
+@query(_CC + "SELECT how, record_id, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS cluster_id FROM best, (SELECT unnest(['csv', 'json']) AS how)")
+def sink_clusters(spark, sf):
+    base = f"{scratch_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    found = clustering.connected_components(_read(spark, sf, "dup_pairs").filter("match_class = 'match'"))
+    io.write_clusters_csv(found, f"{base}/csv")
+    io.write_clusters_json(found, f"{base}/json")
+    read = {"csv": io.read_csv(spark, f"{base}/csv"), "json": spark.read.schema("cluster_id long, record_id string").json(f"{base}/json")}
+    parts = [read[how].select(F.lit(how).alias("how"), "record_id", F.col("cluster_id").cast("long").alias("cluster_id")) for how in read]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT p_partkey AS id, p_name AS value, levenshtein(p_name, 'smal ring') AS distance FROM part WHERE levenshtein(p_name, 'smal ring') <= 3 AND p_partkey <> 7")
+def search_saved_index(spark, sf):
+    """An index written, read back, extended by rows that are then removed, and searched."""
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.NearestIndex.build(_values(spark, sf)).save(path)
+    index = search.NearestIndex.load(spark, path)
+    index.insert(spark.createDataFrame([(-5, "smal ring")], "id long, value string"))
+    index.remove(-5)
+    index.remove(7)
+    return index.find_within("smal ring", 3)
+
+
+@query(SQL["linkage_dedup_part"])
+def linkage_from_json(spark, sf):
+    """A plan written as JSON and read back."""
+    plan = Linkage().preprocess("name", ["fold_case"]).block_exact("brand").compare_string("name", "levenshtein").classify_threshold(0.7)
+    return _flat(Linkage.from_json(plan.to_json()).dedup(_part(spark, sf)), 1)
+
+
+@query(f"""
+WITH c AS (SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id, {lev_sql('a.s_name', 'b.s_name')} AS s0, greatest(0.0, 1 - abs(a.s_acctbal - b.s_acctbal) / 1000) AS s1
+  FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND (a.s_nationkey = b.s_nationkey OR abs(floor(a.s_acctbal / 50) - floor(b.s_acctbal / 50)) <= 1))
+SELECT left_id, right_id, round(0.7 * s0 + 0.3 * s1, 9) AS score, CASE WHEN 0.7 * s0 + 0.3 * s1 >= 0.95 THEN 'match' ELSE 'possible' END AS match_class, round(s0, 9) AS s0, round(s1, 9) AS s1 FROM c WHERE 0.7 * s0 + 0.3 * s1 >= 0.8""")
+def linkage_several_blockers(spark, sf):
+    """Two blockers in one plan, weighted bands."""
+    plan = Linkage().block_exact("nation").block_numeric("balance", 50.0).combine("union").compare_string("name", "levenshtein").compare_numeric("balance", 1000.0).classify_weighted_bands([0.7, 0.3], 0.95, 0.8)
+    return _flat(plan.dedup(_supplier(spark, sf)), 2)
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY left_id, right_id) - 1 AS cluster_id, left_id, right_id FROM (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey))
+SELECT cluster_id, unnest([left_id, right_id]) AS record_id FROM p""")
+def cluster_none(spark, sf):
+    """Without a clusterer every pair is a cluster."""
+    plan = Linkage().block_exact("name").compare_exact("brand").compare_exact("type").classify_threshold(1.0)
+    return plan.dedup_cluster(_part(spark, sf))
+
+
+class _SameSize:
+    """A blocker of one's own: records of one size and name."""
+
+    def block_dedup(self, df: DataFrame) -> DataFrame:
+        return blocking.exact(df.withColumn("k", F.struct("size", "name")), None, "k")
+
+    def block_link(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        return blocking.exact(left, right, "size")
+
+
+@query("""
+SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, round(s, 9) AS score, CASE WHEN s >= 0.9 THEN 'match' ELSE 'possible' END AS match_class FROM (
+  SELECT p_partkey, p_name, p_size, upper(p_type) AS t FROM part) a JOIN (SELECT p_partkey, p_name, p_size, upper(p_type) AS t FROM part) b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey,
+  LATERAL (SELECT ((length(a.t) = length(b.t))::INT + (a.t[1] = b.t[1])::INT) / 2 AS s) WHERE s >= 0.5""")
+def linkage_registered_parts(spark, sf):
+    """A plan of parts of one's own: preprocessor, blocker, metric, comparator and classifier."""
+    registry.register_preprocessor("own_upper", lambda x: x.upper())
+    registry.register_metric("own_length", lambda a, b: float(len(a) == len(b)))
+    registry.register_comparator("own_first", lambda a, b: float(a[:1] == b[:1]))
+    registry.register_classifier("own_bands", lambda s: (sum(s) / 2, "match" if sum(s) / 2 >= 0.9 else "possible" if sum(s) / 2 >= 0.5 else "non_match"))
+    registry.register_blocker("own_size", _SameSize())
+    part = _part(spark, sf).select("id", "name", F.col("size").cast("string").alias("size"), "type")
+    plan = Linkage().preprocess("type", ["custom:own_upper"]).preprocess("name", ["fold_case"]).preprocess("size", ["fold_case"])
+    plan.block_custom("own_size").compare_string("type", "own_length").compare_custom("type", "own_first").classify_custom("own_bands")
+    return plan.dedup(part).select("left_id", "right_id", F.round("score", 9).alias("score"), "match_class")
+
+
+@query("SELECT p_partkey AS id, array_to_string(string_split(p_type, 'E'), '|') AS t FROM part")
+def fn_registered_tokenizer(spark, sf):
+    registry.register_tokenizer("own_split", lambda x: x.split("E"))
+    return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(registry.tokenizer("own_split")(F.col("p_type")), "|").alias("t"))
+
+
+@query(f"""
+WITH ppl AS (SELECT a.left_id, a.right_id, a.f FROM (SELECT l.id AS left_id, r.id AS right_id, l.rank AS lr, r.rank AS rr, abs(l.rank - r.rank) AS f FROM (
+  SELECT id, side, row_number() OVER (ORDER BY f, side, id) AS rank FROM (SELECT id, 0 AS side, lower(last_name) AS f FROM probe_people UNION ALL SELECT id, 1, lower(last_name) FROM people) WHERE f IS NOT NULL) l JOIN (
+  SELECT id, side, row_number() OVER (ORDER BY f, side, id) AS rank FROM (SELECT id, 0 AS side, lower(last_name) AS f FROM probe_people UNION ALL SELECT id, 1, lower(last_name) FROM people) WHERE f IS NOT NULL) r ON l.side = 0 AND r.side = 1) a WHERE f <= 2)
+SELECT left_id, right_id FROM ppl""")
+def block_sorted_neighborhood_link(spark, sf):
+    """Probes and people next to each other in the order of last names."""
+    return _pairs(blocking.sorted_neighborhood(_probes(spark, sf), _read(spark, sf, "people").select("id", "last_name"), "last_name", 3))
+
+
 # --- problem 3 -----------------------------------------------------------------------------------------------------------------------
 @query("""
 SELECT id FROM (
