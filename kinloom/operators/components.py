@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinloom.operators.skew import join_lookup
-from kinloom.session import discard, materialise
+from kinloom.session import materialise
 
 #: Edges that one partition may hold; above it another level of the hierarchy is made instead of a larger task.
 EDGES_PER_PARTITION = 400_000
@@ -101,23 +101,23 @@ def connected(pairs: DataFrame, left: str, right: str, edges_per_partition: int
         last = wanted == 1
         block = 2**62 if last else edges_per_partition  # the last level is one task of at most edges_per_partition edges
         forest = edges.mapInArrow(lambda batches, block=block, level=level, last=last: _forest(batches, block, level, last), schema)
-        forest = materialise(forest, "forest")
         if last:
-            above = forest.select("node", F.col("root").alias("group_id"))
+            above = materialise(forest, "forest").select("node", F.col("root").alias("group_id"))
             break
-        top = F.min(F.struct("rank", "root")).alias("top")
-        tops = materialise(forest.groupBy("node").agg(top, F.count(F.lit(1)).alias("roots"), F.min("low").alias("low")).select("node", F.col("top.root").alias("root"), "roots", "low"), "stars")
-        levels.append(tops)
         # A node has as many rows as blocks it was met in, never as many as it has links.
-        met = forest.select("node", F.col("root").alias("b")).join(tops.filter("roots > 1").select("node", F.col("root").alias("a")), "node")
-        links = met.filter("a <> b").select("a", "b").distinct()
+        met = Window.partitionBy("node")
+        first = met.orderBy("rank", "root")
+        rows = forest.select("node", "root", F.first("root").over(first).alias("head"), F.row_number().over(first).alias("n"), F.min("low").over(met).alias("low"))
+        rows = materialise(rows, "stars")
+        stars = rows.filter("n = 1").select("node", "root", "low")
+        levels.append(stars)
+        links = rows.filter("root <> head").select(F.col("head").alias("a"), F.col("root").alias("b")).distinct()
         if level:  # a root is a node of all its trees, so its star knows the smallest id of each
-            low = lambda n: tops.select(F.col("node").alias(n), F.col("low").alias(f"l{n}"))
+            low = lambda n: stars.select(F.col("node").alias(n), F.col("low").alias(f"l{n}"))
             links = links.join(low("a"), "a").join(low("b"), "b").select("a", "b", "la", "lb")
         else:
             links = links.withColumns({"la": F.col("a"), "lb": F.col("b")})
         links = materialise(links, "links")
-        discard(forest)
         count = links.count()
         if not count:
             break
