@@ -149,15 +149,33 @@ def trie(left: DataFrame, right: DataFrame | None, field: str, min_prefix_len: i
     """Pairs with a common prefix of ``min_prefix_len`` or more that at most ``max_frequency`` records (of both sides) share.
 
     If a prefix is rare enough, so are its extensions: the shortest rare prefix of a record already holds every partner
-    of its longer ones, so each record has exactly one key.
+    of its longer ones, so each record has exactly one key. It is looked for in windows of lengths that double: a record whose
+    prefix at the end of a window is still frequent has none inside, so its prefixes there are not written out; and
+    records that have found theirs share no longer prefix with those that have not.
     """
     rows = left.select(F.col(id_col).alias("id"), F.col(field).alias("f"), F.lit(0).alias("side"))
     if right is not None:
         rows = rows.unionByName(right.select(F.col(id_col).alias("id"), F.col(field).alias("f"), F.lit(1).alias("side")))
-    rows = rows.filter(F.length("f") >= min_prefix_len)
-    prefixes = rows.select("id", "side", F.posexplode(F.transform(F.sequence(F.lit(min_prefix_len), F.length("f")), lambda k: F.substring("f", F.lit(1), k))).alias("at", "key"))
-    rare = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_frequency).select("key")
-    first = prefixes.join(rare, "key").groupBy("id", "side").agg(F.min(F.struct("at", "key")).alias("k")).select("id", "side", F.col("k.key").alias("key"))
+    active = materialise(rows.filter(F.length("f") >= min_prefix_len), "trie")
+    found, start, width = [], min_prefix_len, 8
+    while not active.isEmpty():
+        end = start + width - 1
+        rare_at = lambda keys: keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_frequency).select("key")
+        ends = active.filter(F.length("f") >= end).select("id", "side", "f", F.substring("f", F.lit(1), F.lit(end)).alias("key"))
+        open_ = active.filter(F.length("f") < end).unionByName(ends.join(rare_at(ends), "key").select("id", "f", "side"))
+        # Counts of a length need all records that reach it: those whose end is frequent lend one row per length they share with others.
+        inside = F.transform(F.sequence(F.lit(start), F.least(F.length("f"), F.lit(end))), lambda k: F.substring("f", F.lit(1), k))
+        prefixes = open_.select("id", "side", F.posexplode(inside).alias("at", "key"))
+        frequent = ends.join(rare_at(ends), "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        lent = frequent.select("n", F.explode(F.transform(F.sequence(F.lit(start), F.lit(end)), lambda k: F.substring("key", F.lit(1), k))).alias("key"))
+        counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).unionByName(lent.select("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+        first = prefixes.join(counts.filter(F.col("n") <= max_frequency), "key").groupBy("id", "side").agg(F.min(F.struct("at", "key")).alias("k")).select("id", "side", F.col("k.key").alias("key"))
+        found.append(materialise(first, "trie-keys"))
+        active = materialise(active.filter(F.length("f") > end).join(found[-1], ["id", "side"], "left_anti"), "trie")
+        start, width = end + 1, 2 * width
+    if not found:
+        return rows.select(F.col("id").alias("left_id"), F.col("id").alias("right_id")).limit(0)
+    first = reduce(DataFrame.unionByName, found)
     # Prefixes of one length that contain each other are equal, so equal shortest rare prefixes are equal keys.
     a, b = first.select(F.col("id").alias("left_id"), "key", F.col("side").alias("sa")), first.select(F.col("id").alias("right_id"), "key", F.col("side").alias("sb"))
     pairs = a.join(b, "key").filter("left_id < right_id" if right is None else "sa = 0 and sb = 1")

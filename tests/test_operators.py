@@ -263,3 +263,23 @@ def test_join_lookup(spark):
 def test_block_join_has_no_product(spark, people):
     plan = blocking.exact(people, None, "last_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("least,most", [(2, 5), (1, 3), (3, 12)])
+def test_trie_against_all_prefixes(spark, least, most):
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(3)
+    long = "ab" * 19
+    values = ["".join(rng.choice("ab") for _ in range(rng.randrange(26))) for _ in range(300)] + [long] * 9 + [None, "", "a"] + [long + c for c in "xyz"]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v string")
+    count = Counter(v[:k] for v in values if v for k in range(least, len(v) + 1))
+    groups = defaultdict(list)
+    for i, v in enumerate(values):
+        for k in range(least, len(v or "") + 1):
+            if count[v[:k]] <= most:
+                groups[v[:k]].append(i)
+    want = {(x, y) for g in groups.values() for y in g for x in g if x < y}
+    assert {tuple(r) for r in blocking.trie(df, None, "v", least, most).collect()} == want
+    assert blocking.trie(df.limit(0), None, "v").count() == 0
