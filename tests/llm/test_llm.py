@@ -306,6 +306,27 @@ def test_moved_people_and_slips_are_found_if_names_are_rare(spark):
     assert got == {("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("r5", "r6")}
 
 
+def test_candidates_are_all_pairs_that_would_be_linked(spark):
+    """No pair that _verify keeps is left out, whatever q-grams, cities and missing values the records have."""
+    rng = random.Random(6)
+    given, last = ["Margaret", "Peggy", "Corin T", "C", "Archibald S", "A", "Kostas", "Konstantinos"], ["Kelvane", "Ke1vane", "Osmeri", "Brunsmoor", "Brunsrnoor", "Tandrick"]
+    cities, dates = ["Lower Tansy", "L. Tansy", "Springfield", "Sprngfield", "Pringfield", None], ["2006-10-25", "2006-10-26", "2006-10-25", "2016-10-25", None, None]
+    rows = [(f"r{i}", rng.choice(given), rng.choice(last), rng.choice(dates), rng.choice(cities), rng.choice(["1", "2", None])) for i in range(160)]
+    rows += [("s1", "Margaret", None, "1950-01-01", None, "9"), ("s2", "Peggy", None, "1950-01-01", None, "9")]  # no q-gram in common
+    _, nodes = variants.name_nodes(people_of(spark, rows))
+    cities = variants.fitting_cities(nodes.filter("city is not null").groupBy("city").agg(F.count(F.lit(1)).alias("copies")))
+    assert {r.city: set(r.fits) for r in cities.collect()}["springfield"] == {"springfield", "sprngfield", "pringfield"}
+    ready = nodes.join(cities.select("city", "fits"), "city", "left").orderBy("node").withColumn("rid", F.monotonically_increasing_id()).cache()
+    pairs = ready.alias("a").join(ready.alias("b"), F.col("a.rid") < F.col("b.rid"))
+    sides = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("tokens", "dob", "city", "postcode")]
+    counters = np.ones(variants.TOKEN_COUNTERS, dtype=np.int64)
+    kept = pairs.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"), *sides).mapInArrow(lambda it: variants._verify(it, counters, 1000), variants._LINK)
+    want, got = ({(r.a, r.b) for r in x.select("a", "b").collect()} for x in (kept, variants.candidates(ready)))
+    of = {r.node: r.rid for r in ready.collect()}
+    assert (of["s1"], of["s2"]) in want and len(want) > 500 and want <= got
+    assert len(got) < 162 * 161 / 2
+
+
 def test_linkage(spark):
     left = [("a1", {"name": "Yara Galodal", "dob": "1973-08-21", "city": "Port Ellerine", "email": None, "phone": "+00 00 3522712"}), ("a2", {"name": "Smith, Ann", "dob": "1980-02-03", "city": "Tarn Lake"}), ("a3", None), ("a4", {})]
     right = [("b1", {"given": "Yara", "surname": "GALODAL", "born": "21.08.1973", "town": "PT ELLERINE", "tel": "00/3522712"}), ("b2", {"given": "Ann", "surname": "Smith", "born": "02/03/80", "town": "Tarn Lake"}), ("b3", {"given": "Bob", "surname": "Smith", "born": "1955", "town": "Tarn Lake"}), ("b4", {"surname": "nan"})]
