@@ -256,6 +256,14 @@ def test_names():
     assert names.edit_similarity("ab", "ba") == 0.5
 
 
+def test_what_a_worker_remembers_of_names_is_bounded():
+    kinds = names.token_similarity, names._loosely_alike, names.edit_similarity
+    for i in range(30_000):
+        for alike in kinds:
+            alike(f"ab{i:05d}", f"yz{i:05d}q")
+    assert sum(alike.cache_info().currsize for alike in kinds) <= 50_000
+
+
 def people_of(spark, rows):
     return spark.createDataFrame(rows, "id string, first_name string, last_name string, dob string, city string, postcode string")
 
