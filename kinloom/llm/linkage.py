@@ -191,16 +191,24 @@ def candidate_graph(left: DataFrame, right: DataFrame) -> DataFrame:
     return edges.join(top("a"), "a").join(top("b"), "b").filter(F.col("weight") >= KEEP_SHARE * F.least("ta", "tb")).select("a", "b", "weight")
 
 
+#: Log odds above which a pair is kept, and the most that a field compared last can add.
+LEAST = -6.0
+_MOST = {"phone": 4.5, "city": 1.6, "road": 2.8}
+
+
 def _compare(a: dict, b: dict, weight) -> float:
-    """Log odds that two normalised records are one person, from the agreements and disagreements of their fields."""
+    """Log odds that two normalised records are one person, from the agreements and disagreements of their fields.
+
+    Minus infinity where what is left to compare cannot lift them above LEAST.
+    """
     z = -6.0
     x, y = a["name"].split(), b["name"].split()
     if x and y:
         weighted, plain, n = names.soft_similarity(x, y, weight)
         s = names.or_as_one_word(x, y, min(weighted, plain))
         full = min(len(x), len(y)) >= 2
-        rare = sum(min(1.0, weight(t)) for t in x) / len(x)
         if s >= 0.8 and full:
+            rare = sum(min(1.0, weight(t)) for t in x) / len(x)
             z += (3.0 + 4.0 * rare) * (s - 0.3)
             if min(sum(len(t) > 1 for t in x), sum(len(t) > 1 for t in y)) < 2:
                 z -= 1.2  # a given name that is only an initial
@@ -233,6 +241,9 @@ def _compare(a: dict, b: dict, weight) -> float:
         else:
             p, q = (re.sub(r"[^a-z0-9]", "", e.split("@")[0]) for e in (a["email"], b["email"]))
             z += 3.5 if p == q else -0.8
+    known = [k for k in _MOST if a[k] and b[k]]
+    if z + sum(_MOST[k] for k in known) < LEAST - 0.1:
+        return -math.inf
     if a["phone"] and b["phone"]:
         z += 4.5 if a["phone"] == b["phone"] else (2.0 if names.edit_similarity(a["phone"], b["phone"]) > 0.8 else -0.5)
     if a["city"] and b["city"]:
@@ -266,8 +277,15 @@ def _score(batches: Iterator[pa.RecordBatch], counters, total: int) -> Iterator[
 
     top, size = math.log(total + 1), len(counters)
 
+    known: dict[str, float] = {}
+
     def weight(t: str) -> float:
-        return max(0.15, math.log((total + 1) / (counters[crc32(t.encode()) % size] + 0.5)) / top) * (0.5 if len(t) == 1 else 1.0)
+        got = known.get(t)
+        if got is None:
+            if len(known) > names.REMEMBERED:
+                known.clear()
+            got = known[t] = float(max(0.15, math.log((total + 1) / (counters[crc32(t.encode()) % size] + 0.5)) / top) * (0.5 if len(t) == 1 else 1.0))
+        return got
 
     for b in batches:
         left = [dict(zip(_FACTS, v)) for v in zip(*[b.column(f"a_{c}").to_pylist() for c in _FACTS])]
@@ -301,7 +319,7 @@ def link(left: DataFrame, right: DataFrame, left_fields: dict = LEFT_FIELDS, rig
     sent = left.sparkSession.sparkContext.broadcast(counters)
     side = lambda x, n: x.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in _FACTS])
     full = candidate_graph(l, r).select("a", "b").join(side(l, "a"), "a").join(side(r, "b"), "b")
-    scored = materialise(full.mapInArrow(lambda it: _score(it, sent.value, total), "a string, b string, z double, home string").filter("z > -6"), "scores")
+    scored = materialise(full.mapInArrow(lambda it: _score(it, sent.value, total), "a string, b string, z double, home string").filter(F.col("z") > LEAST), "scores")
     best_a = scored.groupBy("a").agg(F.max("z").alias("za"))
     best_b = scored.groupBy("b").agg(F.max("z").alias("zb"))
     doubt = F.when((F.col("za") - F.col("z") > 6) | (F.col("zb") - F.col("z") > 6), 1.0).otherwise(0.0)

@@ -335,6 +335,20 @@ def test_candidates_are_all_pairs_that_would_be_linked(spark):
     assert len(got) < 162 * 161 / 2
 
 
+def test_pairs_are_given_up_only_where_no_field_can_save_them(monkeypatch):
+    rnd = random.Random(5)
+    some = lambda *v: rnd.choice(v)
+    record = lambda: {"name": some("anna lee", "ana lee", "bob ray", "ann marie lee", ""), "y": some(0, 1980, 1981), "m": some(0, 3, 4), "d": some(3, 4, 9), "city": some("", "hull", "leeds"), "road": some("", "mill lane", "mil lane", "high street"), "number": some("", "7", "8"), "phone": some("", "5550123", "5550124", "7777777"), "email": some("", "a.lee@x.org", "alee@y.org", "ray@x.org")}  # noqa: E731, E501
+    pairs = [(record(), record()) for _ in range(3_000)]
+    fast = [linkage._compare(a, b, lambda t: 0.5) for a, b in pairs]
+    monkeypatch.setattr(linkage, "LEAST", -float("inf"))
+    full = [linkage._compare(a, b, lambda t: 0.5) for a, b in pairs]
+    assert all(x == y or x == -float("inf") and y <= -6.0 for x, y in zip(fast, full))
+    assert 500 < fast.count(-float("inf")) < sum(y <= -6.0 for y in full) < 3_000
+    for a, b in (("anna", "nana"), ("aab", "abb"), ("", "a"), ("lee", "eel"), ("mill", "lane")):
+        assert names._in_common(a, b) == sum((Counter(a) & Counter(b)).values())
+
+
 def test_linkage(spark):
     left = [("a1", {"name": "Yara Galodal", "dob": "1973-08-21", "city": "Port Ellerine", "email": None, "phone": "+00 00 3522712"}), ("a2", {"name": "Smith, Ann", "dob": "1980-02-03", "city": "Tarn Lake"}), ("a3", None), ("a4", {})]
     right = [("b1", {"given": "Yara", "surname": "GALODAL", "born": "21.08.1973", "town": "PT ELLERINE", "tel": "00/3522712"}), ("b2", {"given": "Ann", "surname": "Smith", "born": "02/03/80", "town": "Tarn Lake"}), ("b3", {"given": "Bob", "surname": "Smith", "born": "1955", "town": "Tarn Lake"}), ("b4", {"surname": "nan"})]
