@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from kinloom.operators.comparing import DecisionTree, LogisticModel
+from kinloom.session import materialise
 
-#: Labelled vectors that training on the driver may take; more are refused rather than sampled silently.
+#: Distinct labelled vectors that the driver takes; with more, all of them stay on the executors.
 MAX_LABELLED = 1_000_000
 #: Gradient descent ends when no parameter moves by more (fixed value).
 CONVERGED = 1e-6
@@ -58,62 +61,121 @@ def estimate_fellegi_sunter(vectors: DataFrame, n: int, scores: str = "scores",
     return EmResult(m.tolist(), u.tolist(), p, max_iterations, False)
 
 
-def _labelled(df: DataFrame, scores: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(scores, label).filter(F.col(scores).isNotNull() & F.col(label).isNotNull()).limit(MAX_LABELLED + 1).collect()
-    if not rows:
+def _labelled(df: DataFrame, scores: str, label: str) -> tuple[DataFrame, int]:
+    """(x, y, n: distinct labelled vectors with their number of rows; how many there are). Equal rows count by weight."""
+    rows = df.select(F.col(scores).cast("array<double>").alias("x"), F.col(label).cast("boolean").alias("y")).filter("x is not null and y is not null")
+    rows = materialise(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    distinct = rows.count()
+    if not distinct:
         raise ValueError("training needs labelled vectors")
-    if len(rows) > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} labelled vectors; sample them first")
-    rows = sorted((tuple(r[0]), bool(r[1])) for r in rows)  # the order of a frame is not defined
-    return np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=float)
+    return rows, distinct
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(i) for i in range(3)))
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(x), -1), y.to_numpy(zero_copy_only=False).astype(float), n.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _local(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, n = _arrays(rows.toArrow())
+    order = np.lexsort((y, *x.T[::-1]))  # the order of a frame is not defined
+    return x[order], y[order], n[order]
+
+
+def _gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over rows: of the error by each feature, of the error."""
+    error = (1 / (1 + np.exp(-(x @ w + b))) - y) * n
+    return np.append(x.T @ error, error.sum())
+
+
+def _spread_gradient(rows: DataFrame) -> tuple[int, float, Callable[[np.ndarray, float], np.ndarray], Callable[[], object]]:
+    """(features, rows, the gradient as one pass over blocks that stay with the executors, what lets go of the blocks)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y, n = _arrays(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([x, y, n]).tobytes()], pa.binary())], names=["block"])
+
+    width = len(rows.first()["x"])
+    blocks = rows.mapInArrow(pack, "block binary").rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def passed(w: np.ndarray, b: float) -> np.ndarray:
+        def part(of: Iterator[bytes]) -> Iterator[np.ndarray]:
+            total = np.zeros(width + 1)
+            for block in of:
+                a = np.frombuffer(block).reshape(-1, width + 2)
+                total += _gradient(a[:, :width], a[:, width], a[:, width + 1], w, b)
+            yield total
+
+        return np.sum(blocks.mapPartitions(part).collect(), axis=0)  # one small array per partition
+
+    return width, float(rows.agg(F.sum("n")).first()[0]), passed, blocks.unpersist
 
 
 def train_logistic_regression(df: DataFrame, scores: str = "scores", label: str = "label", learning_rate: float = 0.1, max_iterations: int = 1000, regularization: float = 0.01, threshold: float = 0.5) -> LogisticModel:
-    """Batch gradient descent from zero; the bias is not regularised."""
-    x, y = _labelled(df, scores, label)
-    w, b = np.zeros(x.shape[1]), 0.0
+    """Batch gradient descent from zero; the bias is not regularised. Every step sees all rows: on the driver up to
+    MAX_LABELLED distinct vectors, beyond them in a pass over the executors."""
+    rows, distinct = _labelled(df, scores, label)
+    done: Callable[[], object] = lambda: None
+    if distinct <= MAX_LABELLED:
+        x, y, n = _local(rows)
+        width, total, gradient = x.shape[1], n.sum(), lambda w, b: _gradient(x, y, n, w, b)
+    else:
+        width, total, gradient, done = _spread_gradient(rows)
+    w, b = np.zeros(width), 0.0
     for _ in range(max_iterations):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        step, step_b = learning_rate * (x.T @ error / len(x) + regularization * w), learning_rate * error.mean()
+        g = gradient(w, b) / total
+        step, step_b = learning_rate * (g[:-1] + regularization * w), learning_rate * g[-1]
         w, b = w - step, b - step_b
-        if max(np.abs(step).max(), abs(step_b)) < CONVERGED:
+        if max(np.abs(step).max(initial=0), abs(step_b)) < CONVERGED:
             break
+    done()
     return LogisticModel(w.tolist(), float(b), threshold)
 
 
-def _gini(p: np.ndarray) -> np.ndarray:
+def _gini(p):
     return 2 * p * (1 - p)
 
 
-def train_decision_tree(df: DataFrame, scores: str = "scores", label: str = "label", max_depth: int = 5, min_samples_leaf: int = 5, min_samples_split: int = 10, match_threshold: float = 0.5) -> DecisionTree:
-    """CART by Gini impurity with thresholds midway between values; of equally good splits the first feature and threshold win."""
-    x, y = _labelled(df, scores, label)
+def _local_tree(rows: DataFrame, max_depth: int, min_samples_leaf: int, min_samples_split: int) -> dict:
+    x, y, weight = _local(rows)
 
     def grow(rows: np.ndarray, depth: int) -> dict:
-        here = y[rows]
-        p = float(here.mean())
-        if depth >= max_depth or len(rows) < min_samples_split or p in (0.0, 1.0):
-            return {"p": p, "n": len(rows)}
+        total, hits = int(weight[rows].sum()), (y[rows] * weight[rows]).sum()
+        p = float(hits / total)
+        if depth >= max_depth or total < min_samples_split or p in (0.0, 1.0):
+            return {"p": p, "n": total}
         best, found = float(_gini(np.array(p))) - 1e-12, None
         for f in range(x.shape[1]):
             order = rows[np.argsort(x[rows, f], kind="stable")]
-            v, t = x[order, f], y[order].cumsum()
-            n = np.arange(1, len(order) + 1)
-            cut = np.flatnonzero((v[:-1] < v[1:]) & (n[:-1] >= min_samples_leaf) & (len(order) - n[:-1] >= min_samples_leaf))
+            v, t = x[order, f], (y[order] * weight[order]).cumsum()
+            n = weight[order].cumsum()
+            cut = np.flatnonzero((v[:-1] < v[1:]) & (n[:-1] >= min_samples_leaf) & (total - n[:-1] >= min_samples_leaf))
             if not len(cut):
                 continue
-            left, right = t[cut] / n[cut], (t[-1] - t[cut]) / (len(order) - n[cut])
-            impurity = (n[cut] * _gini(left) + (len(order) - n[cut]) * _gini(right)) / len(order)
+            left, right = t[cut] / n[cut], (t[-1] - t[cut]) / (total - n[cut])
+            impurity = (n[cut] * _gini(left) + (total - n[cut]) * _gini(right)) / total
             i = int(impurity.argmin())
             if impurity[i] < best - 1e-12:
                 best, found = float(impurity[i]), (f, float((v[cut[i]] + v[cut[i] + 1]) / 2))
         if found is None:
-            return {"p": p, "n": len(rows)}
+            return {"p": p, "n": total}
         f, at = found
         goes_left = x[rows, f] <= at
         return {"feature": f, "threshold": at, "left": grow(rows[goes_left], depth + 1), "right": grow(rows[~goes_left], depth + 1)}
 
-    return DecisionTree(grow(np.arange(len(x)), 0), match_threshold)
+    return grow(np.arange(len(x)), 0)
+
+
+def train_decision_tree(df: DataFrame, scores: str = "scores", label: str = "label", max_depth: int = 5, min_samples_leaf: int = 5, min_samples_split: int = 10, match_threshold: float = 0.5) -> DecisionTree:
+    """CART by Gini impurity with thresholds midway between values; of equally good splits the first feature and threshold win.
+    More than MAX_LABELLED distinct vectors are refused."""
+    rows, distinct = _labelled(df, scores, label)
+    if distinct > MAX_LABELLED:
+        raise ValueError(f"more than {MAX_LABELLED} distinct labelled vectors")
+    return DecisionTree(_local_tree(rows, max_depth, min_samples_leaf, min_samples_split), match_threshold)
 
 
 def predict(df: DataFrame, model: LogisticModel | DecisionTree, scores: str = "scores") -> DataFrame:

@@ -283,3 +283,20 @@ def test_trie_against_all_prefixes(spark, least, most):
     want = {(x, y) for g in groups.values() for y in g for x in g if x < y}
     assert {tuple(r) for r in blocking.trie(df, None, "v", least, most).collect()} == want
     assert blocking.trie(df.limit(0), None, "v").count() == 0
+
+
+def _many_vectors(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [([round(rng.random(), 2), round(rng.random(), 2), None if i % 50 == 7 else rng.choice([0.1, 0.5])], rng.random() < 0.5) for i in range(400)]
+    rows = [(s, s[0] + s[1] > 1 if i % 10 else y) for i, (s, y) in enumerate(rows)]
+    return spark.createDataFrame(rows * 3 + rows[:100], "scores array<double>, label boolean")
+
+
+def test_logistic_training_on_more_vectors_than_the_driver_takes(spark, monkeypatch):
+    df = _many_vectors(spark).select(F.slice("scores", 1, 2).alias("scores"), "label")
+    here = training.train_logistic_regression(df, max_iterations=30)
+    monkeypatch.setattr(training, "MAX_LABELLED", 100)
+    spread = training.train_logistic_regression(df, max_iterations=30)
+    assert [*spread.weights, spread.bias] == pytest.approx([*here.weights, here.bias], abs=1e-12) and max(here.weights) > 0.1
