@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinloom.operators.comparing import DecisionTree, LogisticModel
 from kinloom.session import materialise
@@ -169,13 +169,61 @@ def _local_tree(rows: DataFrame, max_depth: int, min_samples_leaf: int, min_samp
     return grow(np.arange(len(x)), 0)
 
 
+def _spread_tree(rows: DataFrame, max_depth: int, min_samples_leaf: int, min_samples_split: int) -> dict:
+    """The same tree level by level: the counts of every value of every feature in every open node, cut where they say. Only
+    one row per node, and one per node and feature, comes to the driver."""
+
+    def place(node: dict, name: int) -> Column:
+        if "feature" not in node:
+            return F.lit(name if node.get("open") else None).cast("int")
+        x = F.col("x")[node["feature"]]  # a missing value is no number and goes right
+        return F.when((x <= node["threshold"]) & ~F.isnan(x), place(node["left"], 2 * name)).otherwise(place(node["right"], 2 * name + 1))
+
+    root: dict = {"open": True}
+    opened = {1: root}
+    for depth in range(max_depth + 1):
+        here = rows.select(place(root, 1).alias("node"), "x", F.col("n").cast("double").alias("n"), F.when(F.col("y"), F.col("n")).otherwise(0).cast("double").alias("t")).filter("node is not null")
+        totals = {r["node"]: (r["n"], r["t"]) for r in here.groupBy("node").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
+        for name, node in list(opened.items()):
+            n, t = totals[name]
+            node |= {"p": t / n, "n": int(n)}
+            if depth >= max_depth or n < min_samples_split or node["p"] in (0.0, 1.0):
+                del node["open"], opened[name]
+        if not opened:
+            break
+        sizes = here.groupBy("node").agg(F.sum("n").alias("nn"), F.sum("t").alias("tt"))
+        values = here.filter(F.col("node").isin(list(opened))).select("node", "n", "t", F.posexplode("x").alias("f", "v"))
+        values = values.withColumn("v", F.coalesce("v", F.lit(float("nan")))).groupBy("node", "f", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        by = Window.partitionBy("node", "f").orderBy("v")
+        cuts = values.select("node", "f", "v", F.lead("v").over(by).alias("next"), F.sum("n").over(by).alias("n"), F.sum("t").over(by).alias("t")).filter(F.col("next").isNotNull() & ~F.isnan("next"))
+        n, t, nn, tt = (F.col(c) for c in ("n", "t", "nn", "tt"))
+        cuts = cuts.join(F.broadcast(sizes), "node").filter((n >= min_samples_leaf) & (nn - n >= min_samples_leaf))
+        impurity = (n * _gini(t / n) + (nn - n) * _gini((tt - t) / (nn - n))) / nn
+        best = cuts.groupBy("node", "f").agg(F.min(F.struct(impurity.alias("impurity"), F.col("v"), F.col("next"))).alias("b")).select("node", "f", "b.*").collect()
+        split: dict[int, tuple[float, int, float]] = {}
+        for r in sorted(best, key=lambda r: (r["node"], r["f"])):
+            least = split[r["node"]][0] if r["node"] in split else _gini(opened[r["node"]]["p"]) - 1e-12
+            if r["impurity"] < least - 1e-12:
+                split[r["node"]] = (r["impurity"], r["f"], (r["v"] + r["next"]) / 2)
+        below = {}
+        for name, node in opened.items():
+            del node["open"]
+            if name in split:
+                node.clear()
+                node |= {"feature": split[name][1], "threshold": split[name][2], "left": {"open": True}, "right": {"open": True}}
+                below |= {2 * name: node["left"], 2 * name + 1: node["right"]}
+        opened = below
+        if not opened:
+            break
+    return root
+
+
 def train_decision_tree(df: DataFrame, scores: str = "scores", label: str = "label", max_depth: int = 5, min_samples_leaf: int = 5, min_samples_split: int = 10, match_threshold: float = 0.5) -> DecisionTree:
     """CART by Gini impurity with thresholds midway between values; of equally good splits the first feature and threshold win.
-    More than MAX_LABELLED distinct vectors are refused."""
+    All rows count: on the driver up to MAX_LABELLED distinct vectors, beyond them level by level on the executors."""
     rows, distinct = _labelled(df, scores, label)
-    if distinct > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} distinct labelled vectors")
-    return DecisionTree(_local_tree(rows, max_depth, min_samples_leaf, min_samples_split), match_threshold)
+    grown = (_local_tree if distinct <= MAX_LABELLED else _spread_tree)(rows, max_depth, min_samples_leaf, min_samples_split)
+    return DecisionTree(grown, match_threshold)
 
 
 def predict(df: DataFrame, model: LogisticModel | DecisionTree, scores: str = "scores") -> DataFrame:

@@ -300,3 +300,15 @@ def test_logistic_training_on_more_vectors_than_the_driver_takes(spark, monkeypa
     monkeypatch.setattr(training, "MAX_LABELLED", 100)
     spread = training.train_logistic_regression(df, max_iterations=30)
     assert [*spread.weights, spread.bias] == pytest.approx([*here.weights, here.bias], abs=1e-12) and max(here.weights) > 0.1
+
+
+def test_tree_training_on_more_vectors_than_the_driver_takes(spark, monkeypatch):
+    df = _many_vectors(spark)
+    here = training.train_decision_tree(df, max_depth=4)
+    monkeypatch.setattr(training, "MAX_LABELLED", 100)
+    spread = training.train_decision_tree(df, max_depth=4)
+
+    def flat(node):
+        return [round(node["p"], 12), node["n"]] if "p" in node else [node["feature"], round(node["threshold"], 12), *flat(node["left"]), *flat(node["right"])]
+
+    assert flat(spread.root) == flat(here.root) and len(flat(here.root)) > 8
