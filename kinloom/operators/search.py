@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kinloom.functions import similarity
 from kinloom.functions.tokenizers import ngram_tokenize, whitespace_tokenize
 from kinloom.operators import blocking
-from kinloom.operators.matching import within_edits
+from kinloom.operators.matching import within_edits, within_one_edit
 
 
 class _Table:
@@ -97,16 +97,20 @@ class NearestIndex(_Table):
         return met.select("id", "value", "distance").orderBy("distance", "id")
 
     def find_within_all(self, queries: DataFrame, max_distance: float, query: str = "query") -> DataFrame:
-        """(query, id, value, distance) for a table of queries. Edit distances find candidates by q-grams, distinct values against
-        distinct queries; other metrics are read as a stated query set against all rows."""
+        """(query, id, value, distance) for a table of queries. Edit distances find candidates by q-grams, or for one edit by values
+        without a letter, distinct values against distinct queries; other metrics are read as a stated query set against all rows."""
         q = queries.select(F.col(query).alias("query")).filter("query is not null").distinct()
         rows = self.rows
         if self.metric in self.DISTANCES:
             touched = 2 if self.metric == "levenshtein" else 3
-            met = within_edits(q, rows.select("value").distinct(), "query", "value", (), lambda _: F.lit(int(max_distance)), touched)
+            values = rows.select("value").distinct()
+            if int(max_distance) <= 1:
+                met = within_one_edit(q, values, "query", "value")
+            else:
+                met = within_edits(q, values, "query", "value", (), lambda _: F.lit(int(max_distance)), touched)
             d = F.levenshtein("value", "query", int(max_distance)) if touched == 2 else self._distance(F.col("query"))
             near = met.withColumn("distance", d).filter((F.col("distance") >= 0) & (F.col("distance") <= int(max_distance)))
-            return rows.join(near, "value").select("query", "id", "value", "distance")
+            return rows.join(near.distinct(), "value").select("query", "id", "value", "distance")
         met = rows.join(q, F.lit(True)).withColumn("distance", self._distance(F.col("query")))
         return met.filter(F.col("distance") <= max_distance + 1e-12).select("query", "id", "value", "distance")
 

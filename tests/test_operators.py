@@ -312,3 +312,16 @@ def test_tree_training_on_more_vectors_than_the_driver_takes(spark, monkeypatch)
         return [round(node["p"], 12), node["n"]] if "p" in node else [node["feature"], round(node["threshold"], 12), *flat(node["left"]), *flat(node["right"])]
 
     assert flat(spread.root) == flat(here.root) and len(flat(here.root)) > 8
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "damerau_levenshtein"])
+def test_one_edit_among_values_of_common_bigrams(spark, metric):
+    values = ["", "a", "b", "ab", "ba", "añb", "🙂a", None, *(f"Customer#{i:09d}" for i in range(0, 3000, 7)), "Customer#000000770", "Customer#00000007"]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, value string")
+    asked = df.filter("value is null or id % 5 <> 1").select(F.col("value").alias("query"))
+    met = matching.within_one_edit(asked.distinct().filter("query is not null"), df.select("value").filter("value is not null").distinct(), "query", "value")
+    assert met.count() < 40 * len(values)  # the product is over 100 000
+    d = F.levenshtein("query", "value") if metric == "levenshtein" else search.NearestIndex.DISTANCES[metric](F.col("query"), F.col("value"))
+    want = df.crossJoin(asked.distinct()).withColumn("distance", d).filter("distance <= 1").select("query", "id", "value", "distance")
+    got = search.NearestIndex.build(df, metric=metric).find_within_all(asked, 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
