@@ -178,35 +178,53 @@ def optics(nodes: DataFrame, edges: DataFrame, min_samples: int, extract_thresho
     return nodes.select(F.col(node).alias("record_id")).join(groups.join(ids, "g").select("record_id", "label"), "record_id", "left").na.fill({"label": -1})
 
 
+#: Similarities that a worker remembers, for values that come again and again; beyond so many it starts anew.
+REMEMBERED = 16_384
+_SIMILAR: dict[tuple[str, str, str], float] = {}
+
+
 class IncrementalCluster:
     """Ordered assignment: a value joins the cluster whose representative (its first member) is most similar, if at
-    ``threshold`` or more, and else opens one. Of equally similar clusters the oldest wins."""
+    ``threshold`` or more, and else opens one. Of equally similar clusters the oldest wins. A value that comes again is
+    compared only with representatives that are new to it."""
 
     def __init__(self, metric: str = "jaro_winkler", threshold: float = 0.85) -> None:
         kernel = similarity._BATCHED.get(metric)
         if kernel is None:
             raise ValueError(f"incremental clustering needs one of {sorted(similarity._BATCHED)}")
-        self.kernel, self.threshold = kernel, threshold
+        self.metric, self.kernel, self.threshold = metric, kernel, threshold
         self.representatives: list[str] = []
         self.clusters: list[list[int]] = []
         self.record_count = 0
-        self._seen: dict[str, tuple[int, float]] = {}
+        self._seen: dict[str, tuple[int, float, int]] = {}
 
     @property
     def cluster_count(self) -> int:
         return len(self.clusters)
 
-    def add_record(self, value: str) -> tuple[int, bool, float]:
-        """(cluster, whether it is new, similarity)."""
+    def _similarities(self, value: str, others: list[str]) -> list[float]:
         from kinloom.functions.kernels import pairwise
 
+        if len(others) > REMEMBERED // 4:
+            return pairwise(self.kernel, pd.Series([value] * len(others)), pd.Series(others)).tolist()
+        known = [_SIMILAR.get((self.metric, value, o)) for o in others]
+        if None in known:
+            known = pairwise(self.kernel, pd.Series([value] * len(others)), pd.Series(others)).tolist()
+            if len(_SIMILAR) > REMEMBERED:
+                _SIMILAR.clear()
+            _SIMILAR.update(((self.metric, value, o), s) for o, s in zip(others, known))
+        return known
+
+    def add_record(self, value: str) -> tuple[int, bool, float]:
+        """(cluster, whether it is new, similarity)."""
         index, self.record_count = self.record_count, self.record_count + 1
-        best, top = -1, 0.0
-        if self.representatives:
-            scores = pairwise(self.kernel, pd.Series([value] * len(self.representatives)), pd.Series(self.representatives)).to_numpy()
-            i = int(scores.argmax())
-            if scores[i] > 0:
-                best, top = i, float(scores[i])
+        best, top, known = self._seen.get(value, (-1, 0.0, 0))
+        if known < len(self.representatives):
+            scores = self._similarities(value, self.representatives[known:])
+            highest = max(scores)
+            if highest > top:
+                best, top = known + scores.index(highest), float(highest)
+        self._seen[value] = best, top, len(self.representatives)
         if best >= 0 and top >= self.threshold:
             self.clusters[best].append(index)
             return best, False, top

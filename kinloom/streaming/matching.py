@@ -79,12 +79,16 @@ def incremental_clusters(stream: DataFrame, block: str, order: str, value: str,
         if state.exists:
             found.representatives = list(state.get[0])
             found.clusters = [[] for _ in found.representatives]
-        rows = pd.concat(list(batches)).sort_values([order, value], kind="stable")
-        got = [found.add_record(v) for v in rows[value] if v is not None]
+        frames = list(batches)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        if not (rows[order].is_monotonic_increasing and rows[order].is_unique):
+            rows = rows.sort_values([order, value], kind="stable")
+        values = [v for v in rows[value] if v is not None]
+        got = [found.add_record(v) for v in values]
         state.update((found.representatives,))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"block": [str(key[0])] * len(got), "value": [v for v in rows[value] if v is not None], "cluster": [g[0] for g in got], "is_new": [g[1] for g in got], "similarity": [g[2] for g in got]})
+        yield pd.DataFrame({"block": [str(key[0])] * len(got), "value": values, "cluster": [g[0] for g in got], "is_new": [g[1] for g in got], "similarity": [g[2] for g in got]})
 
     return stream.filter(F.col(block).isNotNull()).groupBy(block).applyInPandasWithState(assign, "block string, value string, cluster int, is_new boolean, similarity double", "representatives array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 

@@ -325,3 +325,27 @@ def test_one_edit_among_values_of_common_bigrams(spark, metric):
     want = df.crossJoin(asked.distinct()).withColumn("distance", d).filter("distance <= 1").select("query", "id", "value", "distance")
     got = search.NearestIndex.build(df, metric=metric).find_within_all(asked, 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_incremental_clusters_compare_a_repeated_value_once(monkeypatch):
+    import random
+
+    from kinloom.functions import kernels, similarity
+
+    rng = random.Random(7)
+    values = [rng.choice(["anna", "anne", "hanna", "bob", "bobby", "rob", "", "zoe"]) + rng.choice(["", "x"]) for _ in range(600)]
+    calls, plain = [], kernels.pairwise
+    kernel = similarity._BATCHED["jaro_winkler"]
+    reps, want = [], []
+    for v in values:
+        scores = [float(plain(kernel, pd.Series([v]), pd.Series([r]))[0]) for r in reps]
+        i = max(range(len(reps)), key=lambda k: (scores[k], -k), default=-1)
+        if i >= 0 and scores[i] > 0 and scores[i] >= 0.85:
+            want.append((i, False, scores[i]))
+        else:
+            reps.append(v)
+            want.append((len(reps) - 1, True, 1.0))
+    monkeypatch.setattr(kernels, "pairwise", lambda *a: calls.append(1) or plain(*a))
+    state = clustering.IncrementalCluster("jaro_winkler", 0.85)
+    assert [state.add_record(v) for v in values] == want
+    assert len(calls) < 150 and sorted(i for c in state.get_clusters() for i in c) == list(range(600))
