@@ -36,12 +36,21 @@ def _sliced(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.repartition(n, "key", "slice").join(b.repartition(n, "key", "slice"), ["key", "slice"])
 
 
-def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[DataFrame], Column], exploded: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[DataFrame], Column], exploded: bool = False, carry: Sequence[str] = (), band: tuple[str, float] | None = None) -> DataFrame:
     """Pairs with an equal key; see _sliced for hot keys. Columns in ``carry`` come along as left__ and right__ columns, which
-    saves looking them up by id afterwards."""
+    saves looking them up by id afterwards. ``band`` names a number without NaN and how far it may differ at most: pairs
+    that differ by two such bands or more need not meet."""
     def keyed(df: DataFrame, name: str) -> DataFrame:
         k = F.explode(F.array_distinct(key(df))) if exploded else key(df)
-        return _side(df, id_col, k, f"{name}_id", *[F.col(f"`{c}`").alias(f"{name}__{c}") for c in carry])
+        more = [F.col(f"`{c}`").alias(f"{name}__{c}") for c in carry]
+        if band is None:
+            return _side(df, id_col, k, f"{name}_id", *more)
+        x = df[band[0]].try_cast("double")
+        at = F.when(x.isNotNull(), F.floor(F.least(F.greatest(x / F.lit(band[1] * (1 + 1e-6)), F.lit(-1e9)), F.lit(1e9))))
+        # Each pair meets once: the left side names its band and both neighbours, the right side its own.
+        near = F.explode(F.array(at - 1, at, at + 1)) if name == "left" else at
+        rows = df.select(F.col(id_col).alias(f"{name}_id"), k.alias("k"), near.alias("band"), *more).filter("k is not null and band is not null")
+        return rows.select(f"{name}_id", F.struct("k", "band").alias("key"), *[f"`{name}__{c}`" for c in carry])
 
     pairs = _sliced(keyed(left, "left"), keyed(left if right is None else right, "right"))
     if right is None:
@@ -50,12 +59,12 @@ def _meet(left: DataFrame, right: DataFrame | None, id_col: str, key: Callable[[
     return pairs.distinct() if exploded else pairs
 
 
-def exact(left: DataFrame, right: DataFrame | None, field: str, id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
-    return _meet(left, right, id_col, lambda d: d[field], carry=carry)
+def exact(left: DataFrame, right: DataFrame | None, field: str, id_col: str = "id", carry: Sequence[str] = (), band: tuple[str, float] | None = None) -> DataFrame:
+    return _meet(left, right, id_col, lambda d: d[field], carry=carry, band=band)
 
 
-def phonetic_code(left: DataFrame, right: DataFrame | None, field: str, algorithm: str = "soundex", id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
-    return _meet(left, right, id_col, lambda d: phonetic.encode(d[field], algorithm), carry=carry)
+def phonetic_code(left: DataFrame, right: DataFrame | None, field: str, algorithm: str = "soundex", id_col: str = "id", carry: Sequence[str] = (), band: tuple[str, float] | None = None) -> DataFrame:
+    return _meet(left, right, id_col, lambda d: phonetic.encode(d[field], algorithm), carry=carry, band=band)
 
 
 def numeric(left: DataFrame, right: DataFrame | None, field: str, bucket_size: float = 5.0, id_col: str = "id") -> DataFrame:
@@ -68,12 +77,12 @@ def numeric(left: DataFrame, right: DataFrame | None, field: str, bucket_size: f
     return (pairs.filter("left_id < right_id") if right is None else pairs).select("left_id", "right_id")
 
 
-def date(left: DataFrame, right: DataFrame | None, field: str, resolution: str = "year", id_col: str = "id", carry: Sequence[str] = ()) -> DataFrame:
+def date(left: DataFrame, right: DataFrame | None, field: str, resolution: str = "year", id_col: str = "id", carry: Sequence[str] = (), band: tuple[str, float] | None = None) -> DataFrame:
     """Equal first one, two or three parts of a date text."""
     parts = {"year": 1, "month": 2, "day": 3}
     if resolution not in parts:
         raise ValueError(f"unknown date resolution {resolution!r}: year, month or day")
-    return _meet(left, right, id_col, lambda d: F.substring_index(d[field].cast("string"), "-", parts[resolution]), carry=carry)
+    return _meet(left, right, id_col, lambda d: F.substring_index(d[field].cast("string"), "-", parts[resolution]), carry=carry, band=band)
 
 
 def qgram(left: DataFrame, right: DataFrame | None, field: str, q: int = 3, threshold: int = 1, id_col: str = "id") -> DataFrame:

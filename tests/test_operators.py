@@ -349,3 +349,22 @@ def test_incremental_clusters_compare_a_repeated_value_once(monkeypatch):
     state = clustering.IncrementalCluster("jaro_winkler", 0.85)
     assert [state.add_record(v) for v in values] == want
     assert len(calls) < 150 and sorted(i for c in state.get_clusters() for i in c) == list(range(600))
+
+
+@pytest.mark.parametrize("odd", [[], [float("nan")]])
+def test_numbers_that_are_too_far_apart_do_not_meet(spark, odd):
+    import random
+
+    rng = random.Random(9)
+    x = [rng.choice([rng.uniform(-300, 300), float(rng.randrange(-30, 30) * 10)]) for _ in range(150)] + [None, float("inf"), float("-inf"), 1e300, *odd]
+    df = spark.createDataFrame([(i, "n", rng.choice(["ann", "anne", "bob"]), v) for i, v in enumerate(x)], "id long, k string, name string, x double")
+    plan = Linkage().block_exact("k").compare_numeric("x", 50.0).compare_string("name", "levenshtein").compare_exact("k").classify_threshold_bands(0.9, 0.8)
+    every = Linkage().block_exact("k").compare_numeric("x", 50.0).compare_string("name", "levenshtein").compare_exact("k").classify_threshold_bands(0.9, 0.8)
+    every._band = lambda *_: None
+    for run in (lambda p: p.dedup(df), lambda p: p.link(df, df.filter("id % 3 = 0"))):
+        rows = lambda p: sorted((r.left_id, r.right_id, str(r.score), r.match_class) for r in run(p).collect())  # noqa: E731, B023
+        assert rows(plan) == rows(every) and len(rows(plan)) > 100
+    if not odd:
+        assert plan._band(df, None) == ("x", pytest.approx(30.0, rel=1e-6))
+        small = df.filter("id < 150")
+        assert plan.vectors(plan._prepared(small)).count() < 0.5 * 150 * 149 / 2
