@@ -12,6 +12,7 @@ import json
 import time
 import warnings
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +22,8 @@ from kinloom.operators import blocking, clustering, comparing, training
 from kinloom.session import materialise
 
 MODES = ("union", "intersection")
+#: Records that have the same fields this many times on average are judged by value; ids of a value come in chunks of this size.
+REPEATED, CHUNK = 4, 1000
 
 
 class Linkage:
@@ -361,8 +364,45 @@ class Linkage:
             return vectors, comparing.DecisionTree.from_json(k["tree"])
         return vectors, registry.classifier(k["name"])
 
+    def _repeated(self, df: DataFrame) -> bool:
+        """Whether the compared fields of records are the same again and again, so that values are worth judging instead of records."""
+        fields = [F.col(f"`{c}`") for c in df.columns if c != self.id_col]
+        rows, values = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*fields))).first()
+        return rows >= REPEATED * values
+
+    def _by_value(self, left: DataFrame, right: DataFrame | None) -> DataFrame:
+        """The pairs of records with equal fields are judged once. Ids come in chunks, so that one row of a task never makes
+        more than CHUNK x CHUNK pairs and hot values are spread."""
+
+        def grouped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+            fields = [c for c in df.columns if c != self.id_col]
+            values = df.groupBy(*[f"`{c}`" for c in fields]).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("__chunks"))
+            values = materialise(values.withColumn("__value", F.monotonically_increasing_id()), "values")
+            named = values.select("__value", "__chunks", *[F.col(f"`{c}`").alias(f"__f{i}") for i, c in enumerate(fields)])
+            same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"__f{i}")) for i, c in enumerate(fields)])
+            members = df.join(named, same).withColumn("__chunk", F.pmod(F.xxhash64(self.id_col), F.col("__chunks")).cast("int"))
+            ids = members.groupBy("__value", "__chunk").agg(F.collect_list(F.col(f"`{self.id_col}`")).alias("__ids"))
+            return values.select(F.col("__value").alias(self.id_col), *[F.col(f"`{c}`") for c in fields]), materialise(ids, "ids")
+
+        a, ids = grouped(left)
+        b, other = (a, ids) if right is None else grouped(right)
+        near = self._judged(a, b)
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Few rows that make many pairs: a given number of partitions, with one row after the other to each.
+        side = lambda df, name: df.select(F.col("__value").alias(f"{name}_id"), F.col("__chunk").alias(f"__{name}"), F.col("__ids").alias(f"__{name}_ids"))
+        met = near.join(side(ids, "left"), "left_id").join(side(other, "right"), "right_id").repartition(n, "left_id", "right_id", "__left", "__right")
+        kept = [F.col(c) for c in ("score", "match_class", "scores")]
+        out = met.select(F.explode("__left_ids").alias("left_id"), "__right_ids", *kept).select("left_id", F.explode("__right_ids").alias("right_id"), *kept)
+        return out.filter("left_id < right_id") if right is None else out
+
     def _run(self, left: DataFrame, right: DataFrame | None) -> DataFrame:
         self.build()
+        keyed = len(self.blockers) == 1 and self.blockers[0]["kind"] in ("exact", "phonetic", "date") and "candidates" not in self.__dict__
+        if keyed and self.classifier["kind"] != "fellegi_sunter_auto" and all(self._repeated(d) for d in (left, right) if d is not None):
+            return self._by_value(left, right)
+        return self._judged(left, right)
+
+    def _judged(self, left: DataFrame, right: DataFrame | None) -> DataFrame:
         vectors, classify = self._classification(self.vectors(left, right))
         out = vectors.withColumn("__c", classify(F.col("scores"))).select("left_id", "right_id", F.col("__c.score").alias("score"), F.col("__c.match_class").alias("match_class"), "scores")
         return out.filter(F.col("match_class").isin("match", "possible"))

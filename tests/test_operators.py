@@ -368,3 +368,23 @@ def test_numbers_that_are_too_far_apart_do_not_meet(spark, odd):
         assert plan._band(df, None) == ("x", pytest.approx(30.0, rel=1e-6))
         small = df.filter("id < 150")
         assert plan.vectors(plan._prepared(small)).count() < 0.5 * 150 * 149 / 2
+
+
+def test_records_with_equal_fields_are_judged_once(spark, monkeypatch):
+    import random
+
+    from kinloom.plans import linkage
+
+    monkeypatch.setattr(linkage, "CHUNK", 7)
+    rng = random.Random(11)
+    rows = [(f"r{i}", rng.choice(["k", "l", None]), rng.choice(["Ann", "anne", "bob", None]), rng.choice([1.0, 2.0, None])) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, k string, name string, x double")
+    plan, every = (Linkage().preprocess("name", ["fold_case"]).block_exact("k").compare_string("name", "levenshtein").compare_numeric("x", 5.0).classify_threshold(0.7) for _ in range(2))
+    every._repeated = lambda _: False
+    for run in (lambda p: p.dedup(df), lambda p: p.link(df, df.filter("id < 'r2'"))):
+        got, want = (sorted((r.left_id, r.right_id, r.score, r.match_class, *r.scores) for r in run(p).collect()) for p in (plan, every))  # noqa: B023
+        assert got == want and len(got) > 500
+    judged = []
+    monkeypatch.setattr(Linkage, "_judged", lambda self, a, b, plain=Linkage._judged: judged.append(a.count()) or plain(self, a, b))
+    plan.dedup(df)
+    assert judged == [df.select("k", F.lower("name"), "x").distinct().count()]
