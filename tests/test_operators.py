@@ -388,3 +388,18 @@ def test_records_with_equal_fields_are_judged_once(spark, monkeypatch):
     monkeypatch.setattr(Linkage, "_judged", lambda self, a, b, plain=Linkage._judged: judged.append(a.count()) or plain(self, a, b))
     plan.dedup(df)
     assert judged == [df.select("k", F.lower("name"), "x").distinct().count()]
+
+
+def test_short_values_meet_by_their_letters(spark):
+    import random
+
+    rng = random.Random(13)
+    made = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(120)] + ["🙂a", "aa🙂", "Customer#000000001", "Supplier#000000012", "x" * 40, "x" * 38 + "yz", *(f"name of row {i:02d}" for i in range(60))]
+    left, right = (spark.createDataFrame([(i, v) for i, v in enumerate(made) if i % 2 == k], f"{n}i long, {n} string") for k, n in ((0, "p"), (1, "q")))
+    for t in (0.6, 0.8):
+        near = matching.near_values(left, right, "p", "q", (), "levenshtein", t)
+        score = 1 - F.levenshtein("p", "q") / F.greatest(F.length("p"), F.length("q"), F.lit(1))
+        rows = lambda df: sorted(tuple(r) for r in df.filter(score >= t).select("pi", "qi").collect())  # noqa: E731, B023
+        assert rows(near) == rows(left.crossJoin(right)) and len(rows(near)) > 20
+    alike, other = (spark.createDataFrame([(f"{c * 9}{i:04d}",) for i in range(40)], f"{n} string") for n, c in (("p", "k"), ("q", "m")))
+    assert matching.near_values(alike, other, "p", "q", (), "levenshtein", 0.6).count() == 0
