@@ -403,3 +403,12 @@ def test_short_values_meet_by_their_letters(spark):
         assert rows(near) == rows(left.crossJoin(right)) and len(rows(near)) > 20
     alike, other = (spark.createDataFrame([(f"{c * 9}{i:04d}",) for i in range(40)], f"{n} string") for n, c in (("p", "k"), ("q", "m")))
     assert matching.near_values(alike, other, "p", "q", (), "levenshtein", 0.6).count() == 0
+
+
+def test_plan_from_json_judges_equal_records_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "k", f"name {i % 3}") for i in range(60)], "id long, k string, name string")
+    plan = Linkage().block_exact("k").compare_string("name", "levenshtein").classify_threshold(0.9)
+    judged = []
+    monkeypatch.setattr(Linkage, "_judged", lambda self, a, b, plain=Linkage._judged: judged.append(a.count()) or plain(self, a, b))
+    got = Linkage.from_json(plan.to_json()).dedup(df)
+    assert pairs(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 == j % 3] and judged == [3]
